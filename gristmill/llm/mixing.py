@@ -57,13 +57,14 @@ def source_targets(
 
 def mix(
     docs: DataFrame,
+    size: Column | None = None,
     quality: Column | None = None,
     cycle: tuple[int, ...] = (5, 2, 1),
     most: float = 3.0,
     share: float = 1.0,
     seed: str = "",
 ) -> DataFrame:
-    """docs (doc_id, text, source, any more) with how often the mix takes each document.
+    """docs (doc_id, source, text unless size is given, any more) with how often the mix takes each document.
 
     Adds size (words), source_size, target and copies. A source gives floor(target / size) whole epochs;
     for the rest its documents are put in order of the exponential keys -ln(u) / quality, u from a hash of
@@ -71,7 +72,7 @@ def mix(
     each source ends within half a document of its target, and documents of higher quality come first.
     Nothing is drawn anew, so reruns agree.
 
-    quality: a positive weight per row (null: 1). Running sums are in two levels over buckets of the keys,
+    size: the words per row, where they are counted already. quality: a positive weight per row (null: 1). Running sums are in two levels over buckets of the keys,
     with about as many buckets as rows in each, so that a source may hold any share of the rows.
 
     Null or empty text: size 0, never taken in the fractional part. Null doc_id: a document like any
@@ -81,7 +82,7 @@ def mix(
     """
     added = ("size", "source_size", "target", "copies")
     df = docs.drop(*[c for c in docs.columns if c in added or c.startswith("__")])
-    df = df.withColumn("size", word_count(F.col("text")))
+    df = df.withColumn("size", word_count(F.col("text")) if size is None else size)
     sizes = df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     # A row per source, counted before it is sent to all machines.
     t = materialize(source_targets(sizes, cycle, most, share), "mix-targets")

@@ -22,9 +22,10 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # Words are counted before the join, so that no text is shuffled.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     docs = docs.join(label_weights(table(spark, sf_dir, "labels")), "doc_id", "left")
-    mixed = mixing.mix(docs, quality=F.col("weight"))
+    mixed = mixing.mix(docs, size=F.col("words"), quality=F.col("weight"))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
