@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, mixing, packing
+from gristmill.llm import chat, media, mixing, packing
 from gristmill.llm._common import materialize, table
 
 
@@ -79,6 +79,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(pieces, "pieces"), ["doc_id", "piece", "start", "ids_crc32"])
 
 
+def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.read_media(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
@@ -127,6 +141,7 @@ FROM rows GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_webp_media": op4_webp_media,
     "op10_chat_format": op10_chat_format,
 }
 
