@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, media, mixing, packing
+from gristmill.llm import chat, knn, media, mixing, packing
 from gristmill.llm._common import materialize, table
 
 
@@ -93,6 +93,28 @@ def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = knn.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return knn.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+    FROM (SELECT * FROM v WHERE vec_id % 100 = 0) q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM s
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
@@ -142,7 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_webp_media": op4_webp_media,
+    "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op9_top_k": OP9_SQL, "op10_chat_format": OP10_SQL}
