@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, knn, media, mixing, packing
+from gristmill.llm import chat, html_extract, knn, media, mixing, packing
 from gristmill.llm._common import materialize, table
 
 
@@ -93,6 +93,11 @@ def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = knn.whole_vectors(table(spark, sf_dir, "embeddings"))
     return knn.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -164,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_webp_media": op4_webp_media,
+    "op7_main_text": op7_main_text,
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
 }
