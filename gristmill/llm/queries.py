@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, html_extract, knn, media, mixing, packing
+from gristmill.llm import chat, html_extract, knn, media, mixing, packing, quality
 from gristmill.llm._common import materialize, table
 
 
@@ -93,6 +93,12 @@ def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
@@ -169,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_webp_media": op4_webp_media,
+    "op6_quality": op6_quality,
     "op7_main_text": op7_main_text,
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
