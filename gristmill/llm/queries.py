@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, html_extract, knn, media, mixing, packing, quality
+from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, packing, quality
 from gristmill.llm._common import materialize, table
 
 
@@ -93,6 +93,45 @@ def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+OP5_SQL = r"""
+WITH l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j
+    FROM documents
+), n AS (
+    SELECT doc_id, line, j, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+           row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i
+    FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), d AS (
+    SELECT doc_id, list(line ORDER BY i) AS lines, list(words ORDER BY i) AS words FROM n GROUP BY doc_id
+), w AS (
+    SELECT n.doc_id, n.i, m, array_to_string(lines[n.i : n.i + m - 1], chr(10)) AS run
+    FROM n JOIN d USING (doc_id), range(1, 6) r(m)
+    WHERE n.i + m - 1 <= len(lines) AND list_sum(d.words[n.i : n.i + m - 1]) >= 5
+), c AS (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM w
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS i FROM c WHERE nth > 1
+), k AS (
+    SELECT l.doc_id, l.j, l.line, g.i IS NOT NULL AS removed
+    FROM l LEFT JOIN n ON l.doc_id = n.doc_id AND l.j = n.j LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i
+), t AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT removed), '') AS text
+    FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       CAST(length(coalesce(t.text, d.text)) AS BIGINT) AS n_chars, sha256(coalesce(t.text, d.text)) AS kept_sha256
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -175,10 +214,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_webp_media": op4_webp_media,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_main_text": op7_main_text,
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op9_top_k": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_top_k": OP9_SQL, "op10_chat_format": OP10_SQL}
