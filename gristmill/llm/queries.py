@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, packing, quality
+from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, ngram_join, packing, quality
 from gristmill.llm._common import materialize, table
 
 
@@ -21,6 +21,33 @@ def label_weights(labels: DataFrame) -> DataFrame:
     )
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.similar_documents(docs).select("doc_id", "class_id", "n_links")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), b AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), e AS (
+    SELECT a, b FROM b JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE shared * 10 >= 8 * (na.n + nb.n - shared)
+), r(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a
+), c AS (
+    SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id
+)
+SELECT c.doc_id, class_id, (SELECT count(*) FROM e WHERE e.a = c.doc_id) AS n_links FROM c
+"""
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Words are counted before the join, so that no text is shuffled.
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -211,6 +238,7 @@ FROM rows GROUP BY conv_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_source_mix": op2_source_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_webp_media": op4_webp_media,
@@ -221,4 +249,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_top_k": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op2_source_mix": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_top_k": OP9_SQL, "op10_chat_format": OP10_SQL}
