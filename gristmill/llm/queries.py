@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, ngram_join, packing, quality
+from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, ngram_join, packing, quality, suffix_dedup
 from gristmill.llm._common import materialize, table
 
 
@@ -170,6 +170,15 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return docs.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = knn.whole_vectors(table(spark, sf_dir, "embeddings"))
     return knn.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -245,6 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_main_text": op7_main_text,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
 }
