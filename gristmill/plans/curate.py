@@ -1 +1,542 @@
-"""Registered queries."""
+"""Curation queries: text and JSON scalars, merging, voting, splits, near duplicates, leakage and personal data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gristmill.functions import pii
+from gristmill.functions import text as tx
+from gristmill.operators import metrics, similarity, splits, votes
+from gristmill.registry import query
+from gristmill.sources.views import CAPTURES, IMPORTS, PREDS, captures, imports, preds, table
+
+R = lambda c, n=9: F.round(c, n)
+NORM = r"trim(regexp_replace(X, '[\s]+', ' ', 'g'))"
+KEY = "replace(lower(" + NORM + "), 'ß', 'ss')"
+NORM_TEXT, KEY_TEXT = NORM.replace("X", "text"), KEY.replace("X", "text")
+
+
+def docs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query("normalise_text", f"SELECT doc_id, {NORM_TEXT} AS norm FROM documents")
+def normalise_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.normalise("text").alias("norm"))
+
+
+@query("input_hash", f"SELECT doc_id, sha256({NORM_TEXT}) AS input_hash FROM documents")
+def input_hash(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.sha2(tx.normalise("text"), 256).alias("input_hash"))
+
+
+@query("dedupe_key", f"SELECT doc_id, {KEY_TEXT} AS key FROM documents")
+def dedupe_key(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.dedupe_key("text").alias("key"))
+
+
+RUNS = f"""w AS (SELECT doc_id, {KEY_TEXT} AS key, regexp_extract_all({KEY_TEXT}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM documents), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), n AS (SELECT w.doc_id, any_value(key) AS key, count(run) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id)"""
+
+
+@query("words", f"WITH {RUNS} SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words FROM w")
+def words(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.size(tx.words(tx.dedupe_key("text"))).alias("n_words"))
+
+
+@query("shingles", f"WITH {RUNS} SELECT doc_id, CAST(n AS INTEGER) AS n FROM n")
+def shingles(spark, sf_dir):
+    return similarity.sets(docs(spark, sf_dir), "doc_id", "text").select(F.col("id").alias("doc_id"), "n")
+
+
+@query("jaccard", f"""WITH {RUNS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON b.doc_id = a.doc_id + 1)
+SELECT p.a, p.b, round(coalesce(c * 1.0::DOUBLE / nullif(na.n + nb.n - c, 0), 0.0), 9) AS jaccard FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+JOIN (SELECT p.a, count(y.run) AS c FROM p LEFT JOIN s x ON x.doc_id = p.a LEFT JOIN s y ON y.doc_id = p.b AND y.run = x.run GROUP BY p.a) o ON o.a = p.a""")
+def jaccard(spark, sf_dir):
+    s = similarity.sets(docs(spark, sf_dir), "doc_id", "text")
+    nxt = s.select((F.col("id") - 1).alias("id"), F.col("id").alias("b"), F.col("runs").alias("rb"))
+    return s.join(nxt, "id").select(F.col("id").alias("a"), "b", R(tx.jaccard(F.col("runs"), F.col("rb"))).alias("jaccard"))
+
+
+OVERLAP = f"""{RUNS}, first AS (SELECT key, min(doc_id) AS rep FROM n GROUP BY key), r AS (SELECT n.* FROM n JOIN first ON n.doc_id = first.rep),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.run = y.run AND x.doc_id < y.doc_id
+      WHERE x.doc_id IN (SELECT rep FROM first) AND y.doc_id IN (SELECT rep FROM first) GROUP BY ALL),
+pairs AS (SELECT rep AS a, doc_id AS b, 'exact' AS kind, 1.0::DOUBLE AS jaccard FROM n JOIN first USING (key) WHERE doc_id > rep
+    UNION ALL SELECT a, b, 'near', c * 1.0::DOUBLE / (x.n + y.n - c) FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 10 >= 9 * (x.n + y.n - c))"""
+
+
+@query("near_dup_selfjoin", f"WITH {OVERLAP} SELECT a, b, kind, round(jaccard, 9) AS jaccard FROM pairs")
+def near_dup_selfjoin(spark, sf_dir):
+    return similarity.near_pairs(docs(spark, sf_dir), "doc_id", "text").select("a", "b", "kind", R("jaccard").alias("jaccard"))
+
+
+COMPONENTS = f"""WITH RECURSIVE {OVERLAP}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(id, root) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM reach r JOIN e ON r.root = e.a), c AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+
+
+@query("connected_components", COMPONENTS + " SELECT id, root FROM c")
+def connected_components(spark, sf_dir):
+    return similarity.components(similarity.near_pairs(docs(spark, sf_dir), "doc_id", "text"))
+
+
+MEMBERS = COMPONENTS + f""", lab AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS teacher, quality AS gold FROM labels),
+m AS (SELECT c.root AS cluster, c.id, CAST(teacher AS VARCHAR) AS teacher, CASE WHEN teacher IS NULL THEN 0 ELSE 1 + c.id % 2 END AS votes, CAST(gold AS VARCHAR) AS gold
+      FROM c LEFT JOIN lab ON c.id = lab.id)"""
+RESOLVED = MEMBERS + """, v AS (SELECT cluster, teacher, sum(votes) AS v, min(id) AS first FROM m WHERE teacher IS NOT NULL AND votes >= 1 GROUP BY ALL),
+t AS (SELECT cluster, sum(v) AS total, max(v) AS top, arg_max(teacher, v) AS win FROM v GROUP BY cluster),
+gv AS (SELECT cluster, gold, count(*) AS v FROM m WHERE gold IS NOT NULL GROUP BY ALL), g AS (SELECT cluster, sum(v) AS total, max(v) AS top, arg_max(gold, v) AS win FROM gv GROUP BY cluster),
+r AS (SELECT m.cluster, min(m.id) FILTER (total IS NULL OR (top * 2 > total AND m.teacher = t.win)) AS survivor, any_value(CASE WHEN t.top * 2 > t.total THEN t.win END) AS teacher
+      FROM m LEFT JOIN t ON m.cluster = t.cluster GROUP BY m.cluster),
+resolved AS (SELECT r.cluster, r.survivor, r.teacher, coalesce(CASE WHEN g.top * 2 > g.total THEN g.win END, own.gold) AS gold
+      FROM r LEFT JOIN g ON g.cluster = r.cluster LEFT JOIN m own ON own.id = r.survivor)"""
+
+
+def _members(spark, sf_dir):
+    c = similarity.components(similarity.near_pairs(docs(spark, sf_dir), "doc_id", "text"))
+    q, id_ = F.col("quality"), F.col("id")
+    lab = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    teacher = F.when(id_ % 7 == 0, 1 - q).otherwise(q).cast("string")
+    return c.join(lab, "id", "left").select(
+        F.col("root").alias("cluster"), "id", teacher.alias("teacher"), F.when(teacher.isNull(), 0).otherwise(1 + id_ % 2).alias("votes"), q.cast("string").alias("gold")
+    )
+
+
+@query("resolve_cluster", RESOLVED + " SELECT * FROM resolved")
+def resolve_cluster(spark, sf_dir):
+    return votes.resolve_clusters(_members(spark, sf_dir)).select("cluster", "survivor", "teacher", "gold")
+
+
+@query("dedupe_split", RESOLVED + """, k AS (SELECT n.doc_id AS id, n.key FROM n)
+SELECT count(*) FILTER (survivor IS NULL) AS conflict_examples, count(*) FILTER (m.id <> survivor AND a.key = b.key) AS removed_exact, count(*) FILTER (m.id <> survivor AND a.key <> b.key) AS removed_near
+FROM m JOIN resolved USING (cluster) JOIN k a ON a.id = m.id LEFT JOIN k b ON b.id = survivor""")
+def dedupe_split(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    r = votes.resolve_clusters(m).select("cluster", "survivor")
+    k = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), tx.dedupe_key("text").alias("key"))
+    x = m.select("cluster", "id").join(r, "cluster").join(k, "id").join(k.select(F.col("id").alias("survivor"), F.col("key").alias("sk")), "survivor", "left")
+    gone = F.col("id") != F.col("survivor")
+    return x.agg(
+        F.count_if(F.col("survivor").isNull()).alias("conflict_examples"), F.count_if(gone & (F.col("key") == F.col("sk"))).alias("removed_exact"),
+        F.count_if(gone & (F.col("key") != F.col("sk"))).alias("removed_near"),
+    )
+
+
+@query("lsh_bands")
+def lsh_bands(spark, sf_dir):
+    rows = [(t, p, *similarity.lsh_bands(t, p)) for t, p in ((0.9, 128), (0.9, 256), (0.8, 256))]
+    return spark.createDataFrame(rows, "threshold double, permutations int, bands int, rows int")
+
+
+SPLIT = "CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'valid' ELSE 'test' END"
+CROSS = f"""{RUNS}, sp AS (SELECT doc_id, {SPLIT} AS split, CASE WHEN doc_id % 10 < 6 THEN 1 WHEN doc_id % 10 < 8 THEN 2 ELSE 3 END AS rank, key, n FROM n),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.run = y.run GROUP BY ALL),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, x.split AS sa, y.split AS sb, 'exact' AS kind, 1.0::DOUBLE AS jaccard FROM sp x JOIN sp y ON x.key = y.key AND x.rank < y.rank
+    UNION ALL SELECT a, b, x.split, y.split, 'near', c * 1.0::DOUBLE / (x.n + y.n - c) FROM o JOIN sp x ON x.doc_id = a JOIN sp y ON y.doc_id = b
+    WHERE x.rank < y.rank AND x.key <> y.key AND c * 10 >= 9 * (x.n + y.n - c)),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY kind, jaccard DESC, b) AS r FROM pairs)"""
+
+
+def _split(df, id_="doc_id"):
+    k = F.col(id_) % 10
+    return df.withColumn("split", F.when(k < 6, "train").when(k < 8, "valid").otherwise("test"))
+
+
+def _cross(spark, sf_dir):
+    return similarity.cross_matches(_split(docs(spark, sf_dir)), "doc_id", "text", "split")
+
+
+@query("cross_split_match", f"WITH {CROSS} SELECT a, b, kind, round(jaccard, 9) AS jaccard FROM best WHERE r = 1")
+def cross_split_match(spark, sf_dir):
+    return similarity.best_match(_cross(spark, sf_dir)).select("a", "b", "kind", R("jaccard").alias("jaccard"))
+
+
+@query("cross_split_anti", f"WITH {CROSS} SELECT doc_id, split FROM sp WHERE doc_id NOT IN (SELECT a FROM pairs)")
+def cross_split_anti(spark, sf_dir):
+    gone = _cross(spark, sf_dir).select(F.col("a").alias("doc_id")).distinct()
+    return _split(docs(spark, sf_dir)).select("doc_id", "split").join(gone, "doc_id", "left_anti")
+
+
+@query("leakage_check", f"""WITH {CROSS} SELECT sa, sb, kind, count(a) AS pairs FROM (VALUES ('train','valid'),('train','test'),('valid','test')) v(sa, sb), (VALUES ('exact'),('near')) k(kind)
+LEFT JOIN pairs USING (sa, sb, kind) GROUP BY ALL""")
+def leakage_check(spark, sf_dir):
+    every = spark.createDataFrame([(a, b, k) for a, b in (("train", "valid"), ("train", "test"), ("valid", "test")) for k in ("exact", "near")], "sa string, sb string, kind string")
+    got = _cross(spark, sf_dir).groupBy("sa", "sb", "kind").agg(F.count("*").alias("pairs"))
+    return every.join(got, ["sa", "sb", "kind"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+
+
+# Captured calls.
+LOADED = f"""{CAPTURES}, d AS (SELECT *, CASE WHEN NOT captured THEN 'not_captured' WHEN status <> 200 THEN 'status' WHEN response <> 'body' THEN 'empty_response' ELSE 'usable' END AS disposition FROM captures)"""
+
+
+def _loaded(spark, sf_dir):
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    reason = (
+        F.when(~F.col("captured"), "not_captured").when(F.col("status") != 200, "status").when(empty("request_body"), "empty_request")
+        .when(empty("response_body"), "empty_response").otherwise("usable")
+    )
+    return captures(spark, sf_dir).withColumn("disposition", reason)
+
+
+@query("load_sources", f"WITH {LOADED} SELECT disposition, source, upstream_model, count(*) AS n, round(sum(cost_usd), 9) AS cost, min(ts) AS first, max(ts) AS last FROM d GROUP BY ALL")
+def load_sources(spark, sf_dir):
+    return _loaded(spark, sf_dir).groupBy("disposition", "source", "upstream_model").agg(
+        F.count("*").alias("n"), R(F.sum("cost_usd")).alias("cost"), F.min("ts").alias("first"), F.max("ts").alias("last")
+    )
+
+
+MESSAGES = "struct<model:string,messages:array<struct<role:string,content:string>>>"
+
+
+def _asked(spark, sf_dir):
+    return _loaded(spark, sf_dir).withColumn("req", F.from_json("request_body", MESSAGES))
+
+
+def _last_user(messages):
+    return F.element_at(F.filter(messages, lambda m: m["role"] == "user"), -1)["content"]
+
+
+@query("request_teacher", f"WITH {LOADED} SELECT id, upstream_model AS model, sha256(list_filter(messages, lambda m: m.role IN ('system', 'developer'))[1].content) AS prompt_hash FROM d")
+def request_teacher(spark, sf_dir):
+    first = F.get(F.filter("req.messages", lambda m: m["role"].isin("system", "developer")), F.lit(0))["content"]
+    return _asked(spark, sf_dir).select("id", F.col("req.model").alias("model"), F.sha2(first, 256).alias("prompt_hash"))
+
+
+LAST = "list_filter(messages, lambda m: m.role = 'user')[-1].content"
+
+
+@query("extract_input", f"WITH {LOADED} SELECT id, {LAST} AS input FROM d")
+def extract_input(spark, sf_dir):
+    users = F.filter("req.messages", lambda m: m["role"] == "user")
+    return _asked(spark, sf_dir).select("id", F.when(F.size(users) > 0, _last_user("req.messages")).alias("input"))
+
+
+@query("extract_input_regex", f"WITH {LOADED} SELECT id, CASE WHEN regexp_matches({LAST}, '(?s)^[^ ]+ .*') THEN regexp_extract({LAST}, '(?s)^[^ ]+ (.*)', 1) END AS input FROM d")
+def extract_input_regex(spark, sf_dir):
+    users = F.filter("req.messages", lambda m: m["role"] == "user")
+    said = F.when(F.size(users) > 0, _last_user("req.messages"))
+    return _asked(spark, sf_dir).select("id", F.when(said.rlike("(?s)^[^ ]+ .*"), F.regexp_extract(said, "(?s)^[^ ]+ (?<input>.*)", 1)).alias("input"))
+
+
+@query("response_output", f"WITH {LOADED} SELECT id, CASE WHEN response = 'body' THEN answer END AS output FROM d")
+def response_output(spark, sf_dir):
+    return _loaded(spark, sf_dir).select("id", F.get_json_object("response_body", "$.choices[0].message.content").alias("output"))
+
+
+RECORDS = f"""{LOADED}, {IMPORTS}, rec AS (
+    SELECT 'capture' AS origin, id, {LAST} AS input, CASE WHEN response = 'body' THEN answer END AS output, NULL AS gold, NULL AS split, disposition FROM d
+    UNION ALL SELECT 'import', id, input, CASE WHEN format = 'pairs' THEN output END, gold, split, 'usable' FROM imports
+), records AS (SELECT *, CASE WHEN disposition <> 'usable' THEN disposition WHEN input IS NULL THEN 'input_unparsed' WHEN {NORM.replace('X', 'input')} = '' THEN 'empty_input'
+    WHEN origin = 'capture' AND output IS NULL THEN 'missing_output' ELSE 'ok' END AS result FROM rec)"""
+
+
+def _records(spark, sf_dir):
+    """Captured and imported rows in one form: origin, id, input, output, gold, split, result."""
+    a = _asked(spark, sf_dir)
+    users = F.filter("req.messages", lambda m: m["role"] == "user")
+    said = F.when(F.size(users) > 0, _last_user("req.messages"))
+    a = a.select(F.lit("capture").alias("origin"), "id", said.alias("input"), F.get_json_object("response_body", "$.choices[0].message.content").alias("output"), "disposition")
+    b = imports(spark, sf_dir)
+    b = b.select(F.lit("import").alias("origin"), "id", "input", F.when(F.col("format") == "pairs", F.col("output")).alias("output"), "gold", "split", "grp", F.lit("usable").alias("disposition"))
+    u = b.unionByName(a, allowMissingColumns=True)
+    result = (
+        F.when(F.col("disposition") != "usable", F.col("disposition")).when(F.col("input").isNull(), "input_unparsed")
+        .when(tx.normalise("input") == "", "empty_input").when((F.col("origin") == "capture") & F.col("output").isNull(), "missing_output").otherwise("ok")
+    )
+    return u.withColumn("result", result)
+
+
+@query("union_sources", f"WITH {RECORDS} SELECT origin, count(*) AS n, count(output) AS outputs, count(gold) AS golds FROM records GROUP BY origin")
+def union_sources(spark, sf_dir):
+    return _records(spark, sf_dir).groupBy("origin").agg(F.count("*").alias("n"), F.count("output").alias("outputs"), F.count("gold").alias("golds"))
+
+
+@query("extract_records", f"WITH {RECORDS} SELECT origin, result, count(*) AS n FROM records GROUP BY ALL")
+def extract_records(spark, sf_dir):
+    return _records(spark, sf_dir).groupBy("origin", "result").agg(F.count("*").alias("n"))
+
+
+CANON = "CASE lower(trim(split)) WHEN 'validation' THEN 'valid' WHEN 'dev' THEN 'valid' WHEN 'train' THEN 'train' WHEN 'test' THEN 'test' END"
+
+
+@query("canonical_split", f"WITH {IMPORTS} SELECT id, {CANON} AS split FROM imports")
+def canonical_split(spark, sf_dir):
+    return imports(spark, sf_dir).select("id", votes.canonical_split("split").alias("split"))
+
+
+GOOD = f"""{RECORDS}, g AS (SELECT origin, id, CASE WHEN origin = 'import' THEN id ELSE 1000000000 + id END AS seq, sha256({NORM.replace('X', 'input')}) AS h, input, output, gold, {CANON} AS split FROM records WHERE result = 'ok')"""
+
+
+def _good(spark, sf_dir):
+    r = _records(spark, sf_dir).filter("result = 'ok'")
+    seq = F.when(F.col("origin") == "import", F.col("id")).otherwise(F.col("id") + 1000000000)
+    return r.select("origin", "id", seq.alias("seq"), F.sha2(tx.normalise("input"), 256).alias("h"), "input", "output", "gold", "grp", votes.canonical_split("split").alias("split"))
+
+
+@query("merge_by_hash", f"""WITH {GOOD} SELECT h, count(*) AS n, count(output) AS outputs, count(gold) AS golds, arg_min(id, seq) AS first, count(DISTINCT origin) AS origins FROM g GROUP BY h""")
+def merge_by_hash(spark, sf_dir):
+    return _good(spark, sf_dir).groupBy("h").agg(
+        F.count("*").alias("n"), F.count("output").alias("outputs"), F.count("gold").alias("golds"), F.min_by("id", "seq").alias("first"), F.count_distinct("origin").alias("origins")
+    )
+
+
+@query("raw_inputs_by_hash", f"WITH {GOOD} SELECT h, arg_min(input, seq) AS input FROM g GROUP BY h")
+def raw_inputs_by_hash(spark, sf_dir):
+    return _good(spark, sf_dir).groupBy("h").agg(F.min_by("input", "seq").alias("input"))
+
+
+@query("order_by_hash", f"WITH {GOOD} SELECT DISTINCT h FROM g ORDER BY h")
+def order_by_hash(spark, sf_dir):
+    return _good(spark, sf_dir).select("h").distinct().orderBy("h")
+
+
+MAJ = """, v AS (SELECT h, VALUE AS value, count(*) AS v FROM g WHERE VALUE IS NOT NULL GROUP BY ALL), m AS (SELECT h, sum(v) AS total, max(v) AS top, arg_max(value, v) AS win FROM v GROUP BY h)
+SELECT k.h, CASE WHEN top * 2 > total THEN win END AS VALUE, CASE WHEN top * 2 > total THEN top END AS votes, CAST(coalesce(total, 0) AS BIGINT) AS total FROM (SELECT DISTINCT h FROM g) k LEFT JOIN m USING (h)"""
+
+
+@query("majority_vote", f"WITH {GOOD}{MAJ.replace('VALUE', 'output')}")
+def majority_vote(spark, sf_dir):
+    return votes.majority(_good(spark, sf_dir), "h", "output", "seq")
+
+
+@query("weighted_majority", f"""WITH {PREDS}, v AS (SELECT grp, pred, sum(id % 4) AS v FROM preds WHERE id % 4 >= 1 GROUP BY ALL), m AS (SELECT grp, sum(v) AS total, max(v) AS top, arg_max(pred, v) AS win FROM v GROUP BY grp)
+SELECT grp, CASE WHEN top * 2 > total THEN win END AS pred, CAST(CASE WHEN top * 2 > total THEN top END AS BIGINT) AS votes, CAST(total AS BIGINT) AS total FROM m WHERE grp IS NOT NULL""")
+def weighted_majority(spark, sf_dir):
+    return votes.majority(preds(spark, sf_dir).filter("grp IS NOT NULL"), "grp", "pred", "id", F.col("id") % 4)
+
+
+@query("merge_meta_first_wins", f"""WITH {GOOD}, kv AS (SELECT h, seq, 'gold' AS key, gold AS value FROM g UNION ALL SELECT h, seq, 'split', split FROM g)
+SELECT h, key, arg_min(value, seq) AS value, min(value) <> max(value) AS conflict FROM kv WHERE value IS NOT NULL GROUP BY ALL""")
+def merge_meta_first_wins(spark, sf_dir):
+    g = _good(spark, sf_dir).withColumn("meta", F.create_map(F.lit("gold"), F.col("gold"), F.lit("split"), F.col("split")))
+    return votes.first_wins(g, "h", "meta", "seq")
+
+
+@query("split_rank_max", f"""WITH {GOOD} SELECT h, max(CASE split WHEN 'train' THEN 1 WHEN 'valid' THEN 2 WHEN 'test' THEN 3 END) AS rank, count(DISTINCT split) > 1 AS disagree FROM g GROUP BY h""")
+def split_rank_max(spark, sf_dir):
+    rank = F.max(F.expr(votes.RANK)).cast("int")
+    return _good(spark, sf_dir).groupBy("h").agg(F.when(rank > 0, rank).alias("rank"), (F.count_distinct("split") > 1).alias("disagree"))
+
+
+@query("repeats", f"""WITH {GOOD}, o AS (SELECT h, origin, split, count(*) - 1 AS r FROM g GROUP BY ALL), p AS (SELECT h, origin, sum(r) AS r FROM o GROUP BY ALL) SELECT h, CAST(max(r) AS BIGINT) AS repeats FROM p GROUP BY h""")
+def repeats(spark, sf_dir):
+    return votes.repeats(_good(spark, sf_dir), "h")
+
+
+@query("normalise_examples", f"""WITH {GOOD}, v AS (SELECT h, output AS value, count(*) AS v FROM g WHERE output IN ('0', '1') GROUP BY ALL), m AS (SELECT h, sum(v) AS total, max(v) AS top FROM v GROUP BY h),
+e AS (SELECT h, count(output) AS outputs, count(*) FILTER (output NOT IN ('0', '1')) AS invalid, coalesce(bool_or(split = 'test'), false) AS test FROM g GROUP BY h)
+SELECT CASE WHEN outputs = 0 THEN 'unlabelled' WHEN top * 2 > total THEN 'labelled' WHEN test THEN 'kept_test' WHEN total IS NULL THEN 'all_invalid' ELSE 'no_majority' END AS result, count(*) AS n, CAST(sum(invalid) AS BIGINT) AS invalid
+FROM e LEFT JOIN m USING (h) GROUP BY 1""")
+def normalise_examples(spark, sf_dir):
+    g = _good(spark, sf_dir)
+    valid = F.col("output").isin("0", "1")
+    v = votes.majority(g.withColumn("value", F.when(valid, F.col("output"))), "h", "value", "seq")
+    e = g.groupBy("h").agg(F.count("output").alias("outputs"), F.count_if(~valid).alias("invalid"), F.coalesce(F.bool_or(F.col("split") == "test"), F.lit(False)).alias("test"))
+    result = (
+        F.when(F.col("outputs") == 0, "unlabelled").when(F.col("value").isNotNull(), "labelled").when(F.col("test"), "kept_test")
+        .when(F.col("total") == 0, "all_invalid").otherwise("no_majority")
+    )
+    return e.join(v, "h").groupBy(result.alias("result")).agg(F.count("*").alias("n"), F.sum("invalid").alias("invalid"))
+
+
+@query("label_distribution", f"WITH {PREDS} SELECT split, l AS label, count(id) AS n FROM (VALUES ('0'), ('1'), ('2')) v(l), (SELECT DISTINCT split FROM preds) s LEFT JOIN preds USING (split) WHERE true GROUP BY ALL HAVING false UNION ALL SELECT s.split, l, count(p.id) FROM (VALUES ('0'), ('1'), ('2')) v(l) CROSS JOIN (SELECT DISTINCT split FROM preds) s LEFT JOIN preds p ON p.split = s.split AND p.gold = l GROUP BY s.split, l")
+def label_distribution(spark, sf_dir):
+    c = metrics.label_counts(preds(spark, sf_dir), "pred", "gold", ["0", "1", "2"], ["split"])
+    return c.select("split", "label", F.col("n_gold").alias("n"))
+
+
+@query("topk_counts", """WITH c AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY source)
+SELECT CASE WHEN r <= 8 THEN source ELSE 'others' END AS source, CAST(sum(n) AS BIGINT) AS n, count(*) AS k FROM c GROUP BY 1""")
+def topk_counts(spark, sf_dir):
+    c = docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    c = c.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "source")))
+    return c.groupBy(F.when(F.col("r") <= 8, F.col("source")).otherwise("others").alias("source")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+
+
+# Splits.
+ORDER = "substr(sha256('13' || chr(0) || 'KIND' || chr(0) || CAST(doc_id AS VARCHAR)), 1, 16)"
+Q = "CAST(floor(n * 0.2::DOUBLE + 0.5) AS BIGINT)"
+CUT = f"CASE WHEN r <= {Q} THEN 'test' WHEN r <= {Q} + CAST(floor(n * 0.1::DOUBLE + 0.5) AS BIGINT) THEN 'valid' ELSE 'train' END AS split"
+
+
+@query("seeded_order", f"SELECT doc_id, {ORDER.replace('KIND', 'random')} AS rank FROM documents")
+def seeded_order(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", splits.seeded_rank("13", "random", F.col("doc_id")).alias("rank"))
+
+
+@query("split_random", f"SELECT doc_id, {CUT} FROM (SELECT doc_id, row_number() OVER (ORDER BY {ORDER.replace('KIND', 'random')}, doc_id) AS r, count(*) OVER () AS n FROM documents)")
+def split_random(spark, sf_dir):
+    return splits.random_split(docs(spark, sf_dir), "doc_id", "13", 0.2, 0.1).select("doc_id", "split")
+
+
+STRATA = f"""WITH i AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {ORDER.replace('KIND', 'stratum')}, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m, count(*) OVER () AS n FROM documents),
+p AS (SELECT doc_id, n, row_number() OVER (ORDER BY (i + CAST(CAST('0x' || substr(sha256('13' || chr(0) || 'offset' || chr(0) || lang), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0) / m, lang, i) AS r FROM i)"""
+
+
+@query("split_stratified", STRATA + f" SELECT doc_id, {CUT} FROM p")
+def split_stratified(spark, sf_dir):
+    return splits.stratified_split(docs(spark, sf_dir), "doc_id", "lang", "13", 0.2, 0.1).select("doc_id", "split")
+
+
+@query("split_grouped")
+def split_grouped(spark, sf_dir):
+    return splits.grouped_split(docs(spark, sf_dir), "source", "13", 0.2, 0.1).groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
+@query("assign_splits", f"""WITH {IMPORTS}, r AS (SELECT doc_id, {CUT} FROM (SELECT doc_id, row_number() OVER (ORDER BY {ORDER.replace('KIND', 'random')}, doc_id) AS r, count(*) OVER () AS n
+    FROM documents WHERE doc_id % 6 = 5)) SELECT id AS doc_id, coalesce({CANON.replace('split', 'i.split')}, r.split) AS split FROM imports i LEFT JOIN r ON r.doc_id = i.id""")
+def assign_splits(spark, sf_dir):
+    df = imports(spark, sf_dir).select(F.col("id").alias("doc_id"), votes.canonical_split("split").alias("given"))
+    free = splits.random_split(df.filter("given IS NULL").select("doc_id"), "doc_id", "13", 0.2, 0.1)
+    return df.join(free, "doc_id", "left").select("doc_id", F.coalesce("given", "split").alias("split"))
+
+
+@query("smoke_spread", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r % greatest(n // 10, 1) = 0 ORDER BY doc_id LIMIT 10")
+def smoke_spread(spark, sf_dir):
+    w = Window.partitionBy(F.lit(0))
+    df = docs(spark, sf_dir).select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    return df.filter(F.col("r") % F.greatest(F.floor(F.col("n") / 10), F.lit(1)) == 0).orderBy("doc_id").limit(10).select("doc_id")
+
+
+@query("seeded_shuffle_sample", f"SELECT doc_id FROM documents ORDER BY {ORDER.replace('KIND', 'sample')}, doc_id LIMIT 50")
+def seeded_shuffle_sample(spark, sf_dir):
+    return docs(spark, sf_dir).orderBy(splits.seeded_rank("13", "sample", F.col("doc_id")), "doc_id").limit(50).select("doc_id")
+
+
+@query("quick_subset", f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {ORDER.replace('KIND', 'quick')}, doc_id) AS r FROM documents) WHERE r <= 20""")
+def quick_subset(spark, sf_dir):
+    w = Window.partitionBy("lang").orderBy(splits.seeded_rank("13", "quick", F.col("doc_id")), "doc_id")
+    return docs(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r <= 20").select("doc_id", "lang")
+
+
+# Labels, JSON and schemas.
+LABEL_SET = ["0", "1", "Card arrival", "card-arrival", "lost card"]
+
+
+@query("label_key")
+def label_key(spark, sf_dir):
+    rows = [(x,) for x in ("**Label:** card arrival", "card arrival..", "“Lost–card”", "intent: 'Top up'", "")]
+    return spark.createDataFrame(rows, "raw string").select("raw", tx.label_key("raw").alias("key"))
+
+
+@query("normalise_label", f"WITH {PREDS} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE pred END AS label FROM preds")
+def normalise_label(spark, sf_dir):
+    p = preds(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, "card arrival").when(F.col("id") % 3 == 1, F.concat(F.lit("**"), "pred", F.lit("**."))).otherwise(F.col("pred")).alias("raw"))
+    index = spark.createDataFrame([(x,) for x in LABEL_SET], "label string").withColumn("key", tx.label_key("label"))
+    index = index.groupBy("key").agg(F.first("label").alias("label"), F.count("*").alias("same")).withColumn("label", F.when(F.col("same") == 1, F.col("label")))
+    return p.withColumn("key", tx.label_key("raw")).join(F.broadcast(index), "key", "left").select("id", "label")
+
+
+@query("parse_json_output")
+def parse_json_output(spark, sf_dir):
+    c = captures(spark, sf_dir)
+    raw = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("id", "upstream_model")), F.lit("\n```\nDone."))
+    return c.select("id", tx.parse_output(raw).alias("value"))
+
+
+ORDER_SCHEMA = {
+    "type": "object", "required": ["status", "total"], "additionalProperties": False,
+    "properties": {"status": {"enum": ["F", "O"]}, "total": {"type": "number", "maximum": 200000}, "date": {"type": "string", "format": "date"}},
+}
+
+
+@query("validate_schema", "SELECT o_orderkey AS id, CAST((o_orderstatus NOT IN ('F', 'O'))::INT + (o_totalprice > 200000)::INT AS INTEGER) AS errors FROM orders")
+def validate_schema(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    doc = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")))
+    return o.select(F.col("o_orderkey").alias("id"), F.size(tx.validate(ORDER_SCHEMA)(doc)).alias("errors"))
+
+
+@query("canonical_output", """SELECT o_orderkey AS id, '{"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' AS out FROM orders""")
+def canonical_output(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    given = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.lit(1).alias("unknown"), F.col("o_orderstatus").alias("status")))
+    got = F.from_json(given, "struct<status:string,priority:string>")  # the schema's order; what it does not know goes
+    return o.select(F.col("o_orderkey").alias("id"), F.to_json(got, {"ignoreNullFields": "false"}).alias("out"))
+
+
+@query("canonical_json", """SELECT o_orderkey AS id, '{"a":' || CAST(o_orderkey AS VARCHAR) || ',"z":"' || o_orderstatus || '"}' AS json FROM orders""")
+def canonical_json(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    given = F.to_json(F.struct(F.col("o_orderstatus").alias("z"), F.col("o_orderkey").cast("double").alias("a")))
+    return o.select(F.col("o_orderkey").alias("id"), tx.canonical_json(given).alias("json"))
+
+
+@query("request_key", """WITH """ + LOADED + """ SELECT id, sha256('{"max_tokens":' || CAST(id % 5 AS VARCHAR) || ',"model":"' || upstream_model || '"}') AS key FROM d""")
+def request_key(spark, sf_dir):
+    c = captures(spark, sf_dir)
+    body = F.to_json(F.struct(F.col("upstream_model").alias("model"), (F.col("id") % 5).cast("double").alias("max_tokens"), F.lit(None).cast("string").alias("stop")))
+    return c.select("id", F.sha2(tx.canonical_json(body), 256).alias("key"))
+
+
+@query("meta_get", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.a.b') AS none FROM events""")
+def meta_get(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.a.b").alias("none"))
+
+
+# Personal data.
+@query("pii_stage")
+def pii_stage(spark, sf_dir):
+    s = docs(spark, sf_dir).select("doc_id", "text", pii.scrub("text").alias("s"))
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s.{k}").alias("n")) for k in pii.KINDS])
+    return s.select("doc_id", F.inline(rows)).groupBy("kind").agg(F.sum("n").alias("hits"), F.count_if(F.col("n") > 0).alias("docs"))
+
+
+for _kind in pii.KINDS:
+
+    @query(f"pii_{_kind}")
+    def _pii(spark, sf_dir, kind=_kind):
+        s = docs(spark, sf_dir).select("doc_id", pii.scrub("text").alias("s"))
+        return s.select("doc_id", F.col(f"s.{kind}").alias("n")).filter("n > 0")
+
+
+@query("pii_scrub_value")
+def pii_scrub_value(spark, sf_dir):
+    s = docs(spark, sf_dir).select("doc_id", F.to_json(F.struct("text", F.array("source").alias("tags"))).alias("j"))
+    return s.select("doc_id", F.sha2(pii.scrub_json("j"), 256).alias("scrubbed"))
+
+
+# Lengths and the stages together.
+TOKENS = r"CAST(len(regexp_extract_all(text, '[^\s]+')) AS BIGINT)"
+
+
+@query("length_filter", f"SELECT doc_id FROM documents WHERE {TOKENS} <= 500")
+def length_filter(spark, sf_dir):
+    return docs(spark, sf_dir).filter(F.regexp_count("text", F.lit(r"[^\s]+")) <= 500).select("doc_id")
+
+
+@query("length_stats", f"SELECT {SPLIT} AS split, round(quantile_cont(t::DOUBLE, 0.5), 1) AS p50, round(quantile_cont(t::DOUBLE, 0.95), 1) AS p95, max(t) AS longest FROM (SELECT doc_id, {TOKENS} AS t FROM documents) GROUP BY 1")
+def length_stats(spark, sf_dir):
+    d = _split(docs(spark, sf_dir)).withColumn("t", F.regexp_count("text", F.lit(r"[^\s]+")).cast("long"))
+    p = d.groupBy("split").agg(*metrics.percentiles("t", 0.5, 0.95), F.max("t").alias("longest"))
+    return p.select("split", R("p50", 1).alias("p50"), R("p95", 1).alias("p95"), "longest")
+
+
+@query("stage_counters", f"""WITH {CROSS}, l AS (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT * FROM (
+SELECT 1 AS stage, 'load' AS name, count(*) AS n FROM documents UNION ALL SELECT 2, 'exact', count(DISTINCT key) FROM n
+UNION ALL SELECT 3, 'cross_split', count(*) FROM sp WHERE doc_id NOT IN (SELECT a FROM pairs)
+UNION ALL SELECT 4, 'length', count(*) FROM sp JOIN l USING (doc_id) WHERE doc_id NOT IN (SELECT a FROM pairs) AND t <= 500)""")
+def stage_counters(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    gone = _cross(spark, sf_dir).select(F.col("a").alias("doc_id")).distinct()
+    left = d.join(gone, "doc_id", "left_anti")
+    count = lambda i, name, df, c=None: df.agg((F.count("*") if c is None else F.count_distinct(c)).alias("n")).select(F.lit(i).alias("stage"), F.lit(name).alias("name"), "n")
+    parts = [
+        count(1, "load", d), count(2, "exact", d, tx.dedupe_key("text")), count(3, "cross_split", left),
+        count(4, "length", left.filter(F.regexp_count("text", F.lit(r"[^\s]+")) <= 500)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("emptied_at", """WITH c AS (SELECT s AS split, st AS stage, CASE WHEN s = 'valid' AND st >= 3 THEN 0 ELSE 1 END AS n FROM (VALUES ('train'), ('valid'), ('test')) a(s), range(5) b(st))
+SELECT split, CAST(min(stage) FILTER (n = 0) AS INTEGER) AS stage FROM c GROUP BY split""")
+def emptied_at(spark, sf_dir):
+    c = spark.range(5).select(F.explode(F.array(*map(F.lit, ("train", "valid", "test")))).alias("split"), F.col("id").cast("int").alias("stage"))
+    n = F.when((F.col("split") == "valid") & (F.col("stage") >= 3), 0).otherwise(1)
+    return c.groupBy("split").agg(F.min(F.when(n == 0, F.col("stage"))).alias("stage"))
