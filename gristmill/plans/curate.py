@@ -88,10 +88,10 @@ m AS (SELECT c.root AS cluster, c.id, CAST(teacher AS VARCHAR) AS teacher, CASE
 RESOLVED = MEMBERS + """, v AS (SELECT cluster, teacher, sum(votes) AS v, min(id) AS first FROM m WHERE teacher IS NOT NULL AND votes >= 1 GROUP BY ALL),
 t AS (SELECT cluster, sum(v) AS total, max(v) AS top, arg_max(teacher, v) AS win FROM v GROUP BY cluster),
 gv AS (SELECT cluster, gold, count(*) AS v FROM m WHERE gold IS NOT NULL GROUP BY ALL), g AS (SELECT cluster, sum(v) AS total, max(v) AS top, arg_max(gold, v) AS win FROM gv GROUP BY cluster),
-r AS (SELECT m.cluster, min(m.id) FILTER (total IS NULL OR (top * 2 > total AND m.teacher = t.win)) AS survivor, any_value(CASE WHEN t.top * 2 > t.total THEN t.win END) AS teacher
+pick AS (SELECT m.cluster, min(m.id) FILTER (total IS NULL OR (top * 2 > total AND m.teacher = t.win)) AS survivor, any_value(CASE WHEN t.top * 2 > t.total THEN t.win END) AS teacher
       FROM m LEFT JOIN t ON m.cluster = t.cluster GROUP BY m.cluster),
 resolved AS (SELECT r.cluster, r.survivor, r.teacher, coalesce(CASE WHEN g.top * 2 > g.total THEN g.win END, own.gold) AS gold
-      FROM r LEFT JOIN g ON g.cluster = r.cluster LEFT JOIN m own ON own.id = r.survivor)"""
+      FROM pick r LEFT JOIN g ON g.cluster = r.cluster LEFT JOIN m own ON own.id = r.survivor)"""
 
 
 def _members(spark, sf_dir):
@@ -159,8 +159,8 @@ def cross_split_anti(spark, sf_dir):
     return _split(docs(spark, sf_dir)).select("doc_id", "split").join(gone, "doc_id", "left_anti")
 
 
-@query("leakage_check", f"""WITH {CROSS} SELECT sa, sb, kind, count(a) AS pairs FROM (VALUES ('train','valid'),('train','test'),('valid','test')) v(sa, sb), (VALUES ('exact'),('near')) k(kind)
-LEFT JOIN pairs USING (sa, sb, kind) GROUP BY ALL""")
+@query("leakage_check", f"""WITH {CROSS} SELECT v.sa, v.sb, k.kind, count(a) AS pairs FROM (VALUES ('train','valid'),('train','test'),('valid','test')) v(sa, sb) CROSS JOIN (VALUES ('exact'),('near')) k(kind)
+LEFT JOIN pairs p ON p.sa = v.sa AND p.sb = v.sb AND p.kind = k.kind GROUP BY ALL""")
 def leakage_check(spark, sf_dir):
     every = spark.createDataFrame([(a, b, k) for a, b in (("train", "valid"), ("train", "test"), ("valid", "test")) for k in ("exact", "near")], "sa string, sb string, kind string")
     got = _cross(spark, sf_dir).groupBy("sa", "sb", "kind").agg(F.count("*").alias("pairs"))

@@ -1 +1,268 @@
-"""Registered queries."""
+"""Queries over the stored tables: scans, counts, exports and lookups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gristmill.registry import query
+from gristmill.sources.views import CAPTURES, IMPORTS, LEDGER, SERVED, captures, imports, ledger, served, table
+
+R = lambda c, n=9: F.round(c, n)
+
+
+@query("scan_captures", f"WITH {CAPTURES} SELECT id, task, ts, source, status, latency_ms, prompt_tokens, completion_tokens, cost_usd, upstream_model, captured FROM captures WHERE task = 'task1'")
+def scan_captures(spark, sf_dir):
+    df = captures(spark, sf_dir).filter("task = 'task1'").orderBy("id")
+    return df.select("id", "task", "ts", "source", "status", "latency_ms", "prompt_tokens", "completion_tokens", "cost_usd", "upstream_model", "captured")
+
+
+@query("scan_imports", f"WITH {IMPORTS} SELECT id, format, input, output, gold, split, grp FROM imports WHERE format = 'pairs'")
+def scan_imports(spark, sf_dir):
+    return imports(spark, sf_dir).filter("format = 'pairs'").orderBy("id").select("id", "format", "input", "output", "gold", "split", "grp")
+
+
+@query("scan_served", f"WITH {SERVED} SELECT id, ts, route, reason, confidence, total_ms FROM served WHERE ts >= TIMESTAMP '2024-01-15'")
+def scan_served(spark, sf_dir):
+    return served(spark, sf_dir).filter("ts >= timestamp'2024-01-15'").orderBy("id").select("id", "ts", "route", "reason", "confidence", "total_ms")
+
+
+@query("count_captures", f"WITH {CAPTURES} SELECT count(*) AS total, count(*) FILTER (captured) AS captured, count(*) FILTER (NOT captured) AS not_captured FROM captures")
+def count_captures(spark, sf_dir):
+    return captures(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("captured").alias("captured"), F.count_if(~F.col("captured")).alias("not_captured"))
+
+
+PROBLEM = "CASE WHEN response = 'null' THEN 'no response' WHEN response = 'empty' THEN 'response is empty' END"
+
+
+def problem():
+    """Why a pair of request and response can't be used, the first reason of a fixed order, or null."""
+    req = F.from_json("request_body", "struct<messages:array<struct<role:string,content:string>>>")
+    res = F.from_json("response_body", "struct<error:string,choices:array<struct<message:struct<content:string>,error:string>>>")
+    return (
+        F.when(F.coalesce(F.size(req["messages"]), F.lit(0)) <= 0, "no messages").when(F.col("response_body").isNull(), "no response")
+        .when(F.col("response_body") == "", "response is empty").when(res["error"].isNotNull(), "error")
+        .when(F.coalesce(F.size(res["choices"]), F.lit(0)) <= 0, "no choices")
+        .when(F.exists(res["choices"], lambda c: c["error"].isNotNull()), "error in a choice")
+    )
+
+
+@query("completion_problem", f"WITH {CAPTURES} SELECT id, {PROBLEM} AS problem FROM captures")
+def completion_problem(spark, sf_dir):
+    return captures(spark, sf_dir).select("id", problem().alias("problem"))
+
+
+@query("export_jsonl", f"WITH {CAPTURES} SELECT id FROM captures WHERE captured AND status = 200 AND response = 'body'")
+def export_jsonl(spark, sf_dir):
+    df = captures(spark, sf_dir).filter(F.col("captured") & (F.col("status") == 200)).withColumn("problem", problem())
+    return df.filter("problem IS NULL").select("id")
+
+
+LEDGER_SUMS = "CAST(coalesce(sum(CASE status WHEN 'settled' THEN actual_nusd WHEN 'open' THEN reserved_nusd END), 0) AS BIGINT) AS committed, CAST(coalesce(sum(CASE WHEN status = 'settled' THEN actual_nusd END), 0) AS BIGINT) AS spent"
+
+
+def _sums():
+    settled, open_ = F.col("status") == "settled", F.col("status") == "open"
+    committed = F.sum(F.when(settled, F.col("actual_nusd")).when(open_, F.col("reserved_nusd")))
+    return F.coalesce(committed, F.lit(0)).alias("committed"), F.coalesce(F.sum(F.when(settled, F.col("actual_nusd"))), F.lit(0)).alias("spent")
+
+
+@query("ledger_committed", f"WITH {LEDGER} SELECT task, {LEDGER_SUMS} FROM ledger GROUP BY task")
+def ledger_committed(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("task").agg(*_sums())
+
+
+@query("ledger_spent", f"WITH {LEDGER} SELECT run_id, {LEDGER_SUMS} FROM ledger GROUP BY run_id")
+def ledger_spent(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("run_id").agg(*_sums())
+
+
+@query("ledger_summary", f"WITH {LEDGER} SELECT task, phase, count(*) AS n, {LEDGER_SUMS} FROM ledger GROUP BY GROUPING SETS ((task, phase), (task), (phase), ())")
+def ledger_summary(spark, sf_dir):
+    df = ledger(spark, sf_dir).groupingSets([("task", "phase"), ("task",), ("phase",), ()], "task", "phase")
+    return df.agg(F.count("*").alias("n"), *_sums()).select("task", "phase", "n", "committed", "spent")
+
+
+@query("spend_by_phase", f"WITH {LEDGER} SELECT task, phase, {LEDGER_SUMS} FROM ledger GROUP BY task, phase")
+def spend_by_phase(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("task", "phase").agg(*_sums())
+
+
+@query("ledger_settle", f"WITH {LEDGER} SELECT status, count(*) AS n, count(*) FILTER (status = 'settled' AND actual_nusd > reserved_nusd) AS overrun FROM ledger GROUP BY status")
+def ledger_settle(spark, sf_dir):
+    over = (F.col("status") == "settled") & (F.col("actual_nusd") > F.col("reserved_nusd"))
+    return ledger(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.count_if(over).alias("overrun"))
+
+
+@query("ledger_reserve", f"""WITH RECURSIVE {LEDGER}, o AS (SELECT id, run_id, reserved_nusd AS need, row_number() OVER (PARTITION BY run_id ORDER BY id) AS r FROM ledger),
+f(run_id, r, id, taken, accepted) AS (SELECT run_id, 1::BIGINT, id, CASE WHEN need <= 50000000000 THEN need ELSE 0 END, need <= 50000000000 FROM o WHERE r = 1
+    UNION ALL SELECT o.run_id, o.r, o.id, f.taken + CASE WHEN f.taken + need <= 50000000000 THEN need ELSE 0 END, f.taken + need <= 50000000000 FROM f JOIN o ON o.run_id = f.run_id AND o.r = f.r + 1)
+SELECT id, run_id, accepted FROM f""")
+def ledger_reserve(spark, sf_dir):
+    """Admission in order under a cap per run: what is refused takes nothing. A fold over each run's own entries."""
+    df = ledger(spark, sf_dir).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("id", "reserved_nusd"))).alias("e"))
+    cap = 50_000_000_000
+    zero = F.struct(F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<struct<id:bigint,accepted:boolean>>)").alias("out"))
+
+    def step(acc, e):
+        ok = acc["taken"] + e["reserved_nusd"] <= cap
+        one = F.array(F.struct(e["id"].alias("id"), ok.alias("accepted")))
+        return F.struct((acc["taken"] + F.when(ok, e["reserved_nusd"]).otherwise(0)).alias("taken"), F.concat(acc["out"], one).alias("out"))
+
+    return df.select("run_id", F.inline(F.aggregate("e", zero, step, lambda acc: acc["out"])))
+
+
+@query("worst_case_cost", """SELECT o_orderkey AS id, CAST(ceil((octet_length(encode(o_orderpriority)) + 16) * 1000.0 + 4096 * 2000.0) AS BIGINT) AS nusd FROM orders""")
+def worst_case_cost(spark, sf_dir):
+    bound = F.octet_length("o_orderpriority") + 16
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.ceil(bound * 1000.0 + F.lit(4096 * 2000.0)).cast("long").alias("nusd"))
+
+
+@query("prompt_upper_bound", f"WITH {CAPTURES} SELECT id, CAST(list_sum(list_transform(messages, lambda m: octet_length(encode(m.content)) + 16)) AS BIGINT) AS bound FROM captures")
+def prompt_upper_bound(spark, sf_dir):
+    req = F.from_json("request_body", "struct<messages:array<struct<role:string,content:string>>>")
+    total = F.aggregate(req["messages"], F.lit(0).cast("long"), lambda acc, m: acc + F.octet_length(m["content"]) + 16)
+    return captures(spark, sf_dir).select("id", total.alias("bound"))
+
+
+@query("completion_upper_bound", f"WITH {CAPTURES} SELECT id, CASE WHEN id % 2 = 0 THEN completion_tokens ELSE 4096 END AS bound FROM captures")
+def completion_upper_bound(spark, sf_dir):
+    asked = F.when(F.col("id") % 2 == 0, F.col("completion_tokens"))
+    return captures(spark, sf_dir).select("id", F.coalesce(asked, F.lit(4096)).cast("long").alias("bound"))
+
+
+# Prices by provider tag: parts stand for models, suppliers for providers.
+PRICES = """prices AS (SELECT 'model-' || CAST(s_suppkey % 3 AS VARCHAR) AS model, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN 'P/fast' WHEN s_suppkey % 5 = 2 THEN 'p' ELSE 'q' || CAST(s_suppkey % 4 AS VARCHAR) END AS tag,
+    max(s_suppkey) AS price FROM supplier GROUP BY ALL), want AS (SELECT o_orderkey AS id, 'model-' || CAST(o_orderkey % 3 AS VARCHAR) AS model, CASE o_orderkey % 4 WHEN 0 THEN 'P/fast' WHEN 1 THEN 'Q1' WHEN 2 THEN 'p/slow' ELSE 'zz' END AS tag FROM orders)"""
+
+
+def _prices(spark, sf_dir):
+    k = F.col("s_suppkey")
+    tag = F.when(k % 5 == 0, None).when(k % 5 == 1, "P/fast").when(k % 5 == 2, "p").otherwise(F.concat(F.lit("q"), (k % 4).cast("string")))
+    return table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("model-"), (k % 3).cast("string")).alias("model"), tag.alias("tag")).agg(F.max(k).alias("price"))
+
+
+@query("pricing_load", f"WITH {PRICES} SELECT * FROM prices")
+def pricing_load(spark, sf_dir):
+    return _prices(spark, sf_dir)
+
+
+@query("price_lookup", f"""WITH {PRICES}, c AS (SELECT id, CASE WHEN p.tag = w.tag THEN 1 WHEN lower(p.tag) = lower(w.tag) THEN 2 WHEN split_part(lower(p.tag), '/', 1) = split_part(lower(w.tag), '/', 1) THEN 3
+    WHEN p.tag IS NOT NULL THEN 4 ELSE 5 END AS prio, price FROM want w JOIN prices p USING (model)), b AS (SELECT id, min(prio) AS prio FROM c GROUP BY id)
+SELECT id, CAST(b.prio AS INTEGER) AS prio, max(price) AS price FROM c JOIN b USING (id, prio) GROUP BY ALL""")
+def price_lookup(spark, sf_dir):
+    """Exact tag, then the tag whatever its case, then its base, then the dearest provider, then the list price."""
+    k = F.col("o_orderkey")
+    tag = F.when(k % 4 == 0, "P/fast").when(k % 4 == 1, "Q1").when(k % 4 == 2, "p/slow").otherwise("zz")
+    want = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("model-"), (k % 3).cast("string")).alias("model"), tag.alias("asked"))
+    base = lambda c: F.split_part(F.lower(c), F.lit("/"), F.lit(1))
+    prio = (
+        F.when(F.col("tag") == F.col("asked"), 1).when(F.lower("tag") == F.lower("asked"), 2).when(base("tag") == base("asked"), 3)
+        .when(F.col("tag").isNotNull(), 4).otherwise(5)
+    )
+    found = want.join(_prices(spark, sf_dir), "model").groupBy("id").agg(F.min(F.struct(prio.alias("prio"), (-F.col("price")).alias("p"))).alias("m"))
+    return found.select("id", F.col("m.prio").alias("prio"), (-F.col("m.p")).alias("price"))
+
+
+# The teacher's answers: a cache of some captures, and a recording of others.
+STORES = f"{CAPTURES}, cache AS (SELECT id, answer FROM captures WHERE id % 2 = 0), recording AS (SELECT id, answer FROM captures WHERE id % 3 = 0), other AS (SELECT id FROM captures WHERE id % 5 = 1)"
+
+
+def _stores(spark, sf_dir):
+    c = captures(spark, sf_dir).select("id", F.sha2("request_body", 256).alias("key"), "cost_usd")
+    return c, c.filter("id % 2 = 0"), c.filter("id % 3 = 0"), c.filter("id % 5 = 1")
+
+
+@query("teacher_lookup", f"WITH {STORES} SELECT c.id, CASE WHEN a.id IS NOT NULL THEN 'cache' WHEN r.id IS NOT NULL THEN 'recording' END AS found FROM captures c LEFT JOIN cache a USING (id) LEFT JOIN recording r USING (id)")
+def teacher_lookup(spark, sf_dir):
+    c, cache, recording, _ = _stores(spark, sf_dir)
+    x = c.join(cache.select("key", F.lit("cache").alias("a")), "key", "left").join(recording.select("key", F.lit("recording").alias("r")), "key", "left")
+    return x.groupBy("id").agg(F.max(F.coalesce("a", "r")).alias("found"))
+
+
+@query("collect_records", f"WITH {STORES} SELECT id FROM captures WHERE id IN (SELECT id FROM cache)")
+def collect_records(spark, sf_dir):
+    c, cache, _, _ = _stores(spark, sf_dir)
+    return c.join(cache.select("key"), "key", "left_semi").select("id")
+
+
+@query("except_missing", f"WITH {STORES} SELECT id FROM captures EXCEPT SELECT id FROM cache")
+def except_missing(spark, sf_dir):
+    c, cache, _, _ = _stores(spark, sf_dir)
+    return c.select("id").exceptAll(cache.select("id"))
+
+
+@query("intersect_elsewhere", f"WITH {STORES} (SELECT id FROM recording UNION SELECT id FROM other) INTERSECT (SELECT id FROM captures EXCEPT SELECT id FROM cache)")
+def intersect_elsewhere(spark, sf_dir):
+    c, cache, recording, other = (x.select("id") for x in _stores(spark, sf_dir))
+    return recording.union(other).intersect(c.exceptAll(cache))
+
+
+@query("uncached_flags", f"WITH {STORES} SELECT id FROM captures WHERE id NOT IN (SELECT id FROM cache)")
+def uncached_flags(spark, sf_dir):
+    c, cache, _, _ = _stores(spark, sf_dir)
+    return c.join(cache.select("key"), "key", "left_anti").select("id")
+
+
+@query("wanted_keys", f"WITH {LEDGER} SELECT model, min(id) AS first FROM ledger GROUP BY model ORDER BY first")
+def wanted_keys(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("model").agg(F.min("id").alias("first")).orderBy("first")
+
+
+@query("distinct_keys", f"WITH {LEDGER} SELECT DISTINCT task, phase FROM ledger ORDER BY ALL")
+def distinct_keys(spark, sf_dir):
+    return ledger(spark, sf_dir).select("task", "phase").distinct().orderBy("task", "phase")
+
+
+@query("captured_records", f"WITH {CAPTURES} SELECT upstream_model, min(id) AS id, arg_min(answer, id) AS answer FROM captures WHERE response = 'body' GROUP BY 1")
+def captured_records(spark, sf_dir):
+    df = captures(spark, sf_dir).withColumn("answer", F.get_json_object("response_body", "$.choices[0].message.content")).filter("answer IS NOT NULL")
+    return df.groupBy("upstream_model").agg(F.min("id").alias("id"), F.min_by("answer", "id").alias("answer"))
+
+
+@query("usage_cost", f"WITH {CAPTURES} SELECT id, round(coalesce(cost_usd, (id % 50 + 10) * 1e-6 + completion_tokens * 2e-6 + 0.001), 12) AS cost FROM captures")
+def usage_cost(spark, sf_dir):
+    price = (F.col("id") % 50 + 10) * 1e-6 + F.col("completion_tokens") * 2e-6 + 0.001
+    return captures(spark, sf_dir).select("id", R(F.coalesce(F.when((F.col("cost_usd") >= 0) & ~F.isnan("cost_usd"), F.col("cost_usd")), price), 12).alias("cost"))
+
+
+@query("is_truncated", f"WITH {CAPTURES} SELECT id, completion_tokens > 20 AS truncated FROM captures")
+def is_truncated(spark, sf_dir):
+    reason = F.get_json_object("response_body", "$.choices[0].finish_reason")
+    return captures(spark, sf_dir).select("id", (F.coalesce(reason == "length", F.lit(False)) | (F.col("completion_tokens") > 20)).alias("truncated"))
+
+
+@query("latest_bench", f"WITH {SERVED} SELECT route, max(id) AS id, max(ts) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ts DESC, id DESC) AS r FROM served) WHERE r = 1 GROUP BY route")
+def latest_bench(spark, sf_dir):
+    best = F.max(F.struct("ts", "id"))
+    return served(spark, sf_dir).groupBy("route").agg(best.alias("m")).select("route", F.col("m.id").alias("id"), F.col("m.ts").alias("ts"))
+
+
+@query("span_overlap", """SELECT l_orderkey AS id, l_linenumber AS token, count(v) AS spans FROM lineitem LEFT JOIN (VALUES (0, 10), (15, 16), (20, 40)) s(v, e) ON l_linenumber * 7 < e AND l_linenumber * 7 + 5 > v GROUP BY ALL""")
+def span_overlap(spark, sf_dir):
+    """Tokens and value spans that overlap: spans are few and go along as an array."""
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 10), (15, 16), (20, 40))])
+    start = F.col("l_linenumber") * 7
+    hit = F.filter(spans, lambda s: (start < s["end"]) & (start + 5 > s["start"]))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("token")).agg(F.sum(F.size(hit)).alias("spans"))
+
+
+@query("mean_logprob", "SELECT l_orderkey AS id, round(exp(least(avg(-l_discount), 0)), 9) AS mean, round(exp(least(sum(-l_discount), 0)), 9) AS whole FROM lineitem GROUP BY 1")
+def mean_logprob(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(-F.col("l_discount")).alias("lp"))
+    total = F.aggregate("lp", F.lit(0.0), lambda acc, x: acc + x)
+    return df.select("id", R(F.exp(F.least(total / F.size("lp"), F.lit(0.0)))).alias("mean"), R(F.exp(F.least(total, F.lit(0.0)))).alias("whole"))
+
+
+@query("lr_schedule", "SELECT CAST(i AS INTEGER) AS step, round(CASE WHEN i < 10 THEN (i + 1) / 10.0 ELSE 0.5 * (1 + cos(pi() * (i - 10) / 90.0)) END, 9) AS rate FROM range(100) r(i)")
+def lr_schedule(spark, sf_dir):
+    i = F.col("id")
+    rate = F.when(i < 10, (i + 1) / 10.0).otherwise(0.5 * (1 + F.cos(F.pi() * (i - 10) / 90.0)))
+    return spark.range(100).select(i.cast("int").alias("step"), R(rate).alias("rate"))
+
+
+@query("base_size", "SELECT p_partkey AS id, CAST(regexp_extract(n, '([0-9]+(\\.[0-9]+)?)b[^0-9]*$', 1) AS DOUBLE) AS size FROM (SELECT p_partkey, 'net-' || CAST(p_partkey % 9 AS VARCHAR) || '.5b-it' AS n FROM part)")
+def base_size(spark, sf_dir):
+    name = F.concat(F.lit("net-"), (F.col("p_partkey") % 9).cast("string"), F.lit(".5b-it"))
+    found = F.element_at(F.regexp_extract_all(name, F.lit(r"(\d+(\.\d+)?)b"), F.lit(1)), -1)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), found.cast("double").alias("size"))
