@@ -23,11 +23,16 @@ def majority(df: DataFrame, by: str, value: str, seq: str, weight: Column | None
     """(by, value, votes, total): the value with more than half of the votes, null without one. Null values and
     weights below 1 abstain. Counts by value come first, so a hot key is a few sums."""
     w = F.lit(1) if weight is None else weight
-    votes = df.filter(F.col(value).isNotNull() & (w >= 1)).groupBy(by, value).agg(F.sum(w).alias("v"), F.min(seq).alias("s"))
-    top = votes.groupBy(by).agg(F.sum("v").alias("total"), F.max(F.struct(F.col("v"), (-F.col("s")).alias("s"), F.col(value).alias("value"))).alias("m"))
-    won = F.col("m.v") * 2 > F.col("total")
-    decided = top.select(by, F.when(won, F.col("m.value")).alias(value), F.when(won, F.col("m.v")).alias("votes"), "total")
-    return df.select(by).distinct().join(decided, by, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    df = df.select(F.col(by).alias("__by"), F.col(value).alias("__value"), F.col(seq).alias("__seq"), w.alias("__w"))
+    counts = df.filter(F.col("__value").isNotNull() & (F.col("__w") >= 1)).groupBy("__by", "__value").agg(F.sum("__w").alias("__v"), F.min("__seq").alias("__s"))
+    best = F.max(F.struct(F.col("__v").alias("v"), (-F.col("__s")).alias("s"), F.col("__value").alias("value")))
+    top = counts.groupBy("__by").agg(F.sum("__v").alias("__total"), best.alias("__m"))
+    out = df.select("__by").distinct().join(top, "__by", "left")
+    won = F.col("__m.v") * 2 > F.col("__total")
+    return out.select(
+        F.col("__by").alias(by), F.when(won, F.col("__m.value")).alias(value), F.when(won, F.col("__m.v")).alias("votes"),
+        F.coalesce("__total", F.lit(0)).alias("total"),
+    )
 
 
 def first_wins(df: DataFrame, by: str, meta: str, seq: str) -> DataFrame:
