@@ -1,0 +1,496 @@
+"""The training-data operators against brute force, exact round trips and held-out labels, and on odd inputs."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gristmill.llm import chat, html_extract, induced_sort, knn, line_dedup, media, mixing, ngram_join, packing, quality, suffix_dedup
+
+ODD = [
+    (1, "the cat sat on the mat and then it left again", "en", "b", 1), (2, "the cat sat on the mat and then it left again", "en", "b", 1),
+    (2, "the cat sat on the mat and then it left again", "en", "b", 1), (3, None, None, None, None), (4, "", "en", "a", 0),
+    (None, "a line of several words here\nanother line of several words\n\n", "en", None, 3), (5, "x " * 30000, "en", "b", 60000),
+    (6, "a line of several words here\nanother line of several words", "en", "", 3), (7, "ünï\x00\x1f <|im_end|> \\ 😀", "xx", "c", 9),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({"th": F.lit(1), "size": F.lit(2), "spans": F.lit("x"), "score": F.lit(0.5), "tokens": F.lit(3)}).cache()
+
+
+# N-gram Jaccard join
+
+
+def brute_links(rows):
+    sets = []
+    for d, t in rows:
+        w = [x for x in (t or "").lower().encode().split()]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    n = len(rows)
+    linked = [[j for j in range(n) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])] for i in range(n)]
+    root = list(range(n))
+    for _ in range(n):
+        root = [min([root[i], *(root[j] for j in linked[i])]) for i in range(n)]
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(root[i], []).append(d)
+    return sorted(((d, min(x for x in least[root[i]]), len(linked[i])) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def near_rows(seed=1):
+    rng, rows = random.Random(seed), []
+    for g in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 8, 60, 200]))]
+        for _ in range(rng.choice([1, 2, 8])):
+            w = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(500)}"
+            rows.append((len(rows), " ".join(w)))
+    return [*rows, (900, ""), (901, None)]
+
+
+def test_ngram_join_is_brute_force(spark, monkeypatch):
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_documents(df).collect()), key=str)
+    assert got == brute_links(rows)
+
+
+def test_ngram_join_splits_large_groups_into_blocks(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1200):  # more than two blocks of near copies
+        w = list(base)
+        w[i % 120] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {1199}
+
+
+def test_ngram_join_odd(spark, odd):
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_documents(odd).collect()}
+    assert {(1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 4, 0), (5, 5, 0)} <= got
+    assert ngram_join.similar_documents(odd.limit(0)).count() == 0
+
+
+def test_bayesian_steps_keep_pairs_at_the_threshold():
+    for n, least in ngram_join.least_matches():
+        assert least < 0.8 * n
+    assert ngram_join.least_matches()[-1][0] == ngram_join.BANDS * ngram_join.ROWS
+
+
+# Mixing
+
+
+def test_mix_reaches_targets(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "b", "c", "d", None])) for i in range(3000)]
+    rows += [(5000, "w " * 10, "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    total = sum(r["size"] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    assert sum(rs[0]["target"] for rs in by.values()) == pytest.approx(total)
+    for rs in by.values():
+        taken = sum(r["size"] * r["copies"] for r in rs)
+        assert abs(taken - rs[0]["target"]) <= 20 and rs[0]["target"] <= 3 * rs[0]["source_size"] + 1e-6
+        assert {r["copies"] for r in rs} <= {k + int(rs[0]["target"] // rs[0]["source_size"]) for k in (0, 1)}
+    assert by["tiny"][0]["copies"] == 3
+    assert sorted((r["doc_id"], r["copies"]) for r in got) == sorted((r["doc_id"], r["copies"]) for r in mixing.mix(df.repartition(7)).collect())
+
+
+def test_mix_odd(spark, odd):
+    got = mixing.mix(odd).collect()
+    assert len(got) == len(ODD) and {r["size"] for r in got if not r["text"]} == {0}
+    assert mixing.repeat(mixing.mix(odd)).count() == sum(r["copies"] for r in got)
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+# Packing
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    rng = random.Random(1)
+    alphabet = "ab'stredlvm  \n\t  é9½²ß'.!<|>日本😀ÆẞⅫ\x1c\x85_-"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["don't we've", "'s", "<|endoftext|>a", "", " ", "a'll b"]
+    e = packing.Encoder(packing.tokenizer_path())
+    want = [x.ids for x in e.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in e.encode(texts)] == want
+
+
+def test_plan_fills_without_gaps():
+    use = {}
+    runs = packing.plan({2048: 5, 1500: 3, 548: 4, 300: 7, 10: 1000, 1: 3})
+    for length, _, count, per, first, offset in runs:
+        for i in range(count):
+            use.setdefault(first + i // per, []).append((offset + i % per * length, length))
+    for slots in use.values():
+        at = 0
+        for offset, length in sorted(slots):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(use) == -(-sum(k * n for k, n in {2048: 5, 1500: 3, 548: 4, 300: 7, 10: 1000, 1: 3}.items()) // 2048)
+
+
+def test_packing_odd(spark, odd):
+    pieces = packing.tokenize(odd).withColumn("crc", F.crc32("tokens")).cache()
+    got = packing.pack(pieces, ["doc_id", "piece", "start", "crc"]).collect()
+    whole = {}
+    for r in got:
+        whole.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert len(r["tokens"]) == 4 * r["length"]
+    for slots in whole.values():
+        assert sum(n for _, n in slots) <= 2048 and sorted(o for o, _ in slots)[0] == 0
+    assert sum(1 for r in got if r["doc_id"] == 2) == 2 and all(r["length"] == 1 for r in got if r["doc_id"] in (3, 4))
+    ids = sorted((r for r in got if r["doc_id"] == 5), key=lambda r: r["piece"])
+    assert [r["length"] for r in ids[1:]] == [2048] * (len(ids) - 1)
+    assert packing.pack(pieces.limit(0), ["doc_id"]).count() == 0
+
+
+# Media
+
+
+@pytest.mark.parametrize("text", ["", "a" * 64, "b" * 65, "é" * 40000, "x" * (1 << 20) + "yz", None, "\x00\x00"])
+def test_media_round_trip(text):
+    p = media.payload(text)
+    assert len(p) % 64 == 0 and p and media.decode_grey(media.encode_grey(p)) == p
+
+
+class Bits:
+    """A writer of images for the decoder, with every feature of the format."""
+
+    def __init__(self, width, height):
+        self.w = media._Writer()
+        for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+            self.w.put(v, n)
+
+    def flat(self, alphabet, used, length):
+        """A code of `used` symbols, each of `length` bits."""
+        self.w.put(0, 1)
+        order = media._LENGTH_ORDER
+        last = max(order.index(length), order.index(0)) + 1
+        self.w.put(last - 4 if last > 4 else 0, 4)
+        for s in order[: max(4, last)]:
+            self.w.put(int(s in (length, 0)), 3)
+        self.w.put(0, 1)
+        one = max(length, 0) == length and length > 0
+        for s in range(alphabet):  # two symbols of one bit: the smaller is 0
+            self.w.put(int(s < used) if one else 0, 1)
+
+    def code(self, symbol, length):
+        for k in range(length - 1, -1, -1):
+            self.w.put(symbol >> k & 1, 1)
+
+    def single(self, symbol):
+        for v, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+            self.w.put(v, n)
+
+    def pair(self, a, b):
+        for v, n in ((1, 1), (1, 1), (1, 1), (a, 8), (b, 8)):
+            self.w.put(v, n)
+
+    def done(self):
+        return media._riff(self.w.bytes())
+
+
+def plain_codes(b):
+    for used in (256, 256, 256, 256):
+        b.flat(280 if not hasattr(b, "seen") else 256, used, 8)
+        b.seen = True
+    b.single(0)
+
+
+def pixels(b, image):
+    for a, r, g, bl in image.reshape(-1, 4).tolist():
+        for v in (g, r, bl, a):
+            b.code(v, 8)
+
+
+def test_decoder_undoes_predictor_cross_and_green():
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (9, 7, 4), dtype=np.uint8)
+    for mode in range(14):
+        b = Bits(7, 9)
+        modes = np.full((3, 2), mode)
+        factors = rng.integers(0, 256, (3, 2, 4), dtype=np.uint8)
+        coded = image.copy()
+        coded[..., 1] -= coded[..., 2]
+        coded[..., 3] -= coded[..., 2]
+        crossed = media._cross(coded, factors, 2, False)
+        coded = media._predict(crossed, modes, 2, False)
+        # Steps are undone from the last to the first.
+        b.w.put(1, 1), b.w.put(2, 2)
+        b.w.put(1, 1), b.w.put(1, 2), b.w.put(0, 3), b.w.put(0, 1)
+        plain_codes(b)
+        pixels(b, factors)
+        b.w.put(1, 1), b.w.put(0, 2), b.w.put(0, 3), b.w.put(0, 1)
+        b.single(mode), b.single(0), b.single(0), b.single(255), b.single(0)
+        b.w.put(0, 1), b.w.put(0, 1), b.w.put(0, 1)
+        del b.seen
+        plain_codes(b)
+        pixels(b, coded)
+        assert (media.decode(b.done()) == image).all(), mode
+
+
+def test_decoder_reads_palette():
+    index = np.array([[0, 1, 1, 0, 1, 0, 0, 1, 1]])
+    palette = np.array([[255, 1, 2, 3], [255, 200, 100, 50]], np.uint8)
+    b = Bits(9, 1)
+    b.w.put(1, 1), b.w.put(3, 2), b.w.put(1, 8), b.w.put(0, 1)
+    plain_codes(b)
+    pixels(b, np.array([palette[0], palette[1] - palette[0]], np.uint8))
+    b.w.put(0, 1), b.w.put(0, 1), b.w.put(0, 1)
+    packed = [sum(int(v) << k for k, v in enumerate(index[0][i : i + 8])) for i in (0, 8)]
+    b.pair(*sorted(packed)), b.single(0), b.single(0), b.single(255), b.single(0)
+    for p in packed:
+        b.w.put(int(p == max(packed)), 1)
+    assert (media.decode(b.done()) == palette[index]).all()
+
+
+def test_decoder_reads_back_references_and_cache():
+    b = Bits(6, 2)
+    b.w.put(0, 1)
+    b.w.put(1, 1), b.w.put(1, 4)  # a cache of two colours
+    b.w.put(0, 1)
+    # Green: 7 (literal), 256 + 3 (a length of 4), 280 + 0 and 280 + 1 (cache): four codes of two bits
+    lengths = [0] * 282
+    for s in (7, 259, 280, 281):
+        lengths[s] = 2
+    b.w.put(0, 1)
+    order = media._LENGTH_ORDER
+    b.w.put(order.index(2) + 1 - 4, 4)
+    for s in order[: order.index(2) + 1]:
+        b.w.put(int(s in (0, 2)), 3)
+    b.w.put(0, 1)
+    for n in lengths:
+        b.w.put(int(n == 2), 1)
+    b.single(1), b.single(2), b.single(255)
+    b.single(1)  # distance code 2 is the pixel to the left
+    codes = {7: 0, 259: 1, 280: 2, 281: 3}
+    value = 0xFF010702
+    slot = 0x1E35A7BD * value % 2**32 >> 31
+    for s in (7, 259, 280 + slot, 280 + slot, 259, 7, 7, 280 + slot):
+        b.code(codes[s], 2)
+    got = media.decode(b.done())
+    assert got.reshape(-1, 4).tolist() == [[255, 1, 7, 2]] * 12
+
+
+def test_decoder_refuses_what_is_broken():
+    good = media.encode_grey(b"x" * 64)
+    for bad in (b"", good[:30], b"RIFX" + good[4:], good[:21] + b"\xff" + good[22:40]):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+
+
+def test_media_odd(spark, odd):
+    got = media.read_media(media.store_texts(odd)).collect()
+    assert len(got) == len(ODD) and all(bytes(r["samples"]) == media.payload(t) for r, (_, t, *_) in zip(got, ODD))
+    assert media.read_media(media.store_texts(odd.limit(0))).count() == 0
+
+
+# Line dedup
+
+
+def brute_lines(rows, least):
+    lines = {(d if d is not None else -1): [x for x in (t or "").split("\n")] for d, t in rows}
+    seen, gone = {}, {d: set() for d in lines}
+    runs = []
+    for d in sorted(lines):
+        ink = [(j, x) for j, x in enumerate(lines[d]) if x.split()]
+        for s in range(len(ink)):
+            for e in range(s, len(ink)):
+                run = tuple(x for _, x in ink[s : e + 1])
+                if sum(len(x.split()) for x in run) >= least:
+                    runs.append((run, d, s, [j for j, _ in ink[s : e + 1]]))
+    for run, d, s, js in sorted(runs, key=lambda r: (r[1], r[2])):
+        if seen.setdefault(run, (d, s)) < (d, s):
+            gone[d].update(js)
+    return {d: "\n".join(x for j, x in enumerate(v) if j not in gone[d]) for d, v in lines.items()}
+
+
+def test_line_dedup_is_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for d in range(60):
+        rows.append((d, "\n".join(rng.choice(["a b", "c", "d e f", "", "g h i j", "k", " ", "long line of six words here", f"own {d} {rng.random()}"]) for _ in range(rng.randrange(12)))))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows, line_dedup.MIN_WORDS)
+
+
+def test_line_dedup_odd(spark, odd):
+    got = line_dedup.dedup_lines(odd).collect()
+    texts = {(r["doc_id"], r["n_chars"]): r["text"] for r in got}
+    assert len(got) == len(ODD) and texts[(1, 1)] and texts[(2, 1)] == "" and texts[(3, None)] is None
+    assert texts[(6, 3)] == "" and texts[(None, 3)].startswith("a line")  # a null id comes first
+    assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
+
+
+# Quality
+
+
+def test_quality_on_held_out_labels(spark):
+    data = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = quality.score(docs, model).join(labels, "doc_id").filter(quality.held_out()).select("score", "quality", "doc_id").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in got)
+    good, bad = ([r["score"] for r in got if r["quality"] == q] for q in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    assert np.mean([g >= 0.3 for g in good]) > 0.98
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(1)
+    x, counts, y = rng.normal(size=(9, quality.FEATURES)).astype(np.float32), np.array([2, 4, 3]), np.array([1.0, 0.0, 1.0], np.float32)
+    m = quality.Model()
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    loss = lambda: -np.mean(np.log(np.where(y == 1, s := m.scores(x, counts), 1 - s)))
+    for k, g in m._gradients(x, counts, y).items():
+        at = tuple(0 for _ in g.shape)
+        m.p[k][at] += 1e-5
+        up = loss()
+        m.p[k][at] -= 2e-5
+        down = loss()
+        m.p[k][at] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(float(g[at]), abs=1e-4), k
+
+
+def test_quality_odd(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    model = quality.train(odd, labels)
+    got = quality.score(odd, model).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    none = quality.train(odd, labels.limit(0))
+    assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
+    assert quality.score(odd.limit(0), model).count() == 0
+
+
+# HTML
+
+
+def test_html():
+    prose = "The cat and the dog were in the house for a long time with the others. " * 5
+    page = (
+        f"<html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href='/'>Home</a></li></ul></nav>"
+        f"<div class='cookie-notice'>We use cookies.</div><article><h1>Title &amp; more</h1><p><b>{prose}<br><p>Short.</p><div class=ad>Buy the thing now</div><form>Name <input></form>"
+        f"<aside>By the way</aside></article><div id='comments'><p>{prose}</p></div><footer>&copy; x</footer>"
+    )
+    assert html_extract.main_text(page) == f"Title & more\n\n{prose.strip()}\n\nShort."
+    page = f"<div><h2>A title of it</h2><p>{prose}</p><p>Short one.</p></div><ul><li><a href=x>one</a><li><a href=y>two</a></ul>"
+    assert html_extract.main_text(page) == f"A title of it\n\n{prose.strip()}\n\nShort one."
+    assert html_extract.main_text(None) == "" == html_extract.main_text("<nav><a>x</a></nav>")
+    assert html_extract.main_text("<p>1 < 2 &lt;b&gt; <a href='x>y'>l</a>  z") == "1 < 2 <b> l z"
+
+
+def test_html_odd(spark):
+    df = spark.createDataFrame([(1, None, "u"), (1, "<article>x</article>", None), (None, "", "u")], "page_id long, html string, text string")
+    assert [r["text"] for r in html_extract.extract(df).collect()] == ["", "x", ""]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+# Suffix-array dedup
+
+
+def test_induced_sort_is_the_suffix_array(monkeypatch):
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(induced_sort, "QUEUED", 500)
+    for trial in range(80):
+        t = rng.integers(0, rng.integers(1, 5), rng.integers(1, 150))
+        if trial % 3 == 0:
+            t = np.concatenate([t, t[: len(t) // 2], t])
+        limit, x = int(rng.integers(3, 400)), t.tolist()
+        sa, lcp = induced_sort.suffix_order(t, limit, None, 2, 2)
+        want = sorted(range(len(x)), key=lambda i: x[i:])
+        assert [x[i : i + limit] for i in sa] == [x[i : i + limit] for i in want]
+        for r in range(1, len(x)):
+            a, b = x[sa[r] :], x[sa[r - 1] :]
+            k = next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+            assert lcp[r] == min(k, limit)
+
+
+def brute_bytes(rows):
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            w = b[i : i + 100]
+            if w in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(w)
+        out[d] = bytes(x for x, g in zip(b, gone) if not g)
+    return out
+
+
+def test_suffix_dedup_is_brute_force(spark):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdef ") for _ in range(400))
+    texts = ["a" * 2000, "ab" * 400, "xyz" * 50 + "q" + "xyz" * 60, base, base[:200] + "!" + base[200:], base[100:300] * 3, "", None, "é" * 49, "é" * 60, "a" * 99, base[50:149], base[50:150], "zz" + base[17:311] + "yy" + base[:130]]
+    texts += [base[i : i + 150] + base[i // 2 : i // 2 + 120] for i in range(0, 200, 7)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_bytes(rows)
+
+
+def test_suffix_dedup_odd(spark, odd):
+    got = suffix_dedup.remove_repeats(odd).collect()
+    assert len(got) == len(ODD) and {len(r["kept"]) for r in got if r["doc_id"] in (3, 4)} == {0}
+    assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
+
+
+# Top-k
+
+
+@pytest.mark.parametrize("cells, queries, vectors", [(128, 1024, 8192), (5, 3, 16)])
+def test_top_k_is_brute_force(spark, monkeypatch, cells, queries, vectors):
+    monkeypatch.setattr(knn, "QUERIES", queries)
+    monkeypatch.setattr(knn, "VECTORS", vectors)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8)).round(2)
+    x[50:150] = x[50]  # a hot vector
+    rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(400, None), (500, [float("nan")] * 8), (600, [1.0, None] * 4), (700, [1.0, 2.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in knn.top_k(knn.whole_vectors(df), F.col("vec_id") % 50 == 0, 10, cells).collect())
+    v = np.floor(1024 * x).astype(int)
+    want = []
+    for q in range(0, 300, 50):
+        s = v @ v[q]
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:10]
+        want += [(q, k + 1, i, int(s[i])) for k, i in enumerate(best)]
+    assert got == sorted(want)
+    assert knn.top_k(knn.whole_vectors(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# Chat
+
+
+def test_chat_round_trip(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", "\\<|\\\\"), (2, None, None, None), (None, 3, "assistant", "é\n😀"), (3, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.render(chat.rebuild(chat.conversations_as_events(df))).collect()}
+    assert chat.parse(got[1]["formatted"]) == [("user", said), ("assistant", said), ("assistant", "\\<|\\\\")]
+    assert chat.parse(got[2]["formatted"]) == [("", "")] and len(got) == 4
+    for r in got.values():
+        spans = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert [chat.unescape(s) for s in spans] == [t for role, t in chat.parse(r["formatted"]) if role == "assistant"]
+    assert chat.render(chat.rebuild(chat.conversations_as_events(df.limit(0)))).count() == 0
+
+
+def test_chat_events(spark):
+    rows = [
+        (1, 1, "message", 0, "user", "hi"), (1, 2, "delta", 1, "assistant", "he"), (1, 3, "delta", 1, "assistant", "llo"), (1, 4, "message", 2, "user", "more"),
+        (1, 5, "regenerate", 1, None, None), (1, 6, "delta", 1, "assistant", "hey"), (1, 7, "edit", 0, None, "hi!"), (1, 8, "edit", 9, None, "x"),
+        (1, 9, "message", None, "user", "bye"), (1, 10, "delete", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string")
+    got = chat.rebuild(df.repartition(5)).first()["messages"]
+    assert [(m["role"], m["text"]) for m in got] == [("user", "hi!"), ("assistant", "hey")]

@@ -1,0 +1,63 @@
+"""The queries opN against their SQL, and each stage of the pipeline on its own input."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from gristmill.llm import packing, quality
+from gristmill.llm.queries import ORACLE_SQL, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    r = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in r.description]
+    show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    want = sorted([show(dict(zip(names, row))[c]) for c in sorted(names)] for row in r.fetchall())
+    df = QUERIES[name](spark, DATA)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted([show(row[c]) for c in sorted(names)] for row in df.collect()) == want
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality classifier"](spark, docs, DATA).cache()
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.score(docs, model).collect() if r["score"] >= 0.3}
+    assert sum(labels.get(r["doc_id"]) == 0 for r in kept.collect()) < sum(q == 0 for q in labels.values()) / 2
+    lined = stages["line dedup"](spark, kept, DATA).cache()
+    assert lined.columns == docs.columns and {r["n_chars"] == len(r["text"]) for r in lined.collect()} == {True}
+    alone = stages["n-gram jaccard join"](spark, lined, DATA).cache()
+    assert not alone.exceptAll(lined).count()
+    words = lambda t: [*t.lower().encode().split()]
+    sets = {r["doc_id"]: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in lined.collect() if (w := words(r["text"]))}
+    ids = sorted(r["doc_id"] for r in alone.collect())
+    assert all(len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]) for a in ids for b in ids if a < b and a in sets and b in sets)
+    gone = set(sets) - set(ids)
+    assert all(any(len(sets[g] & sets[b]) >= 0.8 * len(sets[g] | sets[b]) for b in sets if b != g) for g in gone)
+    mixed = stages["source mixing"](spark, alone, DATA).cache()
+    assert mixed.columns == docs.columns and not mixed.distinct().exceptAll(alone).count()
+    packed = stages["best-fit packing"](spark, mixed, DATA).collect()
+    encoder = packing.Encoder(packing.tokenizer_path())
+    want = sum(len(x) + 1 for x in encoder.encode([r["text"] for r in mixed.collect()]))
+    assert sum(r["length"] for r in packed) == want
+    room = {}
+    for r in packed:
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for slots in room.values():
+        at = 0
+        for offset, length in sorted(slots):
+            assert offset == at
+            at += length
+        assert at <= 2048
