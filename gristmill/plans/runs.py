@@ -211,3 +211,12 @@ def extraction_confidence(spark, sf_dir):
 
     least = F.array_min(F.array(of(0, 10), of(15, 30)))
     return tokens.select("id", R(least).alias("confidence")).filter("confidence IS NOT NULL")
+
+
+@query("tfidf_lr_baseline")
+def tfidf_lr_baseline(spark, sf_dir):
+    from gristmill.operators.baseline import tfidf_baseline
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = d.select("text", F.col("quality").cast("string").alias("label"), (F.col("doc_id") % 10).alias("k"))
+    return tfidf_baseline(d.filter("k < 6"), d.filter("k >= 6 AND k < 8"))[2]
