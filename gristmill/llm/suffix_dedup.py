@@ -22,10 +22,10 @@ from gristmill.llm._common import materialize, text_key
 from gristmill.llm.induced_sort import suffix_blocks
 
 #: Bytes of a string that must not repeat; of the short strings whose hashes deal windows out.
-LENGTH, SHORT = 100, 16
+LENGTH, SHORT = 100, 32
 #: Windows of a chunk at most; bytes of text hashed at once, unless one text alone has more; bytes of text
 #: per shard of chunks, and of chunk text per shard that is sorted.
-WINDOWS, BYTES_AT_ONCE, SHARD, SORTED = 64, 2_000_000, 32 << 20, 3 << 20
+WINDOWS, BYTES_AT_ONCE, SHARD, SORTED = 64, 1_000_000, 32 << 20, 3 << 20
 _U = np.uint64
 _NULL = -(2**63)
 
@@ -71,7 +71,7 @@ def chunks(raw: list[bytes]) -> dict[str, np.ndarray]:
     h32 = _doubled(h16, 16)
     h64 = _doubled(h32, 32)
     whole = (h64[:total] * _ODD[1] + h32[64 : 64 + total]) * _ODD[3] + h4[96 : 96 + total]
-    short = _mix(h16)
+    short = _mix(h32)
     span = LENGTH - SHORT + 1
     least = _sliding(short, span, np.minimum)
     new = valid.copy()
