@@ -19,8 +19,8 @@ from gristmill.llm._common import running_sum
 CAPACITY = 2048
 #: Pieces and runs meet by blocks of so many ranks.
 BLOCK = 4096
-#: Characters tokenized at once, unless one text alone has more; words kept by a worker.
-CHARS_AT_ONCE, WORDS_KEPT = 2_000_000, 1_500_000
+#: Characters tokenized at once, unless one text alone has more; words kept by a worker; rows taken from a batch at once.
+CHARS_AT_ONCE, WORDS_KEPT, ROWS_AT_ONCE = 500_000, 500_000, 1000
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = range(5)
 #: Unicode's White_Space.
@@ -189,7 +189,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):

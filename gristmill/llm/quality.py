@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 #: Bytes of a passage; documents that a model is fitted on at most (chosen by hash of the id).
 PASSAGE, MAX_LABELLED = 512, 6000
 #: Bytes whose features are computed at once, unless one text alone has more.
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 
 
 def _byte_classes() -> tuple[np.ndarray, int]:
@@ -178,6 +178,12 @@ class Model:
         }
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     at = 0
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -209,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             for at, texts in _parts(b.column(1).to_pylist()):
                 x, counts = passage_features(texts)
                 ends = np.cumsum(counts)
@@ -244,7 +250,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             found = [model.scores(*passage_features(texts)) for _, texts in _parts(b.column(at_text).to_pylist())]
             values = pa.array(np.concatenate(found) if found else np.empty(0))
             yield pa.RecordBatch.from_arrays([*b.columns, values], names=schema.names)
