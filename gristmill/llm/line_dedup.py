@@ -13,6 +13,7 @@ from gristmill.llm.mixing import word_count
 
 #: Words that a run must have at least.
 MIN_WORDS = 5
+ADDED = ("n_lines", "n_removed", "n_left")
 _INK = r"[^\x20\x09-\x0D]"
 
 
@@ -25,11 +26,16 @@ def _numbered(keys: DataFrame, order: list[str], bucket: Column, out: str) -> Da
     return running_sum(keys, [], [F.col(c) for c in order], F.lit(1), out, bucket)
 
 
+def _known(doc_id: str) -> Column:
+    """The id as a long, the smallest one for null, so that ids can be joined on and come in order."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, th, i, words, h1, h2): the lines with at least one word, numbered from 0 among themselves. th
     and doc_id name a document; h1 and h2 are 128 bits of the line."""
     inked = F.filter(_lines(), lambda x: x.rlike(_INK))
-    df = docs.select("doc_id", text_key().alias("th"), F.posexplode(inked).alias("i", "line"))
+    df = docs.select(_known("doc_id").alias("doc_id"), text_key().alias("th"), F.posexplode(inked).alias("i", "line"))
     return df.select(
         "doc_id", "th", "i", word_count(F.col("line")).alias("words"), F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit("second"), "line").alias("h2"),
@@ -103,7 +109,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         rows = materialize(rows, "suffixes")
         k += 1
     if not runs:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("i")).limit(0)
+        return docs.select(_known("doc_id").alias("doc_id"), F.lit(0).cast("long").alias("th"), F.lit(0).alias("i")).limit(0)
     found = runs[0]
     for more in runs[1:]:
         found = found.unionByName(more)
@@ -121,28 +127,33 @@ def _at(ranks: DataFrame, place: str, name: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, any more) without later copies of repeated runs of lines: text is what is left;
-    n_lines (all lines, blank ones too) and n_removed are added.
+    n_lines (all lines, blank ones too), n_removed and n_left (lines with words that are left) are added.
 
     Lines end at line feeds; blank lines (without any word) belong to no run and stay. A null text stays
     null and has no lines; an empty one has one, blank. Rows equal in doc_id and text are one document and
     share their result; documents of one doc_id but different texts are told apart by their text's hash.
-    Null doc_ids come first. Columns named n_lines or n_removed, or beginning with __, are replaced.
+    Null doc_ids come first. Columns of the added names, or beginning with __, are replaced.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in ("n_lines", "n_removed") or c.startswith("__")])
+    docs = docs.drop(*[c for c in docs.columns if c in ADDED or c.startswith("__")])
     gone = later_copies(docs, min_words).groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__key")).agg(
         F.collect_set("i").alias("__gone")
     )
-    df = docs.withColumn("__th", text_key())
-    df = df.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__key")), "left")
-    lines = _lines()
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    inked = F.filter(every, lambda j: F.get(F.col("__lines"), j).rlike(_INK))
-    df = df.withColumn("__lines", lines)
-    df = df.withColumn("__inked", F.when(F.col("__gone").isNotNull(), inked))
-    left = F.array_except(every, F.transform("__gone", lambda o: F.get(F.col("__inked"), o)))
+    # Lines are split, and those with words found, before the join: what is behind it is computed once, and not again for
+    # each element of an array that a later expression runs over.
+    marked = F.filter(F.transform(_lines(), lambda x, j: F.struct(j.alias("j"), x.rlike(_INK).alias("ink"))), lambda s: s["ink"])
+    df = docs.select(
+        *[c for c in docs.columns if c != "text"], text_key().alias("__th"), _lines().alias("__lines"),
+        F.transform(marked, lambda s: s["j"]).alias("__inked"),
+    )
+    df = df.join(gone, (_known("doc_id") == F.col("__doc")) & (F.col("__th") == F.col("__key")), "left")
+    whole = F.array_join("__lines", "\n")
+    places = F.transform("__gone", lambda o: F.get(F.col("__inked"), o))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), places)
     text = F.array_join(F.transform(left, lambda j: F.get(F.col("__lines"), j)), "\n")
-    df = df.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-    df = df.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    df = df.withColumn("n_removed", F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"))
-    df = df.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text))
-    return df.select(*docs.columns, "n_lines", "n_removed")
+    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
+    return df.select(
+        *[F.when(F.col("__gone").isNull(), whole).otherwise(text).alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
+        removed.alias("n_removed"),
+        (F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__inked")).cast("long") - removed).alias("n_left"),
+    )
