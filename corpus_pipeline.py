@@ -25,7 +25,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Later copies of repeated runs of lines go; a document of which no word is left goes with them. n_chars
     is that of the text that is left."""
     df = line_dedup.dedup_lines(docs)
-    df = df.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    df = df.filter((F.col("n_removed") == 0) | (F.col("n_left") > 0))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         df = df.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
