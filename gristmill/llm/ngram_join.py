@@ -26,7 +26,7 @@ STEP, TOLERANCE = 20, 1e-7
 #: Members of a group that meet in one task: larger groups are split into blocks, and pairs of blocks meet.
 BLOCK = 512
 #: Bytes of text hashed at once, unless one text alone has more; pairs looked at at once.
-BYTES_AT_ONCE, PAIRS_AT_ONCE = 4_000_000, 1_000_000
+BYTES_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 500_000
 
 _U = np.uint64
 
@@ -104,7 +104,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     are the keys of its bands, sig holds a byte of each MinHash value. No words: null sid, bands and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (small for b in batches for small in _slices(b)):
             texts, at = batch.column(2).to_pylist(), 0
             while at < len(texts):
                 stop, size = at, 0
@@ -323,7 +323,9 @@ def exact_links(members: DataFrame, threshold: float = THRESHOLD, words: int = W
                 # The smaller set can't have less than the threshold's share of the larger.
                 near = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
                 a, b = probable(a[near], b[near], sig, threshold)
-                starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+                if not len(a):
+                    continue
+                starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
                 for lo, hi in zip(starts, [*starts[1:], len(a)], strict=True):
                     mine, others = a[lo], b[lo:hi]
                     own = ids[first[mine] : first[mine] + n[mine]]

@@ -72,6 +72,13 @@ def test_ngram_join_splits_large_groups_into_blocks(spark):
     assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {1199}
 
 
+def test_ngram_join_of_a_group_without_any_link(spark):
+    words = [f"w{i}" for i in range(28)]
+    rows = [(k, " ".join(words[:n])) for k, n in enumerate((28, 22, 17))]  # 24, 18 and 13 runs: probable, but too unlike in size
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
+
+
 def test_ngram_join_odd(spark, odd):
     got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_documents(odd).collect()}
     assert {(1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 4, 0), (5, 5, 0)} <= got
