@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.operators import metrics, splits
+from gristmill.functions import text as tx
+from gristmill.operators import metrics, splits, votes
 from gristmill.registry import query
-from gristmill.sources.views import CAPTURES, PREDS, SERVED, captures, preds, served, table
+from gristmill.sources.views import CAPTURES, PREDS, SERVED, captures, imports, preds, served, table
 
 R = lambda c, n=9: F.round(c, n)
 
@@ -119,9 +120,15 @@ def cascade_minus_teacher(spark, sf_dir):
 
 @query("bakeoff_inputs", f"WITH {PREDS} SELECT grp, gold, count(*) AS n FROM preds WHERE split = 'valid' AND grp IS NOT NULL AND grp NOT IN (SELECT grp FROM preds WHERE split = 'test' AND id % 97 = 0 AND grp IS NOT NULL) GROUP BY ALL")
 def bakeoff_inputs(spark, sf_dir):
-    p = preds(spark, sf_dir)
-    taken = p.filter("split = 'test' AND id % 97 = 0 AND grp IS NOT NULL").select("grp").distinct()
-    return p.filter("split = 'valid' AND grp IS NOT NULL").join(taken, "grp", "left_anti").groupBy("grp", "gold").agg(F.count("*").alias("n"))
+    """(h, id, gold), one per hash of imported inputs: those whose most protected split is valid, with the strict majority of their
+    valid golds. id is the first row with that input, which has its text. Texts are hashed where they are read."""
+    norm = tx.normalise("text")
+    h = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), norm.alias("norm")).filter("norm <> ''").select("id", F.sha2("norm", 256).alias("h"))
+    gold = F.when(F.col("gold").isin("0", "1"), F.col("gold"))
+    i = imports(spark, sf_dir).select("id", gold.alias("gold"), votes.canonical_split("split").alias("split")).join(h, "id")
+    e = i.groupBy("h").agg(F.max(F.expr(votes.RANK)).alias("rank"), F.min("id").alias("id")).filter("rank = 2")
+    g = votes.majority(i, "h", "gold", "id").filter("gold IS NOT NULL")
+    return e.join(g, "h").select("h", "id", "gold")
 
 
 @query("bench_inputs", f"WITH {PREDS} SELECT p.id, length(d.text) AS n_chars FROM preds p JOIN documents d ON d.doc_id = p.id WHERE split = 'test' ORDER BY id")
