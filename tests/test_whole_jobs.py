@@ -1,6 +1,9 @@
 """Queries that do the whole job, against rows worked out by hand on small tables."""
 
+import numpy as np
+
 from gristmill import registry
+from gristmill.operators import baseline
 
 registry.load()
 
@@ -27,3 +30,17 @@ def test_bakeoff_inputs_are_valid_hashes_with_a_majority_gold(spark, tmp_path):
     got = registry.QUERIES["bakeoff_inputs"](spark, tables(spark, tmp_path, rows)).collect()
     assert sorted((r["id"], r["gold"]) for r in got) == [(6, "1"), (25, "0"), (195, "1")]
     assert len({r["h"] for r in got}) == 3
+
+
+def test_baseline_takes_every_term_with_sublinear_weights_and_the_whole_grid(spark):
+    rows = [("Äpfel a äpfel birne", "1"), ("birne birne birne " + " ".join(f"w{i}" for i in range(5000)), "0"), ("äpfel neu", "1"), ("birne alt", "0")]
+    train = spark.createDataFrame(rows, "text string, label string")
+    model, c, scores = baseline.tfidf_baseline(train, train)
+    words = {"äpfel", "birne", "neu", "alt"} | {f"w{i}" for i in range(5000)}
+    pairs = {"äpfel äpfel", "äpfel birne", "birne birne", "birne w0", "äpfel neu", "birne alt"} | {f"w{i} w{i + 1}" for i in range(4999)}
+    assert model.numFeatures == len(words) + len(pairs) and model.numClasses == 2
+    assert [r["c"] for r in scores.orderBy("c").collect()] == [0.1, 0.3, 1.0, 3.0, 10.0, 30.0]
+    got = baseline.features(train)(train).first()["__x"].values
+    idf = lambda df: 1 + np.log(5 / (1 + df))
+    want = np.array([(1 + np.log(2)) * idf(2), idf(3), idf(1), idf(1)])
+    assert np.allclose(sorted(got), sorted(want / np.linalg.norm(want)))
