@@ -40,6 +40,22 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: str, test: float
     return _cut(df, [F.col("__place"), F.col(label), F.col("__i")], test, valid).drop("__i", "__place")
 
 
+def water_quota(counts: DataFrame, label: str, n: str, size) -> DataFrame:
+    """counts (label, n) with the quota of each label: size rows over all, or all there are, dealt as evenly as the counts
+    allow. What a label lacks goes to those that have more, what is left over to the largest, one row each."""
+    w = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum(n).over(w.orderBy(n, label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.count("*").over(w) - F.row_number().over(w.orderBy(n, label)) + 1
+    df = counts.withColumn("__level", F.floor((F.lit(size) - before) / open_))
+    # Labels with fewer rows than the level so far are taken whole; the level of the first that has more holds.
+    df = df.withColumn("__level", F.max(F.when(F.col(n) > F.col("__level"), F.col("__level"))).over(w))
+    df = df.withColumn("quota", F.least(n, "__level"))
+    more = F.col(n) > F.col("quota")
+    rank = F.row_number().over(w.orderBy(F.desc(n), label))
+    df = df.withColumns({"__over": F.lit(size) - F.sum("quota").over(w), "__r": rank})
+    return df.withColumn("quota", F.col("quota") + F.when(more & (F.col("__r") <= F.col("__over")), 1).otherwise(0)).drop("__level", "__over", "__r")
+
+
 def fill_groups(groups: list[tuple[str, int]], target: float, keep: int) -> list[str]:
     """Whole groups, in the order given, while half of the next still fits the target; at least one, and never so many
     that fewer than `keep` groups are left."""

@@ -407,8 +407,14 @@ def seeded_shuffle_sample(spark, sf_dir):
 
 @query("quick_subset", f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {ORDER.replace('KIND', 'quick')}, doc_id) AS r FROM documents) WHERE r <= 20""")
 def quick_subset(spark, sf_dir):
+    """20 rows a language on average: what a language lacks goes to those that have more."""
+    d = docs(spark, sf_dir).select("doc_id", "lang")
+    counts = d.groupBy("lang").agg(F.count("*").alias("n"))
+    quotas = splits.water_quota(counts, "lang", "n", 20 * counts.count()).select(F.col("lang").alias("of"), "quota")
+    most = quotas.agg(F.max("quota")).first()[0] or 0
     w = Window.partitionBy("lang").orderBy(splits.seeded_rank("13", "quick", F.col("doc_id")), "doc_id")
-    return docs(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r <= 20").select("doc_id", "lang")
+    first = d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)  # a limit that is known keeps rows from the shuffle
+    return first.join(F.broadcast(quotas), F.col("lang").eqNullSafe(F.col("of"))).filter("r <= quota").select("doc_id", "lang")
 
 
 # Labels, JSON and schemas.

@@ -3,7 +3,7 @@
 import numpy as np
 
 from gristmill import registry
-from gristmill.operators import baseline
+from gristmill.operators import baseline, splits
 
 registry.load()
 
@@ -44,3 +44,20 @@ def test_baseline_takes_every_term_with_sublinear_weights_and_the_whole_grid(spa
     idf = lambda df: 1 + np.log(5 / (1 + df))
     want = np.array([(1 + np.log(2)) * idf(2), idf(3), idf(1), idf(1)])
     assert np.allclose(sorted(got), sorted(want / np.linalg.norm(want)))
+
+
+def test_quick_subset_hands_on_what_a_language_lacks(spark, tmp_path):
+    sizes = {"a": 3, "b": 90, "c": 30, "d": 25}
+    rows = [(i, "x", lang, None) for i, lang in enumerate(k for k, n in sizes.items() for _ in range(n))]
+    got = registry.QUERIES["quick_subset"](spark, tables(spark, tmp_path, rows)).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"a": 3, "b": 26, "c": 26, "d": 25}
+
+
+def test_water_quota(spark):
+    def quota(size, **n):
+        df = spark.createDataFrame(list(n.items()), "label string, n long")
+        return {r["label"]: r["quota"] for r in splits.water_quota(df, "label", "n", size).collect()}
+
+    assert quota(80, a=3, b=90, c=30, d=30) == {"a": 3, "b": 26, "c": 26, "d": 25}
+    assert quota(8, a=1, b=5, c=5) == {"a": 1, "b": 4, "c": 3}
+    assert quota(9, a=1, b=2) == {"a": 1, "b": 2}
