@@ -50,15 +50,17 @@ def verified(pairs: DataFrame, s: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
 
 
-def near_pairs(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+def near_pairs(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD, within: str | None = None) -> DataFrame:
     """(a, b, kind, jaccard): texts of one key are linked to its smallest id ('exact', 1.0), and the smallest ids of
-    different keys to each other where their sets reach the threshold ('near')."""
-    s = materialize(sets(df, id_, text), "sets")
-    first = F.min("id").over(Window.partitionBy("key"))
+    different keys to each other where their sets reach the threshold ('near'). within: only rows with the same value of it."""
+    own = [within] if within else []
+    s = materialize(sets(df, id_, text, own), "sets")
+    first = F.min("id").over(Window.partitionBy("key", *own))
     s = s.withColumn("first", first)
     exact = s.filter(F.col("id") > F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("kind"), F.lit(1.0).alias("jaccard"))
     reps = s.filter(F.col("id") == F.col("first")).drop("first")
-    found = verified(candidates(reps.drop("key"), threshold), reps, threshold)
+    same = (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.id") < F.col("b.id")) if within else None
+    found = verified(candidates(reps.drop("key"), threshold, same), reps, threshold)
     return exact.unionByName(found.select("a", "b", F.lit("near").alias("kind"), "jaccard"))
 
 

@@ -10,6 +10,7 @@ from gristmill.functions import pii
 from gristmill.functions import text as tx
 from gristmill.operators import metrics, similarity, splits, votes
 from gristmill.registry import query
+from gristmill.sources.shared import materialize
 from gristmill.sources.views import CAPTURES, IMPORTS, PREDS, captures, imports, preds, table
 
 R = lambda c, n=9: F.round(c, n)
@@ -521,23 +522,72 @@ def length_stats(spark, sf_dir):
     return p.select("split", R("p50", 1).alias("p50"), R("p95", 1).alias("p95"), "longest")
 
 
+def _curated(spark, sf_dir) -> list[tuple[str, DataFrame]]:
+    """The stages in order, each with the rows it kept of its predecessor's; from 'split' on rows have a split."""
+    r = _records(spark, sf_dir).withColumns({"split": votes.canonical_split("split"), "h": F.sha2(tx.normalise("input"), 256)})
+    seq = F.when(F.col("origin") == "import", F.col("id")).otherwise(F.col("id") + 1000000000)
+    r = materialize(r.select(seq.alias("seq"), "h", "input", "output", "gold", "split", "result"), "records")
+    extract = r.filter("result = 'ok'")
+    known = lambda c: F.when(F.col(c).isin("0", "1"), F.col(c))
+    g = extract.select("h", "seq", "output", "split", known("output").alias("teacher"), known("gold").alias("gold"))
+    merge = g.groupBy("h").agg(F.min("seq").alias("seq"), (F.count("output") == 0).alias("pending"), F.max(F.expr(votes.RANK)).alias("rank"))
+    merge = merge.withColumn("given", F.when(F.col("rank") > 0, F.element_at(F.array(*map(F.lit, ("train", "valid", "test"))), F.col("rank").cast("int"))))
+    merge = materialize(merge.drop("rank"), "merge")
+    teacher = votes.majority(g, "h", "teacher", "seq").drop("total")
+    voted = merge.join(teacher, "h").join(votes.majority(g, "h", "gold", "seq").select("h", "gold"), "h")
+    voted = materialize(voted.filter("pending OR teacher IS NOT NULL OR given = 'test'"), "voted")
+    text = extract.select("seq", "input").join(voted.select("seq"), "seq").select("seq", pii.scrub("input")["text"].alias("text"))
+    scrubbed = materialize(voted.join(text, "seq"), "scrubbed")
+    free = splits.random_split(scrubbed.filter("given IS NULL").select("h"), "h", "13", 0.2, 0.1)
+    split = scrubbed.join(free, "h", "left").withColumn("split", F.coalesce("given", "split")).drop("given", "h")
+    split = materialize(split, "split")
+
+    c = materialize(similarity.components(similarity.near_pairs(split, "seq", "text", within="split")), "clusters")
+    own = split.select(F.col("seq").alias("id"), "teacher", "votes", "gold")
+    resolved = votes.resolve_clusters(c.withColumnRenamed("root", "cluster").join(own, "id")).filter("survivor IS NOT NULL")
+    won = resolved.select(F.col("survivor").alias("seq"), "teacher", "gold")
+    alone = split.join(c.select(F.col("id").alias("seq")), "seq", "left_anti")
+    dedupe = materialize(alone.unionByName(split.drop("teacher", "gold").join(won, "seq")), "dedupe")
+
+    def crossing(df):
+        return similarity.cross_matches(df.select("seq", "text", "split"), "seq", "text", "split")
+
+    cross = dedupe.join(crossing(dedupe).select(F.col("a").alias("seq")).distinct(), "seq", "left_anti")
+    cross = materialize(cross, "cross")
+    recorded = table(spark, sf_dir, "labels").filter("doc_id % 6 <> 0 AND doc_id % 13 <> 0")  # as in label_examples
+    recorded = recorded.select(F.col("doc_id").alias("seq"), F.col("quality").cast("string").alias("answer"))
+    label = cross.join(recorded, "seq", "left").withColumn("teacher", F.coalesce("teacher", F.when(F.col("pending"), known("answer"))))
+    label = materialize(label.filter("NOT pending OR teacher IS NOT NULL OR split = 'test'").drop("answer"), "label")
+    length = label.filter(F.regexp_count("text", F.lit(r"[^\s]+")) <= 500)
+    m = crossing(length)
+    leaking = m.select(F.col("a").alias("seq")).union(m.select(F.col("b").alias("seq"))).distinct()
+    return [
+        ("load", r), ("extract", extract), ("merge", merge), ("vote", voted), ("pii", scrubbed), ("split", split), ("dedupe", dedupe),
+        ("cross_split", cross), ("label", label), ("length", length), ("leakage", length.join(leaking, "seq", "left_anti")),
+    ]
+
+
+def _stage_sizes(spark, stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(stage, name, split, n): rows after each stage; a split that has none counts 0, and split is null before there are splits."""
+    names = spark.createDataFrame([("train",), ("valid",), ("test",)], "split string")
+    out = None
+    for i, (name, df) in enumerate(stages, start=1):
+        if "split" in df.columns and i > 5:
+            n = names.join(df.groupBy("split").agg(F.count("*").alias("n")), "split", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        else:
+            n = df.agg(F.count("*").alias("n")).withColumn("split", F.lit(None).cast("string"))
+        n = n.select(F.lit(i).alias("stage"), F.lit(name).alias("name"), "split", "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("stage_counters", f"""WITH {CROSS}, l AS (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT * FROM (
 SELECT 1 AS stage, 'load' AS name, count(*) AS n FROM documents UNION ALL SELECT 2, 'exact', count(DISTINCT key) FROM n
 UNION ALL SELECT 3, 'cross_split', count(*) FROM sp WHERE doc_id NOT IN (SELECT a FROM pairs)
 UNION ALL SELECT 4, 'length', count(*) FROM sp JOIN l USING (doc_id) WHERE doc_id NOT IN (SELECT a FROM pairs) AND t <= 500)""")
 def stage_counters(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    gone = _cross(spark, sf_dir).select(F.col("a").alias("doc_id")).distinct()
-    left = d.join(gone, "doc_id", "left_anti")
-    count = lambda i, name, df, c=None: df.agg((F.count("*") if c is None else F.count_distinct(c)).alias("n")).select(F.lit(i).alias("stage"), F.lit(name).alias("name"), "n")
-    parts = [
-        count(1, "load", d), count(2, "exact", d, tx.dedupe_key("text")), count(3, "cross_split", left),
-        count(4, "length", left.filter(F.regexp_count("text", F.lit(r"[^\s]+")) <= 500)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows after each curate stage and in each split; the last, leakage, counts those in no match across splits."""
+    return _stage_sizes(spark, _curated(spark, sf_dir))
 
 
 @query("emptied_at", """WITH c AS (SELECT s AS split, st AS stage, CASE WHEN s = 'valid' AND st >= 3 THEN 0 ELSE 1 END AS n FROM (VALUES ('train'), ('valid'), ('test')) a(s), range(5) b(st))

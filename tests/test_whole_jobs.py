@@ -61,3 +61,19 @@ def test_water_quota(spark):
     assert quota(80, a=3, b=90, c=30, d=30) == {"a": 3, "b": 26, "c": 26, "d": 25}
     assert quota(8, a=1, b=5, c=5) == {"a": 1, "b": 4, "c": 3}
     assert quota(9, a=1, b=2) == {"a": 1, "b": 2}
+
+
+LONG = " ".join(f"l{i}" for i in range(501))
+
+
+def test_stages_are_chained(spark, tmp_path):
+    """Ids are those of pairs (not % 3 = 0) unless said; % 6: 1 and 3 valid, 2 test, 4 train."""
+    rows = [
+        (4, "one two three four", "fr", 1), (10, "ONE two three four", "fr", 1), (16, "a copy across", "fr", 0), (2, "A copy across", "fr", 0),
+        (22, "told apart", "fr", 0), (34, "Told apart", "fr", 1), (1, LONG, "fr", 1), (40, "kept of train", "fr", 1),
+    ]
+    path = tables(spark, tmp_path, rows)
+    got = {(r["name"], r["split"]): r["n"] for r in registry.QUERIES["stage_counters"](spark, path).collect()}
+    assert [got[s, None] for s in ("load", "extract", "merge", "vote", "pii")] == [8] * 5
+    by = {s: tuple(got[s, k] for k in ("train", "valid", "test")) for s in ("split", "dedupe", "cross_split", "label", "length", "leakage")}
+    assert by == {"split": (6, 1, 1), "dedupe": (3, 1, 1), "cross_split": (2, 1, 1), "label": (2, 1, 1), "length": (2, 0, 1), "leakage": (2, 0, 1)}
