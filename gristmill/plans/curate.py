@@ -590,9 +590,21 @@ def stage_counters(spark, sf_dir):
     return _stage_sizes(spark, _curated(spark, sf_dir))
 
 
+EMPTIED_BY = {
+    "split": "no row was assigned to it", "dedupe": "dedupe within splits removed every row",
+    "cross_split": "every row duplicates a row of a more protected split", "label": "every row's teacher answer was missing or invalid",
+    "length": "every row is longer than 500 tokens",
+}
+
+
+def _emptied(sizes: DataFrame) -> DataFrame:
+    reason = F.create_map(*[F.lit(x) for kv in EMPTIED_BY.items() for x in kv])
+    of = sizes.filter(F.col("name").isin(*EMPTIED_BY)).groupBy("split").agg(F.min(F.when(F.col("n") == 0, F.struct("stage", "name"))).alias("f"))
+    return of.select("split", F.col("f.stage").alias("stage"), F.col("f.name").alias("name"), F.element_at(reason, F.col("f.name")).alias("reason"))
+
+
 @query("emptied_at", """WITH c AS (SELECT s AS split, st AS stage, CASE WHEN s = 'valid' AND st >= 3 THEN 0 ELSE 1 END AS n FROM (VALUES ('train'), ('valid'), ('test')) a(s), range(5) b(st))
 SELECT split, CAST(min(stage) FILTER (n = 0) AS INTEGER) AS stage FROM c GROUP BY split""")
 def emptied_at(spark, sf_dir):
-    c = spark.range(5).select(F.explode(F.array(*map(F.lit, ("train", "valid", "test")))).alias("split"), F.col("id").cast("int").alias("stage"))
-    n = F.when((F.col("split") == "valid") & (F.col("stage") >= 3), 0).otherwise(1)
-    return c.groupBy("split").agg(F.min(F.when(n == 0, F.col("stage"))).alias("stage"))
+    """The first stage after which a split is empty, and why; nulls for a split with rows at the end."""
+    return _emptied(_stage_sizes(spark, _curated(spark, sf_dir)))

@@ -66,7 +66,7 @@ def test_water_quota(spark):
 LONG = " ".join(f"l{i}" for i in range(501))
 
 
-def test_stages_are_chained(spark, tmp_path):
+def test_stages_are_chained_and_emptied_splits_found(spark, tmp_path):
     """Ids are those of pairs (not % 3 = 0) unless said; % 6: 1 and 3 valid, 2 test, 4 train."""
     rows = [
         (4, "one two three four", "fr", 1), (10, "ONE two three four", "fr", 1), (16, "a copy across", "fr", 0), (2, "A copy across", "fr", 0),
@@ -77,3 +77,5 @@ def test_stages_are_chained(spark, tmp_path):
     assert [got[s, None] for s in ("load", "extract", "merge", "vote", "pii")] == [8] * 5
     by = {s: tuple(got[s, k] for k in ("train", "valid", "test")) for s in ("split", "dedupe", "cross_split", "label", "length", "leakage")}
     assert by == {"split": (6, 1, 1), "dedupe": (3, 1, 1), "cross_split": (2, 1, 1), "label": (2, 1, 1), "length": (2, 0, 1), "leakage": (2, 0, 1)}
+    found = {r["split"]: (r["name"], r["reason"]) for r in registry.QUERIES["emptied_at"](spark, path).collect()}
+    assert found == {"train": (None, None), "test": (None, None), "valid": ("length", "every row is longer than 500 tokens")}
