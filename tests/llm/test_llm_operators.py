@@ -406,21 +406,36 @@ def test_html_odd(spark):
 # Suffix-array dedup
 
 
-def test_induced_sort_is_the_suffix_array(monkeypatch):
+@pytest.mark.parametrize("spills", [False, True])
+def test_induced_sort_is_the_suffix_array(monkeypatch, tmp_path, spills):
     rng = np.random.default_rng(0)
     monkeypatch.setattr(induced_sort, "QUEUED", 500)
+    written = []
+    write = induced_sort.Spill.write
+    monkeypatch.setattr(induced_sort.Spill, "write", lambda self, arrays: written.append(1) or write(self, arrays))
     for trial in range(80):
         t = rng.integers(0, rng.integers(1, 5), rng.integers(1, 150))
         if trial % 3 == 0:
             t = np.concatenate([t, t[: len(t) // 2], t])
         limit, x = int(rng.integers(3, 400)), t.tolist()
-        sa, lcp = induced_sort.suffix_order(t, limit, None, 2, 2)
+        sa, lcp = induced_sort.suffix_order(t, limit, str(tmp_path / "queues") if spills else None, 2, 2)
         want = sorted(range(len(x)), key=lambda i: x[i:])
         assert [x[i : i + limit] for i in sa] == [x[i : i + limit] for i in want]
         for r in range(1, len(x)):
             a, b = x[sa[r] :], x[sa[r - 1] :]
             k = next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
             assert lcp[r] == min(k, limit)
+    assert bool(written) == spills and not (spills and list((tmp_path / "queues").iterdir()))
+
+
+def test_induced_sort_spills_at_its_own_bound(tmp_path, monkeypatch):
+    written = []
+    write = induced_sort.Spill.write
+    monkeypatch.setattr(induced_sort.Spill, "write", lambda self, arrays: written.append(1) or write(self, arrays))
+    text = np.random.default_rng(1).integers(1, 60, suffix_dedup.SORTED)
+    sa, _ = induced_sort.suffix_order(text, suffix_dedup.LENGTH, str(tmp_path))
+    raw = text.astype(np.uint8).tobytes()
+    assert written and all(raw[sa[i] : sa[i] + 100] <= raw[sa[i + 1] : sa[i + 1] + 100] for i in range(0, len(sa) - 1, 97))
 
 
 def brute_bytes(rows):
@@ -437,7 +452,9 @@ def brute_bytes(rows):
     return out
 
 
-def test_suffix_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0])
+def test_suffix_dedup_is_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 0: every hash's windows meet one by one
     rng = random.Random(3)
     base = "".join(rng.choice("abcdef ") for _ in range(400))
     texts = ["a" * 2000, "ab" * 400, "xyz" * 50 + "q" + "xyz" * 60, base, base[:200] + "!" + base[200:], base[100:300] * 3, "", None, "é" * 49, "é" * 60, "a" * 99, base[50:149], base[50:150], "zz" + base[17:311] + "yy" + base[:130]]
