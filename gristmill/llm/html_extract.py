@@ -31,6 +31,9 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 #: Shares of stop words of prose and of what may be prose; the share of linked characters of a menu.
 STOP_HIGH, STOP_LOW, LINKS = 0.30, 0.10, 0.5
+#: Prose of other languages has stop words of none of these: it is told by its length, its sentences (how many at least,
+#: and how long on average) and its share of linked characters.
+SENTENCES, SENTENCE, FEW_LINKS = 2, (20, 600), 0.2
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -39,16 +42,25 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-_RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
+_RAW = frozenset("script style noscript template textarea title svg iframe".split())
 _ZONES = frozenset("nav header footer aside form menu dialog button select fieldset head search".split())
-#: Parts of class and id names, and roles, of what is around an article.
+#: Names (class, id, role) of what is around an article; a name counts only as a whole, alone or with the words below
+#: that say where or in what form such a thing stands.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc header masthead footer foot "
-    "sidebar aside widget widgets related recommended recommendations share sharing social comment comments disqus "
+    "sidebar aside widget widgets related recommended recommendations share sharing comment comments disqus "
     "respond replies reply complementary contentinfo search skip copyright".split()
 )
+_FORMS = frozenset(
+    "site page main global top bottom left right upper lower first last primary secondary social links link list box bar area "
+    "section block wrapper wrap container inner outer slot unit item items entry posts post articles stories news user users reader "
+    "readers text body content form button buttons icons thread policy message mobile desktop sticky fixed js".split()
+)
+#: Ends of sentences; signs of which one says about as much as two or three letters.
+_SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$|[\"'»”)])|[。！？؟।॥።]")
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]|[\U00020000-\U0003ffff]")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -64,29 +76,31 @@ class Block:
     text: str
     linked: int  # characters of the raw text inside links
     raw: int
-    away: bool  # inside a menu, header, footer, advert or the like
+    away: bool  # inside a menu, header, footer, advert or the like, by element
+    named: bool  # the same by a class name, id or role
     article: int  # the number of the article that holds it, 0: none
     tag: str
     label: str = ""
 
 
+def _is_around(name: str) -> bool:
+    parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
+    return any(p in _NAMES for p in parts) and all(p in _NAMES or p in _FORMS or p.isdigit() for p in parts)
+
+
 def _named_away(more: str) -> bool:
     if "=" not in more:
         return False
     for m in _ATTRIBUTE.finditer(more):
-        key = m[1].lower()
-        if key in ("class", "id", "role"):
-            value = m[2] or m[3] or m[4] or ""
-            parts = re.findall(r"[A-Za-z][a-z]*|[A-Z]+", value)
-            if any(p.lower() in _NAMES for p in parts):
-                return True
+        if m[1].lower() in ("class", "id", "role") and any(_is_around(x) for x in (m[2] or m[3] or m[4] or "").split()):
+            return True
     return False
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order. Tags may be unclosed or wrongly nested; what is not a tag is text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open blocks: tag, away, article
+    stack: list[tuple[str, bool, bool, int]] = []  # open blocks: tag, away, named, article
     opened: Counter[str] = Counter()
     links, articles = 0, 0
     held: list[str] = []
@@ -98,8 +112,8 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(held)
             text = " ".join(html.unescape(raw).split())
             if text:
-                tag, away, article = stack[-1] if stack else ("", False, 0)
-                out.append(Block(text, linked, max(1, len(raw)), away, article, tag))
+                tag, away, named, article = stack[-1] if stack else ("", False, False, 0)
+                out.append(Block(text, linked, max(1, len(raw)), away, named, article, tag))
         held, linked = [], 0
 
     at, size = 0, len(page)
@@ -142,33 +156,46 @@ def blocks(page: str) -> list[Block]:
             elif name not in _VOID and not more.endswith("/"):
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
                     opened[stack.pop()[0]] -= 1
-                _, away, article = stack[-1] if stack else ("", False, 0)
-                if name in ("article", "main") or 'role="main"' in more:
-                    if not away and not article and not _named_away(more):
-                        articles += 1
-                        article = articles
+                _, away, named, article = stack[-1] if stack else ("", False, False, 0)
+                by_name = name not in ("body", "html", "article", "main") and _named_away(more)
+                if (name in ("article", "main") or 'role="main"' in more) and not away and not article and not _named_away(more):
+                    articles += 1
+                    article = articles
                 heading = len(name) == 2 and name[0] == "h" and article and stack and stack[-1][0] == "header"
-                away = (away and not heading) or name in _ZONES or (name not in ("body", "html", "article", "main") and _named_away(more))
-                stack.append((name, away, article))
+                away = (away and not heading) or name in _ZONES
+                stack.append((name, away, named or by_name, article))
                 opened[name] += 1
     flush()
     return out
 
 
+def _in_sentences(text: str, linked: float) -> bool:
+    """Whether a text reads as prose, whatever its language."""
+    ends = len(_SENTENCE_END.findall(text))
+    return ends >= SENTENCES and SENTENCE[0] <= _length(text) / ends <= SENTENCE[1] and linked < FEW_LINKS
+
+
+def _length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
 def _first_pass(b: Block, has_article: bool) -> str:
-    if b.away or (has_article and not b.article):
+    if b.away or b.named or (has_article and not b.article):
         return "bad"
     density = b.linked / b.raw
     if density > LINKS and (not b.article or b.tag in ("li", "td", "div", "ul", "dd")):
         return "bad"
     if not b.article and (b.text.startswith("©") or "©" in b.text[:60]):
         return "bad"
-    if len(b.text) < SHORT:
+    length = _length(b.text)
+    if length < SHORT:
         return "short"
     words = _LETTERS.findall(b.text.lower())
     share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if share >= STOP_HIGH:
-        return "good" if len(b.text) >= LONG else "near"
+        return "good" if length >= LONG else "near"
+    if share < STOP_LOW and _in_sentences(b.text, density):
+        return "good" if length >= LONG else "near"
     if b.article or share >= STOP_LOW:
         return "near"
     return "bad"
@@ -178,13 +205,19 @@ def label(found: list[Block]) -> list[Block]:
     """Sets each block's label to good or bad.
 
     First pass: what stands in menus, headers, footers, forms and the like, or outside the article where a
-    page marks one, is bad, and so is a block that is mostly links; long prose, by its share of stop words,
-    is good; short blocks and those between are left open. Second pass: an open block takes the label of
-    the nearest decided block before and after; if they differ, near-prose is good and a short block
+    page marks one, is bad, and so is a block that is mostly links; long prose, by its share of stop words or, in other
+    languages, by its sentences, is good; short blocks and those between are left open. Second pass: an open block takes the
+    label of the nearest decided block before and after; if they differ, near-prose is good and a short block
     follows the nearer one (the good one at a tie). Inside a marked article neighbours are sought in it alone, and
-    where none is decided all open blocks are good. On a page without any good block, near-prose is good.
+    where none is decided all open blocks are good. On a page without any good block, near-prose is good. Class names
+    say nothing on a page all of whose prose, of several blocks, stands under such names.
     """
-    has_article = any(b.article and not b.away for b in found)
+    if any(b.named for b in found):
+        prose = [b.named for b in found if not b.away and b.linked / b.raw <= LINKS and _length(b.text) >= LONG]
+        if len(prose) > 1 and all(prose):
+            for b in found:
+                b.named = False
+    has_article = any(b.article and not (b.away or b.named) for b in found)
     for b in found:
         b.label = _first_pass(b, has_article)
     if not any(b.label == "good" for b in found):
