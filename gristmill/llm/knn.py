@@ -13,25 +13,29 @@ from pyspark.sql.window import Window
 
 from gristmill.llm._common import materialize
 
-#: Cells; queries in a group; vectors in a block of a group. Bounds of what a task or the driver holds.
-CELLS, QUERIES, VECTORS = 128, 1024, 8192
+#: Cells, at least and at most; queries in a group; vectors in a block of a group. Bounds of what a task or the driver holds.
+CELLS, MOST_CELLS, QUERIES, VECTORS = 128, 4096, 1024, 8192
 #: The pairs of group and cell are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_PAIRS = 50_000
 
 
 def whole_vectors(df: DataFrame, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, v array<bigint>): floor(scale * x) of each component as a double. Rows with a null id, a null
-    or empty vector, or one that holds null, NaN or an infinity take no part. Results are exact while the
-    product of two vectors' lengths stays below 2 ** 53."""
+    or empty vector, or one that holds null, NaN or an infinity take no part; ids that are no integers count as null."""
     x = F.col(embedding)
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     df = df.filter(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & sound)
     v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
-    return df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    return df.select(F.col(vec_id).try_cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL")
 
 
-def _stack(column: pd.Series, dim: int) -> np.ndarray:
-    return np.array(column.tolist(), np.float64).reshape(len(column), dim)
+def cells_for(n: int) -> int:
+    """How many cells n vectors are split into: as many as each has vectors, within bounds."""
+    return min(MOST_CELLS, max(CELLS, int(n**0.5)))
+
+
+def _stack(column: pd.Series, dim: int, kind: type = np.float64) -> np.ndarray:
+    return np.array(column.tolist(), kind).reshape(len(column), dim)
 
 
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +53,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         at = np.arange(len(row))
         if len(row) > k:
             at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-        at = at[row[at] > -np.inf]
+        at = at[row[at] > (np.iinfo(np.int64).min if row.dtype == np.int64 else -np.inf)]
         at = at[np.lexsort((ids[at], -row[at]))][:k]
         rows.append(np.full(len(at), i))
         columns.append(at)
@@ -59,13 +63,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return r, c, scores[r, c].astype(np.int64)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, cells: int = CELLS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, cells: int | None = None) -> DataFrame:
     """The k highest inner products of each query with all vectors of its dimension but those of its own id.
 
     vectors: (vec_id, v), see whole_vectors(). is_query: a condition on vec_id. Returns query_id, rank (from
     1), vec_id, score; fewer than k rows for a query that has fewer candidates; ties go to the smaller
     vec_id. Repeated ids: a query is asked once per different vector, a candidate row counts once per row.
-    No vectors or no queries: no rows.
+    No vectors or no queries: no rows. Scores are exact; ValueError if the product of two vectors' lengths reaches 2 ** 63,
+    as a score may then not fit a long. There is a plan for each length of vector that a query has.
 
     Pivots (a bounded sample by hash) split the vectors into cells, and a summary of each cell keeps its
     pivot, its radius and its longest vector. A query's k-th best score over the pivots is a lower bound; a
@@ -74,9 +79,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, cells: int = CELLS)
     size, each block is solved by itself, and the blocks' best are merged.
     """
     vectors = vectors.withColumn("__dim", F.size("v"))
+    found = vectors.groupBy("__dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries")).filter("queries > 0")
     parts = [
-        _one_dimension(vectors.filter(F.col("__dim") == r["__dim"]).drop("__dim"), r["__dim"], is_query, k, cells)
-        for r in vectors.select("__dim").distinct().orderBy("__dim").collect()
+        _one_dimension(vectors.filter(F.col("__dim") == r["__dim"]).drop("__dim"), r["__dim"], is_query, k, cells or cells_for(r["n"]))
+        for r in found.orderBy("__dim").collect()
     ]
     schema = "query_id long, rank int, vec_id long, score long"
     out = vectors.sparkSession.createDataFrame([], schema)
@@ -112,6 +118,11 @@ def _one_dimension(vectors: DataFrame, dim: int, is_query: Column, k: int, cells
     far, norm = np.zeros(len(pivots)), np.zeros(len(pivots))
     for r in summary:
         count[r["cell"]], far[r["cell"]], norm[r["cell"]], queries[r["cell"]] = r["n"], r["far"], r["norm"], r["queries"]
+    longest = max(norm, default=0.0) ** 2
+    if longest >= 2.0**63:
+        raise ValueError("vectors are too long: their scores may not fit a long")
+    whole = np.float64 if longest < 2.0**53 else np.int64  # numbers whose sums are exact
+
     # Cells of few queries share a group, those of many have several.
     first, parts, group, load = [], [], -1, QUERIES
     for n in queries:
@@ -140,7 +151,7 @@ def _one_dimension(vectors: DataFrame, dim: int, is_query: Column, k: int, cells
                 least = np.partition(sure, -k, 1)[:, -k] if sure.shape[1] >= k else np.full(len(q), -np.inf)
                 size = np.sqrt((q * q).sum(1))[:, None] * (1 + 1e-9)
                 most = np.minimum(q @ pivots.T + size * far[None], size * norm[None])
-                where = (most + 1 >= least[:, None]) & (count > 0)[None]
+                where = (most + 1 + 1e-9 * size * max(norm) >= least[:, None]) & (count > 0)[None]
                 g = part["group"].to_numpy()
                 for one in np.unique(g):
                     pairs.update((int(one), int(c)) for c in np.flatnonzero(where[g == one].any(0)))
@@ -165,12 +176,12 @@ def _one_dimension(vectors: DataFrame, dim: int, is_query: Column, k: int, cells
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
-            vec_ids, vectors = x["vec_id"].to_numpy(), _stack(x["v"], dim)
+            vec_ids, vectors = x["vec_id"].to_numpy(), _stack(x["v"], dim, whole)
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
                 query_ids = part["query_id"].to_numpy()
-                scores = _stack(part["q"], dim) @ vectors.T
-                scores[query_ids[:, None] == vec_ids[None]] = -np.inf
+                scores = _stack(part["q"], dim, whole) @ vectors.T
+                scores[query_ids[:, None] == vec_ids[None]] = np.iinfo(np.int64).min if whole is np.int64 else -np.inf
                 r, c, s = _best(scores, vec_ids, k)
                 # Queries of one id and different vectors are told apart by `which`.
                 out.append(pd.DataFrame({"query_id": query_ids[r], "which": part["which"].to_numpy()[r], "vec_id": vec_ids[c], "score": s}))
