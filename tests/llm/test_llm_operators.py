@@ -397,6 +397,48 @@ def test_html():
     assert html_extract.main_text("<p>1 < 2 &lt;b&gt; <a href='x>y'>l</a>  z") == "1 < 2 <b> l z"
 
 
+PROSE = "The cat and the dog were in the house for a long time with the others. " * 5
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout no-sidebar"><p>{}</p></div>', '<div id="page" class="has-header"><p>{}</p></div>', '<div class="social-science"><p>{}</p></div>',
+        '<div class="share-price"><p>{}</p></div>', '<article><section class="related-work"><p>{}</p></section></article>',
+        '<body class="widget"><div class="menu"><a href="/">Home</a></div><p>{}</p></body>', '<div class="comments-closed-notice-free"><p>{}</p></div>',
+        '<div class="siteHeader"><p>{}</p></div><p>{}</p>', '<div class="site-header">x</div><p>{}</p><div class="related-posts"><p>{}</p></div>',
+        '<p>{}</p><ul class="comment-list"><li id="comment-17"><p>{}</p></ul>', '<div class="ad-slot"><p>{}</p></div><div><p>{}</p></div>',
+        "<article><p>{}</p><canvas></canvas><object></object></article>",
+    ],
+)
+def test_html_names_count_as_a_whole(page):
+    """Prose stands under a name that only looks like one of a menu, or beside one that is: it is there once."""
+    assert html_extract.main_text(page.replace("{}", PROSE)) == PROSE.strip()
+
+
+def test_html_names_say_nothing_where_all_prose_stands_under_them():
+    page = f'<div class="widget"><p>{PROSE}</p><p>{PROSE}</p></div><nav>Home</nav>'
+    assert html_extract.main_text(page) == "\n\n".join([PROSE.strip()] * 2)
+    assert html_extract.main_text(f'<div class="cookie-notice"><p>{PROSE}</p></div><nav>Home</nav>') == ""
+
+
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "Кошка долго сидела у окна и смотрела на улицу. Потом она спрыгнула на пол. " * 4, "猫は窓辺に長い間座っていました。それから床に飛び降りて、台所へ歩いていきました。" * 4,
+        "Kot długo siedział przy oknie. Potem zeskoczył na podłogę i poszedł do kuchni. " * 4, "고양이는 창가에 오래 앉아 있었습니다. 그리고 부엌으로 걸어갔습니다. " * 5,
+    ],
+)
+def test_html_other_languages(prose):
+    page = f"<ul><li><a href=x>Один</a><li><a href=y>Два</a></ul><div>{prose}</div><div><a href=z>{'ссылка ' * 30}</a></div>"
+    assert html_extract.main_text(page) == prose.strip()
+
+
+def test_html_keeps_formulas_and_what_stands_in_for_objects():
+    page = f"<article><p>{PROSE}<math><mi>x</mi></math> is<object> a thing</object>.</p></article>"
+    assert html_extract.main_text(page) == PROSE + "x is a thing."
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, "u"), (1, "<article>x</article>", None), (None, "", "u")], "page_id long, html string, text string")
     assert [r["text"] for r in html_extract.extract(df).collect()] == ["", "x", ""]
@@ -493,16 +535,29 @@ def test_top_k_is_brute_force(spark, monkeypatch, cells, queries, vectors):
     assert knn.top_k(knn.whole_vectors(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_scores_are_exact_or_refused(spark):
+    x = [1_500_001, 1_500_002, 2_500_001, 2_500_003]  # products need 63 bits
+    df = spark.createDataFrame([(i, [float(v), 1.0]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in knn.top_k(knn.whole_vectors(df), F.col("vec_id") == 0).collect()}
+    assert got == {i: 1024 * x[0] * 1024 * x[i] + 1024**2 for i in (1, 2, 3)}
+    df = spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        knn.top_k(knn.whole_vectors(df), F.col("vec_id") == 0).collect()
+
+
 # Chat
 
 
 def test_chat_round_trip(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", "\\<|\\\\"), (2, None, None, None), (None, 3, "assistant", "é\n😀"), (3, 0, "assistant", "")]
+    rows += [(4, 0, "us\ner\\", "t"), (4, 1, "x<|", "é" * (3 * chat.DELTA + 1)), (5, 2, "user", "twice"), (5, 2, "user", "twice")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.render(chat.rebuild(chat.conversations_as_events(df))).collect()}
     assert chat.parse(got[1]["formatted"]) == [("user", said), ("assistant", said), ("assistant", "\\<|\\\\")]
-    assert chat.parse(got[2]["formatted"]) == [("", "")] and len(got) == 4
+    assert chat.parse(got[2]["formatted"]) == [("", "")] and len(got) == 6
+    assert chat.parse(got[4]["formatted"]) == [("us\ner\\", "t"), ("x<|", "é" * (3 * chat.DELTA + 1))]
+    assert chat.parse(got[5]["formatted"]) == [("user", "twice")] * 2
     for r in got.values():
         spans = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
         assert [chat.unescape(s) for s in spans] == [t for role, t in chat.parse(r["formatted"]) if role == "assistant"]
@@ -518,3 +573,28 @@ def test_chat_events(spark):
     df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string")
     got = chat.rebuild(df.repartition(5)).first()["messages"]
     assert [(m["role"], m["text"]) for m in got] == [("user", "hi!"), ("assistant", "hey")]
+
+
+@pytest.mark.parametrize(
+    "events, want",
+    [
+        ([("start", None, "a", None), ("delta", None, None, "he"), ("delta", None, None, "llo"), ("end", None, None, None)], [("a", "hello")]),
+        ([("delta", None, "a", "he"), ("delta", None, "a", "llo")], [("a", "hello")]),
+        ([("message", None, "u", "x"), ("delta", None, "a", "he"), ("delta", None, "a", "llo")], [("u", "x"), ("a", "hello")]),
+        ([("start", None, "a", "x"), ("end", None, None, None), ("delta", None, "b", "y")], [("a", "x"), ("b", "y")]),
+        ([(None, None, "a", "x")], [("a", "x")]),
+        ([("start", 3, "a", "x"), ("start", 1, "b", "y"), ("delta", 3, None, "z")], [("b", "y"), ("a", "xz")]),
+        ([("start", 0, "u", "x"), ("start", 1, "a", "y"), ("regenerate", 1, None, None), ("delta", None, None, "z"), ("end", None, None, None)], [("u", "x"), ("a", "z")]),
+        ([("edit", None, None, "x"), ("delete", 7, None, None), ("end", None, None, None)], []),
+        ([("start", None, "a", "x"), ("delete", None, None, None), ("start", None, "b", "y")], [("b", "y")]),
+        ([], []),
+    ],
+)
+def test_chat_fold(events, want):
+    assert chat.fold(events) == want
+
+
+@pytest.mark.parametrize("turn", [None, 0, 9])
+def test_chat_refuses_unknown_kinds(turn):
+    with pytest.raises(ValueError):
+        chat.fold([("message", 0, "u", "x"), ("redo", turn, None, None)])
