@@ -27,8 +27,9 @@ def _numbered(keys: DataFrame, order: list[str], bucket: Column, out: str) -> Da
 
 
 def _known(doc_id: str) -> Column:
-    """The id as a long, the smallest one for null, so that ids can be joined on and come in order."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+    """The id as a long, the smallest one for null and for what is no integer, so that ids can be joined on and come in
+    order."""
+    return F.coalesce(F.col(doc_id).try_cast("long"), F.lit(-(2**63)))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -54,8 +55,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     interval of the suffix array with a common prefix of that length: all but its first are later copies.
     """
     lines = materialize(line_table(docs), "lines")
+    # Numbers are dealt out by buckets, so many that a bucket has a million lines at most, if each line is another.
+    bits = min(24, max(12, (lines.count() >> 20).bit_length()))
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-    ids = materialize(_numbered(ids, ["h1", "h2"], F.shiftright("h1", 52), "r0"), "line-ids")
+    ids = materialize(_numbered(ids, ["h1", "h2"], F.shiftright("h1", 64 - bits), "r0"), "line-ids")
     n = ids.count()
     rows = lines.join(ids, ["h1", "h2"]).select("doc_id", "th", "i", "words", "r0").dropDuplicates(["doc_id", "th", "i"])
     doc = Window.partitionBy("doc_id", "th").orderBy("i")
@@ -102,7 +105,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         rows = rows.withColumn("b", F.when(F.lead("i", size).over(order).isNotNull(), F.lead(rank, size).over(order)))
         pairs = rows.filter(rank.isNotNull() & F.col("b").isNotNull()).groupBy(rank.alias("a"), "b").agg(F.count("*").alias("n"))
         pairs = pairs.filter(F.col("n") > 1).drop("n")
-        bucket = F.floor(F.col("a") * 4096 / max(1, n))
+        bucket = F.floor(F.col("a") * (1 << bits) / max(1, n))
         pairs = materialize(_numbered(pairs, ["a", "b"], bucket, f"r{k + 1}"), "line-pairs")
         n = pairs.count()
         rows = rows.withColumn("a", rank).join(pairs, ["a", "b"], "left").drop("a", "b")
@@ -116,7 +119,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(found, "line-runs")
     place = F.struct("doc_id", "th", "start")
     earliest = found.groupBy("m", "a", "b").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
-    copies = found.join(earliest.filter(F.col("n") > 1), ["m", "a", "b"]).filter(place > F.col("earliest"))
+    # A run may have copies in a third of all documents. Sums go before the shuffle, and as its result is written, what is
+    # joined with it is dealt out for the join alone, where large parts are split.
+    earliest = materialize(earliest.filter(F.col("n") > 1).drop("n"), "first-runs")
+    copies = found.join(earliest, ["m", "a", "b"]).filter(place > F.col("earliest"))
     lines = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1))
     return copies.select("doc_id", "th", lines.alias("i")).distinct()
 
@@ -132,7 +138,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Lines end at line feeds; blank lines (without any word) belong to no run and stay. A null text stays
     null and has no lines; an empty one has one, blank. Rows equal in doc_id and text are one document and
     share their result; documents of one doc_id but different texts are told apart by their text's hash.
-    Null doc_ids come first. Columns of the added names, or beginning with __, are replaced.
+    Null doc_ids, and those that are no integers, come first. Columns of the added names, or beginning with __, are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c in ADDED or c.startswith("__")])
     gone = later_copies(docs, min_words).groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__key")).agg(
