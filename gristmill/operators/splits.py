@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,29 +58,32 @@ def water_quota(counts: DataFrame, label: str, n: str, size) -> DataFrame:
     return df.withColumn("quota", F.col("quota") + F.when(more & (F.col("__r") <= F.col("__over")), 1).otherwise(0)).drop("__level", "__over", "__r")
 
 
-def fill_groups(groups: list[tuple[str, int]], target: float, keep: int) -> list[str]:
-    """Whole groups, in the order given, while half of the next still fits the target; at least one, and never so many
-    that fewer than `keep` groups are left."""
-    chosen, taken = [], 0
-    for name, size in groups:
-        if len(groups) - len(chosen) <= keep:
-            break
-        if taken + size / 2 < target or not chosen:
-            chosen.append(name)
-            taken += size
-    return chosen
-
-
-def grouped_split(df: DataFrame, group: str, seed: str, test: float, valid: float) -> DataFrame:
-    """Whole groups go to one split. Their sizes are one row per group; the greedy choice is a fold over them on the
-    driver, and its result is a small table."""
-    rank = seeded_rank(seed, "group", F.col(group))
-    rows = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(rank, group).collect()
-    sizes = [(r[group], r["n"]) for r in rows]
+def fill_groups(groups: list[tuple[str, int]], target: int, keep: int) -> list[str]:
+    """Of groups (name, rows), in the order given, those that a split of about `target` rows takes: each whose middle row
+    still falls within the target, or the smallest (the first of those) where none does. `keep` groups stay for other splits."""
+    free = len(groups) - keep
+    if target <= 0 or free <= 0:
+        return []
+    taken, names = 0, []
+    for name, rows in groups:
+        if 2 * taken + rows < 2 * target:
+            taken += rows
+            names.append(name)
+    return names[:free] or [min(groups, key=lambda g: g[1])[0]]
+
+
+def grouped_split(df: DataFrame, key: str, group: str, seed: str, test: float, valid: float) -> DataFrame:
+    """Whole groups go to one split; a row without a group is one of its own. Groups' sizes are one row each; the choice
+    among them, which is a fold in the order of their hashes, is made on the driver, and its result is a table that is joined.
+    A group is kept for train unless test and valid are to take all rows."""
+    name = F.when(F.col(group).isNotNull(), F.concat(F.lit("group\0"), F.col(group).cast("string")))
+    df = df.withColumn("__g", F.coalesce(name, F.concat(F.lit("row\0"), F.col(key).cast("string"))))
+    sizes = [(r["__g"], r["n"]) for r in df.groupBy("__g").agg(F.count("*").alias("n")).orderBy(seeded_rank(seed, "group", F.col("__g")), "__g").collect()]
     total = sum(n for _, n in sizes)
-    tests = fill_groups(sizes, total * test, 2) if test else []
-    rest = [g for g in sizes if g[0] not in set(tests)]
-    valids = fill_groups(rest, total * valid, 1) if valid else []
-    split = [(g, "test" if g in set(tests) else "valid" if g in set(valids) else "train") for g, _ in sizes]
-    named = df.sparkSession.createDataFrame(split, "__g string, split string")
-    return df.join(named, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    n_test, n_valid = (math.floor(total * f + 0.5) for f in (test, valid))
+    keep = int(total > n_test + n_valid)
+    split = dict.fromkeys(fill_groups(sizes, n_test, keep), "test")
+    rest = [g for g in sizes if g[0] not in split]
+    split |= dict.fromkeys(fill_groups(rest, n_valid, keep), "valid")
+    named = df.sparkSession.createDataFrame([(g, split.get(g, "train")) for g, _ in sizes], "__g string, split string")
+    return df.join(named, "__g").drop("__g")

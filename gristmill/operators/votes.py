@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANK = "array_position(array('train', 'valid', 'test'), split)"
-_ALIASES = {"train": "train", "training": "train", "valid": "valid", "validation": "valid", "val": "valid", "dev": "valid", "test": "test"}
+# Names of the splits.
+_ALIASES = {"train": "train", "valid": "valid", "validation": "valid", "val": "valid", "dev": "valid", "test": "test"}
 
 
 def canonical_split(c: Column | str) -> Column:

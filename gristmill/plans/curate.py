@@ -125,7 +125,8 @@ def dedupe_split(spark, sf_dir):
     )
 
 
-@query("lsh_bands")
+@query("lsh_bands", """SELECT CAST(t AS DOUBLE) AS threshold, p AS permutations, CAST(arg_max(p // r, r) AS INTEGER) AS bands, CAST(max(r) AS INTEGER) AS rows
+FROM (VALUES (0.9, 128), (0.9, 256), (0.8, 256)) v(t, p), range(1, 257) w(r) WHERE r <= p AND pow(1 - pow(CAST(t AS DOUBLE), r), p // r) <= 1e-6 GROUP BY t, p""")
 def lsh_bands(spark, sf_dir):
     rows = [(t, p, *similarity.lsh_bands(t, p)) for t, p in ((0.9, 128), (0.9, 256), (0.8, 256))]
     return spark.createDataFrame(rows, "threshold double, permutations int, bands int, rows int")
@@ -208,11 +209,6 @@ def request_teacher(spark, sf_dir):
 LAST = "list_filter(messages, lambda m: m.role = 'user')[-1].content"
 
 
-@query("extract_input", f"WITH {LOADED} SELECT id, {LAST} AS input FROM d")
-def extract_input(spark, sf_dir):
-    users = F.filter("req.messages", lambda m: m["role"] == "user")
-    return _asked(spark, sf_dir).select("id", F.when(F.size(users) > 0, _last_user("req.messages")).alias("input"))
-
 
 @query("extract_input_regex", f"WITH {LOADED} SELECT id, CASE WHEN regexp_matches({LAST}, '(?s)^[^ ]+ .*') THEN regexp_extract({LAST}, '(?s)^[^ ]+ (.*)', 1) END AS input FROM d")
 def extract_input_regex(spark, sf_dir):
@@ -381,9 +377,26 @@ def split_stratified(spark, sf_dir):
     return splits.stratified_split(docs(spark, sf_dir), "doc_id", "lang", "13", 0.2, 0.1).select("doc_id", "split")
 
 
-@query("split_grouped")
+GROUP_OF = "CASE WHEN source IS NOT NULL THEN 'group' || chr(0) || source ELSE 'row' || chr(0) || CAST(doc_id AS VARCHAR) END"
+
+
+@query("split_grouped", f"""WITH RECURSIVE g AS (SELECT {GROUP_OF} AS g, count(*) AS n FROM documents GROUP BY 1),
+o AS (SELECT g, n, row_number() OVER (ORDER BY {ORDER.replace('KIND', 'group').replace('CAST(doc_id AS VARCHAR)', 'g')}, g) AS r FROM g),
+t AS (SELECT sum(n) AS n, floor(sum(n) * 0.2::DOUBLE + 0.5) AS test, floor(sum(n) * 0.1::DOUBLE + 0.5) AS valid, count(*) AS k FROM g),
+ft(r, taken, hit) AS (SELECT 0::BIGINT, 0::HUGEINT, false UNION ALL
+    SELECT o.r, taken + CASE WHEN 2 * taken + n < 2 * (SELECT test FROM t) THEN n ELSE 0 END, 2 * taken + n < 2 * (SELECT test FROM t) FROM ft JOIN o ON o.r = ft.r + 1),
+ht AS (SELECT o.g, row_number() OVER (ORDER BY r) AS i FROM ft JOIN o USING (r) WHERE hit),
+pt AS (SELECT g FROM ht WHERE i <= (SELECT k - (n > test + valid)::INT FROM t) UNION ALL
+    (SELECT g FROM o WHERE (SELECT count(*) FROM ht) = 0 AND (SELECT test > 0 AND k > (n > test + valid)::INT FROM t) ORDER BY n, r LIMIT 1)),
+q AS (SELECT g, n, row_number() OVER (ORDER BY r) AS r FROM o WHERE g NOT IN (SELECT g FROM pt)), u AS (SELECT count(*) AS k FROM q),
+fv(r, taken, hit) AS (SELECT 0::BIGINT, 0::HUGEINT, false UNION ALL
+    SELECT q.r, taken + CASE WHEN 2 * taken + n < 2 * (SELECT valid FROM t) THEN n ELSE 0 END, 2 * taken + n < 2 * (SELECT valid FROM t) FROM fv JOIN q ON q.r = fv.r + 1),
+hv AS (SELECT q.g, row_number() OVER (ORDER BY r) AS i FROM fv JOIN q USING (r) WHERE hit),
+pv AS (SELECT g FROM hv WHERE i <= (SELECT u.k - (t.n > t.test + t.valid)::INT FROM t, u) UNION ALL
+    (SELECT g FROM q WHERE (SELECT count(*) FROM hv) = 0 AND (SELECT t.valid > 0 AND u.k > (t.n > t.test + t.valid)::INT FROM t, u) ORDER BY n, r LIMIT 1))
+SELECT source, CASE WHEN {GROUP_OF} IN (SELECT g FROM pt) THEN 'test' WHEN {GROUP_OF} IN (SELECT g FROM pv) THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY ALL""")
 def split_grouped(spark, sf_dir):
-    return splits.grouped_split(docs(spark, sf_dir), "source", "13", 0.2, 0.1).groupBy("source", "split").agg(F.count("*").alias("n"))
+    return splits.grouped_split(docs(spark, sf_dir), "doc_id", "source", "13", 0.2, 0.1).groupBy("source", "split").agg(F.count("*").alias("n"))
 
 
 @query("assign_splits", f"""WITH {IMPORTS}, r AS (SELECT doc_id, {CUT} FROM (SELECT doc_id, row_number() OVER (ORDER BY {ORDER.replace('KIND', 'random')}, doc_id) AS r, count(*) OVER () AS n
@@ -406,7 +419,12 @@ def seeded_shuffle_sample(spark, sf_dir):
     return docs(spark, sf_dir).orderBy(splits.seeded_rank("13", "sample", F.col("doc_id")), "doc_id").limit(50).select("doc_id")
 
 
-@query("quick_subset", f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {ORDER.replace('KIND', 'quick')}, doc_id) AS r FROM documents) WHERE r <= 20""")
+@query("quick_subset", f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), k AS (SELECT count(*) AS k FROM c),
+l AS (SELECT lang, n, (20 * k - coalesce(sum(n) OVER (ORDER BY n, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) // (k - row_number() OVER (ORDER BY n, lang) + 1) AS level FROM c, k),
+q AS (SELECT lang, n, least(n, (SELECT max(level) FROM l WHERE n > level)) AS quota FROM l),
+e AS (SELECT lang, quota + CASE WHEN n > quota AND row_number() OVER (ORDER BY n DESC, lang) <= (SELECT 20 * k FROM k) - sum(quota) OVER () THEN 1 ELSE 0 END AS quota FROM q)
+SELECT doc_id, d.lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {ORDER.replace('KIND', 'quick')}, doc_id) AS r FROM documents) d
+JOIN e ON d.lang IS NOT DISTINCT FROM e.lang WHERE r <= quota""")
 def quick_subset(spark, sf_dir):
     """20 rows a language on average: what a language lacks goes to those that have more."""
     d = docs(spark, sf_dir).select("doc_id", "lang")
@@ -418,29 +436,52 @@ def quick_subset(spark, sf_dir):
     return first.join(F.broadcast(quotas), F.col("lang").eqNullSafe(F.col("of"))).filter("r <= quota").select("doc_id", "lang")
 
 
-# Labels, JSON and schemas.
-LABEL_SET = ["0", "1", "Card arrival", "card-arrival", "lost card"]
+# Labels, JSON and schemas. Orders' priorities stand for labels, in the forms in which a model answers.
+SAID = ["{}", "**Label:** {}", '"{}".', "intent: `{}`", "  {}  ", "CATEGORY：{}..", "“{}”", "{}?"]
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    """(id, priority, raw): each order's priority in one of these forms."""
+    k = F.col("o_orderkey")
+    form = F.element_at(F.array(*map(F.lit, SAID)), (k % len(SAID) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderpriority").alias("priority"), F.replace(form, F.lit("{}"), F.col("o_orderpriority")).alias("raw"))
+
+
+KEYS = "SELECT o_orderkey AS id, regexp_replace(lower(o_orderpriority), '[ -]+', '_', 'g') || CASE o_orderkey % 8 WHEN 5 THEN '.' WHEN 7 THEN '?' ELSE '' END AS key FROM orders"
 
 
-@query("label_key")
+@query("label_key", KEYS)
 def label_key(spark, sf_dir):
-    rows = [(x,) for x in ("**Label:** card arrival", "card arrival..", "“Lost–card”", "intent: 'Top up'", "")]
-    return spark.createDataFrame(rows, "raw string").select("raw", tx.label_key("raw").alias("key"))
+    return _said(spark, sf_dir).select("id", tx.label_key("raw").alias("key"))
 
 
-@query("normalise_label", f"WITH {PREDS} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE pred END AS label FROM preds")
+LABEL_SET = ["1 Urgent?", "2-high", "3_MEDIUM!", "3-medium.", "4 not specified", "4-NOT-SPECIFIED", "5-LOW."]
+
+
+@query("normalise_label", f"""WITH k AS ({KEYS}) SELECT id, CASE WHEN key IN ('1_urgent', '1_urgent.', '1_urgent?') THEN '1 Urgent?' WHEN key LIKE '2_high%' THEN '2-high'
+    WHEN key LIKE '5_low%' THEN '5-LOW.' WHEN key = '3_medium' THEN '3-medium.' END AS label FROM k""")
 def normalise_label(spark, sf_dir):
-    p = preds(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, "card arrival").when(F.col("id") % 3 == 1, F.concat(F.lit("**"), "pred", F.lit("**."))).otherwise(F.col("pred")).alias("raw"))
-    index = spark.createDataFrame([(x,) for x in LABEL_SET], "label string").withColumn("key", tx.label_key("label"))
-    index = index.groupBy("key").agg(F.first("label").alias("label"), F.count("*").alias("same")).withColumn("label", F.when(F.col("same") == 1, F.col("label")))
-    return p.withColumn("key", tx.label_key("raw")).join(F.broadcast(index), "key", "left").select("id", "label")
+    """Keys '3_medium' (its label ends in a full stop, which goes) and '3_medium!' differ, but not without punctuation; two labels
+    have the key '4_not_specified'."""
+    labels = spark.createDataFrame([(x,) for x in LABEL_SET], "label string")
+    return tx.match_labels(_said(spark, sf_dir), "raw", labels, "label").select("id", F.col("matched").alias("label"))
+
 
+ANSWERS = ["Here it is:\n```json\n{}\n```\nDone.", "{}", "Sure: {} and {{not this}}", '{{"broken": ', "none", '{{"a": NaN}}']
 
-@query("parse_json_output")
+
+@query("parse_json_output", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 < 3 THEN '{"key":' || CAST(o_orderkey AS VARCHAR) || ',"tags":[{"p":"' || o_orderpriority || '"}]}' END AS value FROM orders""")
 def parse_json_output(spark, sf_dir):
-    c = captures(spark, sf_dir)
-    raw = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("id", "upstream_model")), F.lit("\n```\nDone."))
-    return c.select("id", tx.parse_output(raw).alias("value"))
+    k = F.col("o_orderkey")
+    value = F.to_json(F.struct(k.alias("key"), F.array(F.struct(F.col("o_orderpriority").alias("p"))).alias("tags")))
+    said = F.element_at(F.array(*[F.concat(*(F.lit(x.replace("{{", "{").replace("}}", "}")) if x else value for x in _around(a))) for a in ANSWERS]), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), tx.parse_output(said).alias("value"))
+
+
+def _around(answer: str) -> list[str]:
+    """The text before and after '{}', with an empty string in its place."""
+    before, mark, after = answer.partition("{}")
+    return [x for x in ((before or " "), "" if mark else None, (after or " ")) if x is not None]
 
 
 ORDER_SCHEMA = {
@@ -456,12 +497,38 @@ def validate_schema(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), F.size(tx.validate(ORDER_SCHEMA)(doc)).alias("errors"))
 
 
-@query("canonical_output", """SELECT o_orderkey AS id, '{"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' AS out FROM orders""")
+LINE_SCHEMA = {
+    "type": "object", "properties": {
+        "status": {"type": "string"}, "customer": {"type": "object", "properties": {"key": {"type": "number"}, "name": {"type": ["string", "null"]}}},
+        "lines": {"type": "array", "items": {"type": "object", "properties": {"part": {"type": "number"}, "tax": {"type": "number"}}}},
+    },
+}
+
+
+@query("canonical_output", """SELECT o_orderkey AS id, '{"status":"' || o_orderstatus || '","customer":{"key":' || CAST(o_custkey AS VARCHAR) || ',"name":null},"lines":[{"part":1,"tax":0.5},{"tax":2}]}' AS out FROM orders""")
 def canonical_output(spark, sf_dir):
+    """Objects at any depth in the order of the schema; what it does not know goes, what is missing stays missing."""
+    o = table(spark, sf_dir, "orders")
+    given = F.concat(
+        F.lit('{"lines": [{"tax": 0.5, "x": 1, "part": 1}, {"tax": 2}], "unknown": {"a": 1}, "customer": {"name": null, "key": '), F.col("o_custkey").cast("string"),
+        F.lit('}, "status": "'), "o_orderstatus", F.lit('"}'),
+    )
+    return o.select(F.col("o_orderkey").alias("id"), tx.in_schema_order(LINE_SCHEMA)(given).alias("out"))
+
+
+@query("normalise_output", f"""WITH k AS ({KEYS}) SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN key LIKE '2_high%' THEN '2-high' END WHEN o_orderstatus IN ('F', 'O') AND o_totalprice <= 200000
+    THEN '{{"status":"' || o_orderstatus || '"}}' END AS out FROM orders JOIN k ON k.id = o_orderkey""")
+def normalise_output(spark, sf_dir):
+    """Answers of a labelling task as labels, those of an extraction task as JSON in their schema's order; null if not valid."""
+    labels = spark.createDataFrame([("2-high",)], "label string")
     o = table(spark, sf_dir, "orders")
-    given = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.lit(1).alias("unknown"), F.col("o_orderstatus").alias("status")))
-    got = F.from_json(given, "struct<status:string,priority:string>")  # the schema's order; what it does not know goes
-    return o.select(F.col("o_orderkey").alias("id"), F.to_json(got, {"ignoreNullFields": "false"}).alias("out"))
+    doc = F.to_json(F.struct(F.lit("2024-01-01").alias("date"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")))
+    value = tx.parse_output(F.concat(F.lit("```\n"), doc, F.lit("\n```")))
+    valid = F.size(tx.validate(ORDER_SCHEMA)(value)) == 0
+    short = tx.in_schema_order({"type": "object", "properties": {"status": {}}})(value)
+    x = o.select(F.col("o_orderkey").alias("id"), F.when(valid, short).alias("object"))
+    x = tx.match_labels(_said(spark, sf_dir), "raw", labels, "label").select("id", "matched").join(x, "id")
+    return x.select("id", F.when(F.col("id") % 2 == 0, F.col("matched")).otherwise(F.col("object")).alias("out"))
 
 
 @query("canonical_json", """SELECT o_orderkey AS id, '{"a":' || CAST(o_orderkey AS VARCHAR) || ',"z":"' || o_orderstatus || '"}' AS json FROM orders""")
@@ -471,11 +538,31 @@ def canonical_json(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), tx.canonical_json(given).alias("json"))
 
 
-@query("request_key", """WITH """ + LOADED + """ SELECT id, sha256('{"max_tokens":' || CAST(id % 5 AS VARCHAR) || ',"model":"' || upstream_model || '"}') AS key FROM d""")
+BODY = """b AS (SELECT id, upstream_model, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 END AS max_tokens, id % 2 = 0 AS streams, id % 4 AS effort FROM captures)"""
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    """(id, body): requests with fields of the key, of the context, and of neither."""
+    k = F.col("id")
+    body = F.struct(
+        F.when(k % 4 > 0, (k % 4).cast("string")).alias("reasoning"), F.when(k % 3 != 0, (k % 5).cast("double")).alias("max_tokens"), (k % 2 == 0).alias("stream"),
+        F.col("upstream_model").alias("model"), F.array(F.struct(F.lit("hi").alias("content"), F.lit("user").alias("role"))).alias("messages"),
+        F.lit(0.0).alias("temperature"), F.lit(0.5).alias("top_p"), F.lit("END").alias("stop"), F.lit("me").alias("user"),
+    )
+    return captures(spark, sf_dir).select("id", F.to_json(body).alias("body"))
+
+
+@query("request_key", f"""WITH {LOADED}, {BODY} SELECT id, sha256('{{"max_tokens":' || coalesce(CAST(max_tokens AS VARCHAR), 'null') || ',"messages":[{{"content":"hi","role":"user"}}],"model":"' || upstream_model
+    || '","response_format":null,"seed":null,"stop":"END","temperature":0,"top_p":0.5}}') AS key FROM b""")
 def request_key(spark, sf_dir):
-    c = captures(spark, sf_dir)
-    body = F.to_json(F.struct(F.col("upstream_model").alias("model"), (F.col("id") % 5).cast("double").alias("max_tokens"), F.lit(None).cast("string").alias("stop")))
-    return c.select("id", F.sha2(tx.canonical_json(body), 256).alias("key"))
+    return _bodies(spark, sf_dir).select("id", tx.request_key("body").alias("key"))
+
+
+@query("request_context", f"""WITH {LOADED}, {BODY} SELECT id, sha256(CASE WHEN max_tokens IS NULL THEN '{{"body":' ELSE '' END || CASE WHEN effort > 0 THEN '{{"reasoning":"' || CAST(effort AS VARCHAR) || '"}}' ELSE '{{}}' END
+    || CASE WHEN max_tokens IS NULL THEN ',"max_tokens_default":4096}}' ELSE '' END) AS context FROM b""")
+def request_context(spark, sf_dir):
+    default = F.when(F.get_json_object("body", "$.max_tokens").isNull(), 4096)
+    return _bodies(spark, sf_dir).select("id", tx.request_context(F.col("body"), default).alias("context"))
 
 
 @query("meta_get", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.a.b') AS none FROM events""")
@@ -484,6 +571,30 @@ def meta_get(spark, sf_dir):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.a.b").alias("none"))
 
 
+PROPS = "json_extract_string(props, '$.k')"
+
+
+@query("meta_keys", "SELECT event_id, 'k' AS keys FROM events")
+def meta_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"))
+
+
+@query("meta_set", f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{{"a":{{"b":"' || event_type || '"}},"k":' || {PROPS} || '}}' ELSE '{{"k":{{"b":"' || event_type || '"}}}}' END AS props FROM events""")
+def meta_set(spark, sf_dir):
+    """A value at a dotted path; what stands in the way and is no object is replaced."""
+    e = table(spark, sf_dir, "events")
+    path = F.when(F.col("event_id") % 2 == 0, "a.b").otherwise("k.b")
+    return e.select("event_id", tx.meta_set(F.col("props"), path, F.to_json(F.struct(F.col("event_type").alias("v")))).alias("props"))
+
+
+@query("meta_pop", f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{{}}' ELSE '{{"k":' || {PROPS} || '}}' END AS props, CASE WHEN event_id % 3 = 0 THEN {PROPS} END AS value FROM events""")
+def meta_pop(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    path = F.when(F.col("event_id") % 3 == 0, "k").when(F.col("event_id") % 3 == 1, "a.b").otherwise("k.b")
+    return e.select("event_id", tx.meta_pop(F.col("props"), path).alias("p")).select("event_id", "p.props", "p.value")
+
+
 # Personal data.
 @query("pii_stage")
 def pii_stage(spark, sf_dir):
@@ -522,8 +633,9 @@ def length_stats(spark, sf_dir):
     return p.select("split", R("p50", 1).alias("p50"), R("p95", 1).alias("p95"), "longest")
 
 
-def _curated(spark, sf_dir) -> list[tuple[str, DataFrame]]:
-    """The stages in order, each with the rows it kept of its predecessor's; from 'split' on rows have a split."""
+def _curated(spark, sf_dir, until: str | None = None) -> list[tuple[str, DataFrame]]:
+    """The stages in order, each with the rows it kept of its predecessor's; from 'split' on rows have a split. until: "split"
+    leaves out what follows it."""
     r = _records(spark, sf_dir).withColumns({"split": votes.canonical_split("split"), "h": F.sha2(tx.normalise("input"), 256)})
     seq = F.when(F.col("origin") == "import", F.col("id")).otherwise(F.col("id") + 1000000000)
     r = materialize(r.select(seq.alias("seq"), "h", "input", "output", "gold", "split", "result"), "records")
@@ -541,6 +653,9 @@ def _curated(spark, sf_dir) -> list[tuple[str, DataFrame]]:
     free = splits.random_split(scrubbed.filter("given IS NULL").select("h"), "h", "13", 0.2, 0.1)
     split = scrubbed.join(free, "h", "left").withColumn("split", F.coalesce("given", "split")).drop("given", "h")
     split = materialize(split, "split")
+    first = [("load", r), ("extract", extract), ("merge", merge), ("vote", voted), ("pii", scrubbed), ("split", split)]
+    if until == "split":
+        return first
 
     c = materialize(similarity.components(similarity.near_pairs(split, "seq", "text", within="split")), "clusters")
     own = split.select(F.col("seq").alias("id"), "teacher", "votes", "gold")
@@ -562,8 +677,7 @@ def _curated(spark, sf_dir) -> list[tuple[str, DataFrame]]:
     m = crossing(length)
     leaking = m.select(F.col("a").alias("seq")).union(m.select(F.col("b").alias("seq"))).distinct()
     return [
-        ("load", r), ("extract", extract), ("merge", merge), ("vote", voted), ("pii", scrubbed), ("split", split), ("dedupe", dedupe),
-        ("cross_split", cross), ("label", label), ("length", length), ("leakage", length.join(leaking, "seq", "left_anti")),
+        *first, ("dedupe", dedupe), ("cross_split", cross), ("label", label), ("length", length), ("leakage", length.join(leaking, "seq", "left_anti")),
     ]
 
 
@@ -581,10 +695,22 @@ def _stage_sizes(spark, stages: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-@query("stage_counters", f"""WITH {CROSS}, l AS (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT * FROM (
-SELECT 1 AS stage, 'load' AS name, count(*) AS n FROM documents UNION ALL SELECT 2, 'exact', count(DISTINCT key) FROM n
-UNION ALL SELECT 3, 'cross_split', count(*) FROM sp WHERE doc_id NOT IN (SELECT a FROM pairs)
-UNION ALL SELECT 4, 'length', count(*) FROM sp JOIN l USING (doc_id) WHERE doc_id NOT IN (SELECT a FROM pairs) AND t <= 500)""")
+HEAD = f"""{GOOD}, e AS (SELECT h, min(seq) AS seq, count(output) = 0 AS pending, max(CASE split WHEN 'train' THEN 1 WHEN 'valid' THEN 2 WHEN 'test' THEN 3 ELSE 0 END) AS rank FROM g GROUP BY h),
+tv AS (SELECT h, output, count(*) AS v FROM g WHERE output IN ('0', '1') GROUP BY ALL), tm AS (SELECT h, max(v) * 2 > sum(v) AS won FROM tv GROUP BY h),
+voted AS (SELECT e.*, e.rank = 3 AS test FROM e LEFT JOIN tm USING (h) WHERE pending OR coalesce(won, false) OR rank = 3),
+free AS (SELECT h, {CUT} FROM (SELECT h, row_number() OVER (ORDER BY {ORDER.replace('KIND', 'random').replace('CAST(doc_id AS VARCHAR)', 'h')}, h) AS r, count(*) OVER () AS n FROM voted WHERE rank = 0)),
+assigned AS (SELECT coalesce(['train', 'valid', 'test'][rank], free.split) AS split FROM voted LEFT JOIN free USING (h))"""
+
+
+@query("stage_counters_to_split", f"""WITH {HEAD} SELECT 1 AS stage, 'load' AS name, NULL AS split, count(*) AS n FROM records UNION ALL SELECT 2, 'extract', NULL, count(*) FROM records WHERE result = 'ok'
+UNION ALL SELECT 3, 'merge', NULL, count(*) FROM e UNION ALL SELECT 4, 'vote', NULL, count(*) FROM voted UNION ALL SELECT 5, 'pii', NULL, count(*) FROM voted
+UNION ALL SELECT 6, 'split', s, count(a.split) FROM (VALUES ('train'), ('valid'), ('test')) v(s) LEFT JOIN assigned a ON a.split = s GROUP BY s""")
+def stage_counters_to_split(spark, sf_dir):
+    """The stages up to the split, whose rows SQL can state; the later ones work on scrubbed texts."""
+    return _stage_sizes(spark, _curated(spark, sf_dir, until="split"))
+
+
+@query("stage_counters")
 def stage_counters(spark, sf_dir):
     """Rows after each curate stage and in each split; the last, leakage, counts those in no match across splits."""
     return _stage_sizes(spark, _curated(spark, sf_dir))
@@ -603,8 +729,7 @@ def _emptied(sizes: DataFrame) -> DataFrame:
     return of.select("split", F.col("f.stage").alias("stage"), F.col("f.name").alias("name"), F.element_at(reason, F.col("f.name")).alias("reason"))
 
 
-@query("emptied_at", """WITH c AS (SELECT s AS split, st AS stage, CASE WHEN s = 'valid' AND st >= 3 THEN 0 ELSE 1 END AS n FROM (VALUES ('train'), ('valid'), ('test')) a(s), range(5) b(st))
-SELECT split, CAST(min(stage) FILTER (n = 0) AS INTEGER) AS stage FROM c GROUP BY split""")
+@query("emptied_at")
 def emptied_at(spark, sf_dir):
     """The first stage after which a split is empty, and why; nulls for a split with rows at the end."""
     return _emptied(_stage_sizes(spark, _curated(spark, sf_dir)))

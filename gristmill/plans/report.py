@@ -126,10 +126,6 @@ def local_cost(spark, sf_dir):
     return spark.range(1, 25).select(h.cast("int").alias("hours"), R(energy).alias("energy"), R(energy + 1800.0 * h / 9000).alias("with_machine"))
 
 
-@query("project_cost", f"WITH {LEDGER} SELECT phase, round(avg(actual_nusd) * count(*), 3) AS projected FROM ledger GROUP BY phase")
-def project_cost(spark, sf_dir):
-    return ledger(spark, sf_dir).groupBy("phase").agg(R(F.avg("actual_nusd") * F.count("*"), 3).alias("projected"))
-
 
 @query("labelling_cost", f"WITH {LEDGER} SELECT task, CAST(coalesce(sum(actual_nusd) FILTER (phase = 'label'), sum(reserved_nusd), 0) AS BIGINT) AS nusd FROM ledger GROUP BY task")
 def labelling_cost(spark, sf_dir):

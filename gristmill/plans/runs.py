@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from gristmill.functions import text as tx
 from gristmill.operators import metrics, splits, votes
 from gristmill.registry import query
-from gristmill.sources.views import CAPTURES, PREDS, SERVED, captures, imports, preds, served, table
+from gristmill.sources.views import CAPTURES, IMPORTS, PREDS, SERVED, captures, imports, preds, served, table
 
 R = lambda c, n=9: F.round(c, n)
 
@@ -44,14 +44,6 @@ def _runs(spark, sf_dir):
     return by.withColumns({"adapter": r % 3 != 1, "labels": F.when(r == 5, "gold").otherwise("teacher"), "base": F.when(r < 4, "small").otherwise("large")})
 
 
-@query("discover_candidates", f"WITH {RUN} SELECT run, base FROM runs WHERE adapter AND labels = 'teacher'")
-def discover_candidates(spark, sf_dir):
-    return _runs(spark, sf_dir).filter("adapter AND labels = 'teacher'").select("run", "base")
-
-
-@query("provisional_selection", f"WITH {RUN} SELECT min(run) AS run FROM runs WHERE labels = 'teacher'")
-def provisional_selection(spark, sf_dir):
-    return _runs(spark, sf_dir).filter("labels = 'teacher'").agg(F.min("run").alias("run"))
 
 
 @query("training_table", f"WITH {RUN} SELECT run, base, labels, n, round(loss, 9) AS loss FROM runs")
@@ -70,26 +62,8 @@ def ablation_summary(spark, sf_dir):
     return _runs(spark, sf_dir).groupBy("base").agg(R(F.avg("loss")).alias("mean"), R(F.stddev_samp("loss")).alias("std"), F.count_if(F.col("loss") > 0.5).alias("diverged"))
 
 
-@query("invalidate_stale", f"WITH {RUN} SELECT run FROM runs WHERE run NOT IN (SELECT id % 7 FROM preds WHERE id % 49 = 3)")
-def invalidate_stale(spark, sf_dir):
-    again = preds(spark, sf_dir).filter("id % 49 = 3").select((F.col("id") % 7).alias("run")).distinct()
-    return _runs(spark, sf_dir).join(again, "run", "left_anti").select("run")
-
-
-@query("resolve_run", f"WITH {RUN} SELECT coalesce((SELECT run FROM runs WHERE run = 99), (SELECT min(run) FROM runs WHERE adapter)) AS run")
-def resolve_run(spark, sf_dir):
-    r = _runs(spark, sf_dir)
-    return r.agg(F.coalesce(F.min(F.when(F.col("run") == 99, F.col("run"))), F.min(F.when(F.col("adapter"), F.col("run")))).alias("run"))
 
 
-@query("resolve_threshold", f"WITH {RUN} SELECT run, CASE WHEN run = 2 THEN 0.9::DOUBLE WHEN run % 2 = 0 THEN 0.7::DOUBLE WHEN run = 5 THEN 'Infinity'::DOUBLE ELSE 0.8::DOUBLE END AS t, run % 2 = 1 AS warned FROM runs")
-def resolve_threshold(spark, sf_dir):
-    """The task's threshold where the run owns it, else the run's own, else the task's with a warning; none is infinity."""
-    task = F.when(F.col("run") == 2, 0.9)
-    own = F.when(F.col("run") % 2 == 0, 0.7)
-    fallback = F.when(F.col("run") == 5, float("inf")).otherwise(0.8)
-    return _runs(spark, sf_dir).select("run", F.coalesce(task, own, fallback).alias("t"), (task.isNull() & own.isNull()).alias("warned"))
-
 
 ORDER = "substr(sha256('13' || chr(0) || 'train' || chr(0) || CAST(id AS VARCHAR)), 1, 16)"
 
@@ -118,7 +92,13 @@ def cascade_minus_teacher(spark, sf_dir):
     return preds(spark, sf_dir).groupBy("split").agg(R(metrics.rate(own) - metrics.rate(metrics.match("teacher", "gold"))).alias("difference"))
 
 
-@query("bakeoff_inputs", f"WITH {PREDS} SELECT grp, gold, count(*) AS n FROM preds WHERE split = 'valid' AND grp IS NOT NULL AND grp NOT IN (SELECT grp FROM preds WHERE split = 'test' AND id % 97 = 0 AND grp IS NOT NULL) GROUP BY ALL")
+NORM = r"trim(regexp_replace(input, '[\s]+', ' ', 'g'))"
+
+
+@query("bakeoff_inputs", f"""WITH {IMPORTS}, i AS (SELECT id, sha256({NORM}) AS h, CASE WHEN gold IN ('0', '1') THEN gold END AS gold,
+    CASE lower(trim(split)) WHEN 'train' THEN 1 WHEN 'validation' THEN 2 WHEN 'dev' THEN 2 WHEN 'test' THEN 3 END AS rank FROM imports WHERE {NORM} <> ''),
+e AS (SELECT h, min(id) AS id, max(rank) AS rank, count(gold) AS votes, count(*) FILTER (gold = '1') AS ones, count(*) FILTER (gold = '0') AS zeros FROM i GROUP BY h)
+SELECT h, id, CASE WHEN 2 * ones > votes THEN '1' ELSE '0' END AS gold FROM e WHERE rank = 2 AND (2 * ones > votes OR 2 * zeros > votes)""")
 def bakeoff_inputs(spark, sf_dir):
     """(h, id, gold), one per hash of imported inputs: those whose most protected split is valid, with the strict majority of their
     valid golds. id is the first row with that input, which has its text. Texts are hashed where they are read."""
@@ -160,38 +140,13 @@ def label_examples(spark, sf_dir):
     return p.filter(F.col("teacher").isNotNull() | (F.col("split") == "test")).select("id", "teacher")
 
 
-@query("unsupported_feature", f"WITH {CAPTURES} SELECT id, CASE WHEN id % 4 = 0 THEN 'tools' WHEN id % 5 = 0 THEN 'n' END AS feature FROM captures")
-def unsupported_feature(spark, sf_dir):
-    body = F.to_json(F.struct(F.when(F.col("id") % 4 == 0, F.array(F.lit("t"))).alias("tools"), F.when(F.col("id") % 5 == 0, 2).otherwise(1).alias("n")))
-    got = F.from_json(body, "struct<tools:array<string>,functions:array<string>,tool_choice:string,function_call:string,n:int,logprobs:boolean>")
-    c = F.when(got["tools"].isNotNull(), "tools")
-    for k in ("functions", "tool_choice", "function_call"):
-        c = c.when(got[k].isNotNull(), k)
-    return captures(spark, sf_dir).select("id", c.when(got["n"] != 1, "n").when(got["logprobs"], "logprobs").alias("feature"))
-
 
 @query("render_template", f"WITH {PREDS} SELECT id, 'The label is ' || pred || '.' AS text FROM preds")
 def render_template(spark, sf_dir):
     return preds(spark, sf_dir).select("id", F.replace(F.lit("The label is {label}."), F.lit("{label}"), F.col("pred")).alias("text"))
 
 
-@query("build_teacher_request", f"WITH {PREDS} SELECT id, 2::BIGINT AS n, 'system' AS first FROM preds")
-def build_teacher_request(spark, sf_dir):
-    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    m = F.array(message("system", F.lit("Answer with a label.")), message("user", F.col("pred")))
-    return preds(spark, sf_dir).select("id", F.size(m).cast("long").alias("n"), m[0]["role"].alias("first"))
-
-
-@query("short_model_name", "SELECT p_partkey AS id, 'net-' || CAST(p_partkey % 9 AS VARCHAR) || 'b' AS name FROM part")
-def short_model_name(spark, sf_dir):
-    full = F.concat(F.lit("org/Net-"), (F.col("p_partkey") % 9).cast("string"), F.lit("B-Instruct-4bit"))
-    short = F.regexp_replace(F.lower(F.element_at(F.split(full, "/"), -1)), "(-(instruct|it|chat|4bit|8bit|bf16))+$", "")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), short.alias("name"))
-
 
-@query("scrub_paths", "SELECT s_suppkey AS id, 'see work/run.json' AS text FROM supplier")
-def scrub_paths(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.regexp_replace(F.lit("see /home/me/work/run.json"), r"(?<![\w/])/home/[^/\s]+/", "").alias("text"))
 
 
 @query("settings_hash", f"WITH {RUN} SELECT run, sha256('base=' || base || ',labels=' || labels) AS h FROM runs")
@@ -205,20 +160,6 @@ def classification_confidence(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(R(F.exp(F.least(F.sum(-F.col("l_tax")), F.lit(0.0)))).alias("confidence"))
 
 
-@query("extraction_confidence", """WITH t AS (SELECT l_orderkey AS id, l_linenumber * 7 AS ts, l_linenumber * 7 + 5 AS te, -l_tax AS lp FROM lineitem), f AS (SELECT id, v, sum(lp) AS lp FROM t, (VALUES (0, 10), (15, 30)) s(v, e) WHERE ts < e AND te > v GROUP BY ALL)
-SELECT id, round(min(exp(lp)), 9) AS confidence FROM f GROUP BY id""")
-def extraction_confidence(spark, sf_dir):
-    """The least over the value spans of the probability of the tokens that overlap them."""
-    start = F.col("l_linenumber") * 7
-    tokens = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(start.alias("s"), (start + 5).alias("e"), (-F.col("l_tax")).alias("lp"))).alias("t"))
-
-    def of(a, b):
-        own = F.filter("t", lambda x: (x["s"] < b) & (x["e"] > a))
-        return F.when(F.size(own) > 0, F.exp(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x["lp"])))
-
-    least = F.array_min(F.array(of(0, 10), of(15, 30)))
-    return tokens.select("id", R(least).alias("confidence")).filter("confidence IS NOT NULL")
-
 
 @query("tfidf_lr_baseline")
 def tfidf_lr_baseline(spark, sf_dir):

@@ -32,32 +32,6 @@ def count_captures(spark, sf_dir):
     return captures(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("captured").alias("captured"), F.count_if(~F.col("captured")).alias("not_captured"))
 
 
-PROBLEM = "CASE WHEN response = 'null' THEN 'no response' WHEN response = 'empty' THEN 'response is empty' END"
-
-
-def problem():
-    """Why a pair of request and response can't be used, the first reason of a fixed order, or null."""
-    req = F.from_json("request_body", "struct<messages:array<struct<role:string,content:string>>>")
-    res = F.from_json("response_body", "struct<error:string,choices:array<struct<message:struct<content:string>,error:string>>>")
-    return (
-        F.when(F.coalesce(F.size(req["messages"]), F.lit(0)) <= 0, "no messages").when(F.col("response_body").isNull(), "no response")
-        .when(F.col("response_body") == "", "response is empty").when(res["error"].isNotNull(), "error")
-        .when(F.coalesce(F.size(res["choices"]), F.lit(0)) <= 0, "no choices")
-        .when(F.exists(res["choices"], lambda c: c["error"].isNotNull()), "error in a choice")
-    )
-
-
-@query("completion_problem", f"WITH {CAPTURES} SELECT id, {PROBLEM} AS problem FROM captures")
-def completion_problem(spark, sf_dir):
-    return captures(spark, sf_dir).select("id", problem().alias("problem"))
-
-
-@query("export_jsonl", f"WITH {CAPTURES} SELECT id FROM captures WHERE captured AND status = 200 AND response = 'body'")
-def export_jsonl(spark, sf_dir):
-    df = captures(spark, sf_dir).filter(F.col("captured") & (F.col("status") == 200)).withColumn("problem", problem())
-    return df.filter("problem IS NULL").select("id")
-
-
 LEDGER_SUMS = "CAST(coalesce(sum(CASE status WHEN 'settled' THEN actual_nusd WHEN 'open' THEN reserved_nusd END), 0) AS BIGINT) AS committed, CAST(coalesce(sum(CASE WHEN status = 'settled' THEN actual_nusd END), 0) AS BIGINT) AS spent"
 
 
@@ -112,11 +86,6 @@ def ledger_reserve(spark, sf_dir):
     return df.select("run_id", F.inline(F.aggregate("e", zero, step, lambda acc: acc["out"])))
 
 
-@query("worst_case_cost", """SELECT o_orderkey AS id, CAST(ceil((octet_length(encode(o_orderpriority)) + 16) * 1000.0 + 4096 * 2000.0) AS BIGINT) AS nusd FROM orders""")
-def worst_case_cost(spark, sf_dir):
-    bound = F.octet_length("o_orderpriority") + 16
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.ceil(bound * 1000.0 + F.lit(4096 * 2000.0)).cast("long").alias("nusd"))
-
 
 @query("prompt_upper_bound", f"WITH {CAPTURES} SELECT id, CAST(list_sum(list_transform(messages, lambda m: octet_length(encode(m.content)) + 16)) AS BIGINT) AS bound FROM captures")
 def prompt_upper_bound(spark, sf_dir):
@@ -125,44 +94,6 @@ def prompt_upper_bound(spark, sf_dir):
     return captures(spark, sf_dir).select("id", total.alias("bound"))
 
 
-@query("completion_upper_bound", f"WITH {CAPTURES} SELECT id, CASE WHEN id % 2 = 0 THEN completion_tokens ELSE 4096 END AS bound FROM captures")
-def completion_upper_bound(spark, sf_dir):
-    asked = F.when(F.col("id") % 2 == 0, F.col("completion_tokens"))
-    return captures(spark, sf_dir).select("id", F.coalesce(asked, F.lit(4096)).cast("long").alias("bound"))
-
-
-# Prices by provider tag: parts stand for models, suppliers for providers.
-PRICES = """prices AS (SELECT 'model-' || CAST(s_suppkey % 3 AS VARCHAR) AS model, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN 'P/fast' WHEN s_suppkey % 5 = 2 THEN 'p' ELSE 'q' || CAST(s_suppkey % 4 AS VARCHAR) END AS tag,
-    max(s_suppkey) AS price FROM supplier GROUP BY ALL), want AS (SELECT o_orderkey AS id, 'model-' || CAST(o_orderkey % 3 AS VARCHAR) AS model, CASE o_orderkey % 4 WHEN 0 THEN 'P/fast' WHEN 1 THEN 'Q1' WHEN 2 THEN 'p/slow' ELSE 'zz' END AS tag FROM orders)"""
-
-
-def _prices(spark, sf_dir):
-    k = F.col("s_suppkey")
-    tag = F.when(k % 5 == 0, None).when(k % 5 == 1, "P/fast").when(k % 5 == 2, "p").otherwise(F.concat(F.lit("q"), (k % 4).cast("string")))
-    return table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("model-"), (k % 3).cast("string")).alias("model"), tag.alias("tag")).agg(F.max(k).alias("price"))
-
-
-@query("pricing_load", f"WITH {PRICES} SELECT * FROM prices")
-def pricing_load(spark, sf_dir):
-    return _prices(spark, sf_dir)
-
-
-@query("price_lookup", f"""WITH {PRICES}, c AS (SELECT id, CASE WHEN p.tag = w.tag THEN 1 WHEN lower(p.tag) = lower(w.tag) THEN 2 WHEN split_part(lower(p.tag), '/', 1) = split_part(lower(w.tag), '/', 1) THEN 3
-    WHEN p.tag IS NOT NULL THEN 4 ELSE 5 END AS prio, price FROM want w JOIN prices p USING (model)), b AS (SELECT id, min(prio) AS prio FROM c GROUP BY id)
-SELECT id, CAST(b.prio AS INTEGER) AS prio, max(price) AS price FROM c JOIN b USING (id, prio) GROUP BY ALL""")
-def price_lookup(spark, sf_dir):
-    """Exact tag, then the tag whatever its case, then its base, then the dearest provider, then the list price."""
-    k = F.col("o_orderkey")
-    tag = F.when(k % 4 == 0, "P/fast").when(k % 4 == 1, "Q1").when(k % 4 == 2, "p/slow").otherwise("zz")
-    want = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("model-"), (k % 3).cast("string")).alias("model"), tag.alias("asked"))
-    base = lambda c: F.split_part(F.lower(c), F.lit("/"), F.lit(1))
-    prio = (
-        F.when(F.col("tag") == F.col("asked"), 1).when(F.lower("tag") == F.lower("asked"), 2).when(base("tag") == base("asked"), 3)
-        .when(F.col("tag").isNotNull(), 4).otherwise(5)
-    )
-    found = want.join(_prices(spark, sf_dir), "model").groupBy("id").agg(F.min(F.struct(prio.alias("prio"), (-F.col("price")).alias("p"))).alias("m"))
-    return found.select("id", F.col("m.prio").alias("prio"), (-F.col("m.p")).alias("price"))
-
 
 # The teacher's answers: a cache of some captures, and a recording of others.
 STORES = f"{CAPTURES}, cache AS (SELECT id, answer FROM captures WHERE id % 2 = 0), recording AS (SELECT id, answer FROM captures WHERE id % 3 = 0), other AS (SELECT id FROM captures WHERE id % 5 = 1)"
@@ -220,16 +151,6 @@ def captured_records(spark, sf_dir):
     return df.groupBy("upstream_model").agg(F.min("id").alias("id"), F.min_by("answer", "id").alias("answer"))
 
 
-@query("usage_cost", f"WITH {CAPTURES} SELECT id, round(coalesce(cost_usd, (id % 50 + 10) * 1e-6 + completion_tokens * 2e-6 + 0.001), 12) AS cost FROM captures")
-def usage_cost(spark, sf_dir):
-    price = (F.col("id") % 50 + 10) * 1e-6 + F.col("completion_tokens") * 2e-6 + 0.001
-    return captures(spark, sf_dir).select("id", R(F.coalesce(F.when((F.col("cost_usd") >= 0) & ~F.isnan("cost_usd"), F.col("cost_usd")), price), 12).alias("cost"))
-
-
-@query("is_truncated", f"WITH {CAPTURES} SELECT id, completion_tokens > 20 AS truncated FROM captures")
-def is_truncated(spark, sf_dir):
-    reason = F.get_json_object("response_body", "$.choices[0].finish_reason")
-    return captures(spark, sf_dir).select("id", (F.coalesce(reason == "length", F.lit(False)) | (F.col("completion_tokens") > 20)).alias("truncated"))
 
 
 @query("latest_bench", f"WITH {SERVED} SELECT route, max(id) AS id, max(ts) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ts DESC, id DESC) AS r FROM served) WHERE r = 1 GROUP BY route")
@@ -253,16 +174,3 @@ def mean_logprob(spark, sf_dir):
     total = F.aggregate("lp", F.lit(0.0), lambda acc, x: acc + x)
     return df.select("id", R(F.exp(F.least(total / F.size("lp"), F.lit(0.0)))).alias("mean"), R(F.exp(F.least(total, F.lit(0.0)))).alias("whole"))
 
-
-@query("lr_schedule", "SELECT CAST(i AS INTEGER) AS step, round(CASE WHEN i < 10 THEN (i + 1) / 10.0 ELSE 0.5 * (1 + cos(pi() * (i - 10) / 90.0)) END, 9) AS rate FROM range(100) r(i)")
-def lr_schedule(spark, sf_dir):
-    i = F.col("id")
-    rate = F.when(i < 10, (i + 1) / 10.0).otherwise(0.5 * (1 + F.cos(F.pi() * (i - 10) / 90.0)))
-    return spark.range(100).select(i.cast("int").alias("step"), R(rate).alias("rate"))
-
-
-@query("base_size", "SELECT p_partkey AS id, CAST(regexp_extract(n, '([0-9]+(\\.[0-9]+)?)b[^0-9]*$', 1) AS DOUBLE) AS size FROM (SELECT p_partkey, 'net-' || CAST(p_partkey % 9 AS VARCHAR) || '.5b-it' AS n FROM part)")
-def base_size(spark, sf_dir):
-    name = F.concat(F.lit("net-"), (F.col("p_partkey") % 9).cast("string"), F.lit(".5b-it"))
-    found = F.element_at(F.regexp_extract_all(name, F.lit(r"(\d+(\.\d+)?)b"), F.lit(1)), -1)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), found.cast("double").alias("size"))

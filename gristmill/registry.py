@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from gristmill.plans import curate, evaluate, report, runs, sources, streams  # noqa: F401
+    from gristmill.plans import bookkeeping, calls, curate, evaluate, files, report, runs, sources, streams  # noqa: F401
