@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each class of near duplicates stays: that of the smallest doc_id. Documents without
     words have no duplicates. A row that repeats doc_id and text is the same document."""
     found = ngram_join.similar_documents(docs)
-    smallest = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    smallest = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(2**63)))
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
     gone = gone.select(smallest.alias("__d"), F.col("th").alias("__t")).distinct()
     rows = docs.withColumns({"__d": smallest, "__t": text_key()}).dropDuplicates(["__d", "__t"])
@@ -53,9 +53,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in a sequence of 2048."""
-    pieces = packing.tokenize(docs).select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"))
-    return packing.pack(materialize(pieces, "pieces"), ["doc_id", "piece", "start", "ids_crc32"])
+    """Token pieces, with their ids (tokens: little-endian, 32 bits each) and their place in a sequence of 2048. The places
+    are found without the ids, which join them at the end; a document that the mix repeats has pieces for each time."""
+    pieces = packing.tokenize(docs).select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "tokens")
+    pieces = materialize(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    places = packing.pack(pieces.drop("tokens"), ["__piece", "doc_id", "piece", "start", "ids_crc32"])
+    return places.join(pieces.select("__piece", "tokens"), "__piece").drop("__piece")
 
 
 STAGES = [

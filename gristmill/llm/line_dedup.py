@@ -59,7 +59,6 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bits = min(24, max(12, (lines.count() >> 20).bit_length()))
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
     ids = materialize(_numbered(ids, ["h1", "h2"], F.shiftright("h1", 64 - bits), "r0"), "line-ids")
-    n = ids.count()
     rows = lines.join(ids, ["h1", "h2"]).select("doc_id", "th", "i", "words", "r0").dropDuplicates(["doc_id", "th", "i"])
     doc = Window.partitionBy("doc_id", "th").orderBy("i")
     rows = rows.withColumn("seg", F.col("i") - F.row_number().over(doc))
@@ -105,9 +104,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         rows = rows.withColumn("b", F.when(F.lead("i", size).over(order).isNotNull(), F.lead(rank, size).over(order)))
         pairs = rows.filter(rank.isNotNull() & F.col("b").isNotNull()).groupBy(rank.alias("a"), "b").agg(F.count("*").alias("n"))
         pairs = pairs.filter(F.col("n") > 1).drop("n")
-        bucket = F.floor(F.col("a") * (1 << bits) / max(1, n))
-        pairs = materialize(_numbered(pairs, ["a", "b"], bucket, f"r{k + 1}"), "line-pairs")
-        n = pairs.count()
+        # A line that many different ones follow is one rank a: ranges of both ranks are the buckets, and are written, so that they
+        # are the same wherever they are used.
+        pairs = pairs.repartitionByRange("a", "b").withColumn("__range", F.spark_partition_id())
+        pairs = _numbered(materialize(pairs, "line-ranges"), ["a", "b"], F.col("__range"), f"r{k + 1}").drop("__range")
+        pairs = materialize(pairs, "line-pairs")
         rows = rows.withColumn("a", rank).join(pairs, ["a", "b"], "left").drop("a", "b")
         rows = materialize(rows, "suffixes")
         k += 1

@@ -27,6 +27,8 @@ STEP, TOLERANCE = 20, 1e-7
 BLOCK = 512
 #: Bytes of text hashed at once, unless one text alone has more; pairs looked at at once.
 BYTES_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 500_000
+#: Labels that changed are broadcast up to so many rows, and joined by a shuffle beyond.
+BROADCAST_ROOTS = 50_000
 
 _U = np.uint64
 
@@ -258,7 +260,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of edges (a, b): the smallest node connected to it.
 
     Labels fall to the smallest of the neighbours' and then to their labels' labels, until none changes;
-    each round is written to the shared folder.
+    each round is written to the shared folder. Many nodes may share a label, so a label's own label is looked up once
+    for each different label, and only those that changed are joined.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, f"{name}-edges")
@@ -267,12 +270,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
         now = labels.join(near.withColumnRenamed("a", "node"), "node", "left")
         now = now.select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
-        up = now.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        now = now.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("upper", "root")).alias("root"))
         now = materialize(now, f"{name}-labels")
-        labels = now.select("node", "root")
         if now.filter(F.col("old") != F.col("root")).isEmpty():
             return labels
+        labels = now.select("node", "root")
+        roots = labels.select("root").distinct()
+        up = labels.filter(F.col("node") != F.col("root")).select(F.col("node").alias("root"), F.col("root").alias("upper")).join(roots, "root")
+        up = materialize(up, f"{name}-upper")
+        if n := up.count():
+            up = F.broadcast(up) if n <= BROADCAST_ROOTS else up
+            labels = labels.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+            labels = materialize(labels, f"{name}-labels")
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:

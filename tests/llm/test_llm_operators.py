@@ -296,6 +296,48 @@ def test_decoder_refuses_what_is_broken():
     for bad in (b"", good[:30], b"RIFX" + good[4:], good[:21] + b"\xff" + good[22:40]):
         with pytest.raises(ValueError):
             media.decode(bad)
+    b = Bits(4, 1)  # a distance beyond its alphabet
+    b.w.put(0, 3)
+    for symbol in (1, 2, 3, 255, 41):
+        b.single(symbol)
+    with pytest.raises(ValueError):
+        media.decode(b.done())
+    b = Bits(4, 1)  # a colour cache of no bits
+    b.w.put(0, 1), b.w.put(1, 1), b.w.put(0, 4), b.w.put(0, 1)
+    for symbol in (1, 2, 3, 255, 0):
+        b.single(symbol)
+    with pytest.raises(ValueError):
+        media.decode(b.done())
+
+
+def test_decoder_never_fails_otherwise():
+    rng = random.Random(5)
+    files = media.encode_all([media.payload("".join(rng.choice("abcdefgh ") for _ in range(400)) * k) for k in (1, 1, 3)])
+    for trial in range(400):
+        data = bytearray(files[trial % 3])
+        if trial % 2:
+            at = rng.randrange(20, len(data))
+            data[at] ^= 1 << rng.randrange(8)
+        else:
+            body = data[20 : rng.randrange(21, len(data))]
+            data = bytearray(media._riff(bytes(body)))
+        for decode in (media.decode, lambda x: media.greens([x] * media.ABREAST)):
+            try:
+                decode(bytes(data))
+            except ValueError:
+                pass
+
+
+def test_images_side_by_side_are_those_alone():
+    rng = random.Random(6)
+    texts = ["", "a" * 700, "ab" * 300, "abcdefghijklmnop" * 200, "é" * 9000, "Er Er ingestau " * 900]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ,.\n") for _ in range(rng.randrange(2000))) * rng.choice((1, 1, 4)) for _ in range(40)]
+    payloads = [media.payload(t) for t in texts]
+    stored = media.encode_all(payloads)
+    assert media.decode_all(stored) == payloads
+    images = [f for x in stored for f in media.files(x)]
+    assert media.greens(images) == [media.decode(f)[..., 2].tobytes() for f in images]
+    assert stored == [media.encode_grey(x) for x in payloads]
 
 
 def test_media_odd(spark, odd):
