@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, ngram_join, packing, quality, suffix_dedup
+from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, ngram_join, packing, periodic, quality, suffix_dedup
 from gristmill.llm._common import materialize, table
 
 
@@ -246,6 +246,36 @@ FROM rows GROUP BY conv_id
 """
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), of which about a tenth (h % 10 = 0, h the crc32 of the id as text) repeat a part of themselves
+    from word g % n on, g = h / 10. A null id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n, a, p = F.size("w"), F.col("g") % F.size("w"), F.col("p")
+    rows = rows.withColumn("p", F.when(n > 0, 1 + F.floor((n - a) / (3 + F.col("g") % 8))))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", place(i)))
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs)
+    # Of the greatest length / period, then the smallest start and period; a / b > c / d as a * d > c * b.
+    first = F.get("runs", F.lit(0))
+    better = lambda x, y: F.when(x["length"] * y["period"] > y["length"] * x["period"], x).otherwise(y)
+    best = F.reduce("runs", first, lambda acc, r: better(r, acc))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", "runs", best.alias("best"), lines.alias("lines"), "collapsed")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_source_mix": op2_source_mix,
@@ -257,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op2_source_mix": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_top_k": OP9_SQL, "op10_chat_format": OP10_SQL}
