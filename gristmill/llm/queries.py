@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, html_extract, knn, line_dedup, media, mixing, ngram_join, packing, periodic, quality, suffix_dedup
+from gristmill.llm import chat, context_tree, html_extract, knn, line_dedup, media, mixing, ngram_join, packing, periodic, quality, suffix_dedup
 from gristmill.llm._common import materialize, table
 
 
@@ -276,6 +276,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    found = context_tree.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), rest != 1)
+    return found.select(
+        "doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_source_mix": op2_source_mix,
@@ -288,6 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_context_tree": op12_context_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op2_source_mix": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_top_k": OP9_SQL, "op10_chat_format": OP10_SQL}
