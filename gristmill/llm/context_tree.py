@@ -26,11 +26,12 @@ from gristmill.llm._words import split_words
 
 #: Bytes of context; of text in a block and in a piece of it that is sorted at once; of text for each bucket; buckets at least;
 #: buckets that the strings of one context of two bytes go to at most.
-DEPTH, BLOCK, PIECE, BUCKET, BUCKETS, SPREAD = 6, 32 << 20, 1 << 20, 32 << 20, 24, 16
+DEPTH, BLOCK, PIECE, BUCKET, BUCKETS, SPREAD = 6, 8 << 20, 1 << 20, 8 << 20, 24, 16
 #: No byte of UTF-8: stands after each text, and before it as often as the context is long.
 END = b"\xff"
-#: Sums of logarithms are of whole numbers of this size, so that they don't depend on their order.
-_UNIT = 2.0**-24
+#: Sums of logarithms are of whole numbers of this size, so that they don't depend on their order; code lengths of strings are
+#: in so many parts of a bit.
+_UNIT, PARTS = 2.0**-24, 4096
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _U = np.uint64
 
@@ -197,33 +198,45 @@ def _ask(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
     ]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
-    def emit(block: int, ids: list, learn: list[bool], texts: list[bytes], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-        whole = b"".join(texts)
-        packed = len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
-        rows = [{"kind": 0, "block": block, "ids": ids, "learn": learn, "sizes": [len(t) for t in texts], "texts": packed}]
-        learn, keys, counts = np.array(learn), [], []
-        for own, first, text in strings_of(texts, depth):
-            keys.append(own)
-            counts.append(_sum(learn[text].astype(np.int64), first))
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")
-        first = _starts(keys[order])
-        keys, counts = keys[order][first], _sum(counts[order], first)
-        for b, g in _by_bucket(_bucket(keys, depth, buckets)):
-            rows.append({"kind": 1, "block": block, "bucket": b, "strings": _ascending(keys[g]), "counts": _squeeze(counts[g])})
-        yield pa.RecordBatch.from_pylist(rows, arrow)
+    def batch_of(arrow: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+    def words_asked(block: int, learn: np.ndarray, texts: list[bytes], arrow: pa.Schema) -> pa.RecordBatch:
         words, word, size = split_words(texts)
         often = np.bincount(word, np.repeat(learn, size), len(words)).astype(np.int64)
         groups = _by_bucket(_word_bucket(words, buckets))
-        if groups:
-            cuts = pa.array(np.cumsum([0, *(len(g) for _, g in groups)]), pa.int32())
-            listed = pa.ListArray.from_arrays(cuts, words.take(pa.array(np.concatenate([g for _, g in groups]))))
-            n = len(groups)
-            columns = {
-                "kind": pa.array([2] * n, pa.int32()), "block": pa.array([block] * n, pa.int64()), "bucket": pa.array([b for b, _ in groups], pa.int32()),
-                "words": listed, "counts": pa.array([_squeeze(often[g]) for _, g in groups], pa.binary()),
-            }
-            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+        n, order = len(groups), np.concatenate([np.empty(0, np.int64), *(g for _, g in groups)])
+        cuts = pa.array(np.cumsum([0, *(len(g) for _, g in groups)]), pa.int32())
+        return batch_of(
+            arrow, n, kind=pa.array([2] * n), block=pa.array([block] * n), bucket=pa.array([b for b, _ in groups], pa.int32()),
+            words=pa.ListArray.from_arrays(cuts, words.take(pa.array(order))), counts=pa.array([_squeeze(often[g]) for _, g in groups], pa.binary()),
+        )
+
+    def strings_asked(block: int, learn: np.ndarray, texts: list[bytes], arrow: pa.Schema) -> pa.RecordBatch:
+        keys, counts = [], []
+        for own, first, text in strings_of(texts, depth):
+            keys.append(own)
+            counts.append(_sum(learn[text].astype(np.int32), first))
+        keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = _starts(keys)
+        keys, counts = keys[first], _sum(counts, first)
+        groups = _by_bucket(_bucket(keys, depth, buckets))
+        n = len(groups)
+        return batch_of(
+            arrow, n, kind=pa.array([1] * n), block=pa.array([block] * n), bucket=pa.array([b for b, _ in groups], pa.int32()),
+            strings=pa.array([_ascending(keys[g]) for _, g in groups], pa.binary()), counts=pa.array([_squeeze(counts[g]) for _, g in groups], pa.binary()),
+        )
+
+    def emit(block: int, ids: list, learn: list[bool], texts: list[bytes], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        whole = b"".join(texts)
+        packed = len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+        row = {"kind": 0, "block": block, "ids": ids, "learn": learn, "sizes": [len(t) for t in texts], "texts": packed}
+        del whole
+        yield pa.RecordBatch.from_pylist([row], arrow)
+        yield words_asked(block, np.array(learn), texts, arrow)
+        yield strings_asked(block, np.array(learn), texts, arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -232,7 +245,8 @@ def _ask(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
         task, number = TaskContext.get().partitionId(), 0
         ids, learn, texts, size = [], [], [], 0
         for batch in batches:
-            for i, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                i, text, own = (c[k].as_py() for c in batch.columns)
                 ids.append(i)
                 texts.append((text or b"").translate(_LOWER))
                 learn.append(bool(own))
@@ -323,7 +337,7 @@ _ANSWER = "block long, kind int, bucket int, answer binary"
 
 
 def _answer_strings(asked: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """For each block and bucket the logarithms of its strings, in their order."""
+    """For each block and bucket the code lengths of its strings, in their order."""
     second, above = _upper_levels(asked, depth)
     two = F.shiftright("node", 8).cast("long")
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda s: ((two * 40503 + s) % buckets).cast("int")))
@@ -341,10 +355,10 @@ def _answer_strings(asked: DataFrame, depth: int, buckets: int) -> DataFrame:
             own = ((node & 255) >> t) == 1
             code = ((node[own] >> 8).astype(_U) << _U(t)) | (node[own].astype(_U) & _U((1 << t) - 1))
             by_bit.append((code, settled[own], left[own]))
-        log = log2_of(keys, tree, depth, above, by_bit).astype(np.float32)
+        parts = np.rint(-PARTS * log2_of(keys, tree, depth, above, by_bit)).astype(np.uint32)
         answer = []
         for x in rows["strings"].to_pylist():
-            answer.append(log[np.searchsorted(keys, np.cumsum(_release(x, _U), dtype=_U))].tobytes())
+            answer.append(_squeeze(parts[np.searchsorted(keys, np.cumsum(_release(x, _U), dtype=_U))]))
         n = rows.num_rows
         return pa.table(
             [rows["block"], pa.array(np.full(n, 1, np.int32)), rows["bucket"], pa.array(answer, pa.binary())], names=["block", "kind", "bucket", "answer"]
@@ -382,13 +396,13 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame
 
     learn: a condition on docs' columns, of the rows to learn from (null: not learnt from). Letters A-Z count as small ones.
     score: log10 of the probability of the text and its end by the model of contexts of up to `depth` (3 to 6) bytes that the
-    learnt texts make, all of them; bits_per_byte: the code length of the text and its end by bytes and one. base_score: the
+    learnt texts make, all of them, each byte's code length rounded to a 4096th of a bit; bits_per_byte: the code length of the text and its end by bytes and one. base_score: the
     sum over the words and one end of log10((c + 0.5) / (N + 0.5 * (V + 1))), c, N and V from the learnt texts; n_tokens
     counts the end, n_known those with c > 0, train_tokens is N. Null text counts as empty. Rows count one by one, whatever
     their ids (null, repeated or of any type); other columns are ignored. Nothing to learn from: eight bits a byte, a base
     of 0. No rows: none. The same rows give the same scores, however they are dealt out.
 
-    Memory of a task: about 20 times PIECE and 4 times the longest text, which is not split. To the driver come sums over
+    Memory of a task: about 15 times BLOCK and 4 times the longest text, which is not split. To the driver come sums over
     the buckets of words and the nodes of contexts of one byte.
     """
     if not 3 <= depth <= 6:
@@ -399,12 +413,16 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame
     asked = materialize(_ask(own, depth, buckets), "context-blocks")
     strings = asked.filter("kind = 1").select("block", "bucket", "strings", "counts")
     words = asked.filter("kind = 2").select("block", "bucket", "words", "counts")
-    told = materialize(_answer_words(words).unionByName(_answer_strings(strings, depth, buckets)), "context-answers")
-    sums = [np.frombuffer(r[0], np.int64) for r in told.filter("block = -1").select("answer").toLocalIterator()]
+    words = materialize(_answer_words(words), "context-words")
+    sums = [np.frombuffer(r[0], np.int64) for r in words.filter("block = -1").select("answer").toLocalIterator()]
     all_words, different = (sum(int(x[i]) for x in sums) for i in (0, 1))
     tokens, kinds = all_words + ends, different + (ends > 0)
-    answers = told.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias("answers"))
-    blocks = asked.filter("kind = 0").select("block", "ids", "learn", "sizes", "texts").join(answers, "block")
+    # A row of a block is large, and so few of them go to a task.
+    blocks = asked.filter("kind = 0").select("block", "ids", "learn", "sizes", "texts")
+    tasks = max(1, blocks.count() // 2)
+    answers = words.filter("block >= 0").unionByName(_answer_strings(strings, depth, buckets)).repartition(tasks, "block")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias("answers"))
+    blocks = blocks.repartition(tasks, "block").join(answers, "block")
     names = ("n_bytes", "n_tokens", "n_known", "train_tokens")
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("learnt", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in names),
@@ -424,13 +442,16 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame
                 texts = [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 told = {(t["kind"], t["bucket"]): t["answer"] for t in told.as_py()}
                 pieces = list(strings_of(texts, depth))
-                keys = np.unique(np.concatenate([p[0] for p in pieces]))
-                log, bits = np.zeros(len(keys)), np.zeros(len(texts))
+                keys = np.sort(np.concatenate([p[0] for p in pieces]))
+                keys = keys[_starts(keys)]
+                long, bits = np.zeros(len(keys), np.uint32), np.zeros(len(texts))
                 for b, g in _by_bucket(_bucket(keys, depth, buckets)):
-                    log[g] = np.frombuffer(told[1, b], np.float32)
-                for own, first, text in pieces:
+                    long[g] = _release(told[1, b], np.uint32)
+                while pieces:
+                    own, first, text = pieces.pop()
                     often = np.diff(np.append(first, len(text)))
-                    bits += np.bincount(text, np.repeat(log[np.searchsorted(keys, own)], often), len(texts))
+                    bits += np.bincount(text, np.repeat(long[np.searchsorted(keys, own)], often), len(texts))
+                bits /= PARTS
                 words, word, n = split_words(texts)
                 count = np.zeros(len(words), np.int64)
                 for b, g in _by_bucket(_word_bucket(words, buckets)):
@@ -438,7 +459,7 @@ def score_texts(docs: DataFrame, learn: Column, depth: int = DEPTH) -> DataFrame
                 owner = np.repeat(np.arange(len(texts)), n)
                 scores = np.bincount(owner, base(count)[word], len(texts)) + base(np.array([ends]))
                 known = np.bincount(owner, (count > 0)[word], len(texts)).astype(np.int64) + (ends > 0)
-                columns = (sizes, n + 1, known, np.full(len(n), tokens), scores, bits * np.log10(2), -bits / (sizes + 1))
+                columns = (sizes, n + 1, known, np.full(len(n), tokens), scores, -bits * np.log10(2), bits / (sizes + 1))
                 types = [pa.int64()] * 4 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays(
                     [ids.values, learnt.values, *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=schema.names
