@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators import settlement
+from gristmill.operators.admission import Cap, admit
 from gristmill.registry import query
+from gristmill.sources.shared import materialize_at
 from gristmill.sources.views import CAPTURES, IMPORTS, LEDGER, SERVED, captures, imports, ledger, served, table
+from gristmill.streaming import ledger as streamed
+from gristmill.streaming.served import run_to_end
 
 R = lambda c, n=9: F.round(c, n)
 
@@ -62,28 +67,87 @@ def spend_by_phase(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("task", "phase").agg(*_sums())
 
 
-@query("ledger_settle", f"WITH {LEDGER} SELECT status, count(*) AS n, count(*) FILTER (status = 'settled' AND actual_nusd > reserved_nusd) AS overrun FROM ledger GROUP BY status")
-def ledger_settle(spark, sf_dir):
-    over = (F.col("status") == "settled") & (F.col("actual_nusd") > F.col("reserved_nusd"))
-    return ledger(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.count_if(over).alias("overrun"))
-
-
-@query("ledger_reserve", f"""WITH RECURSIVE {LEDGER}, o AS (SELECT id, run_id, reserved_nusd AS need, row_number() OVER (PARTITION BY run_id ORDER BY id) AS r FROM ledger),
-f(run_id, r, id, taken, accepted) AS (SELECT run_id, 1::BIGINT, id, CASE WHEN need <= 50000000000 THEN need ELSE 0 END, need <= 50000000000 FROM o WHERE r = 1
-    UNION ALL SELECT o.run_id, o.r, o.id, f.taken + CASE WHEN f.taken + need <= 50000000000 THEN need ELSE 0 END, f.taken + need <= 50000000000 FROM f JOIN o ON o.run_id = f.run_id AND o.r = f.r + 1)
-SELECT id, run_id, accepted FROM f""")
+# Reservations under three caps: shares of what all entries reserve. An entry is closed 40 orders after it was made.
+EVENTS = f"""{LEDGER}, caps AS (SELECT CAST(sum(reserved_nusd) AS BIGINT) // 3 AS all_, CAST(sum(reserved_nusd) AS BIGINT) // 12 AS task, CAST(sum(reserved_nusd) AS BIGINT) // 50 AS run FROM ledger),
+n AS (SELECT *, row_number() OVER (ORDER BY id) AS n, dense_rank() OVER (ORDER BY task) AS t FROM ledger),
+ev AS (SELECT id AS "at", 1 AS kind, id, n, t, run_id + 1 AS r, reserved_nusd AS need, reserved_nusd AS change FROM n
+    UNION ALL SELECT id + 40, 0, id, n, t, run_id + 1, 0, coalesce(actual_nusd, 0) - reserved_nusd FROM n WHERE status <> 'open')"""
+_CROSSED = ("acc.g + x.need > x.all_", "acc.tasks[x.t] + x.need > x.task", "acc.runs[x.r] + x.need > x.run")
+_TAKE = f"(CASE WHEN x.kind = 0 THEN CASE WHEN substr(acc.ok, x.n, 1) = '1' THEN x.change ELSE 0 END WHEN {' OR '.join(_CROSSED)} THEN 0 ELSE x.need END)"
+RESERVE = f"""WITH {EVENTS}, l AS (SELECT list({{n: n, kind: kind, t: t, r: r, need: need, change: change, all_: all_, task: task, run: run, g: 0::BIGINT,
+        tasks: list_transform(range(100), lambda i: 0::BIGINT), runs: list_transform(range(20), lambda i: 0::BIGINT), ok: '', crossed: ''}} ORDER BY "at", kind, id) AS l FROM ev, caps),
+f AS (SELECT list_reduce(l, lambda acc, x: {{n: x.n, kind: x.kind, t: x.t, r: x.r, need: x.need, change: x.change, all_: x.all_, task: x.task, run: x.run, g: acc.g + {_TAKE},
+        tasks: list_transform(acc.tasks, lambda v, i: v + CASE WHEN i = x.t THEN {_TAKE} ELSE 0 END),
+        runs: list_transform(acc.runs, lambda v, i: v + CASE WHEN i = x.r THEN {_TAKE} ELSE 0 END),
+        ok: acc.ok || CASE WHEN x.kind = 0 THEN '' WHEN {' OR '.join(_CROSSED)} THEN '0' ELSE '1' END,
+        crossed: acc.crossed || CASE WHEN x.kind = 0 THEN '' ELSE chr(48 + {' + '.join(f'{2**i} * CAST({c} AS INTEGER)' for i, c in enumerate(_CROSSED))}) END}},
+        {{n: 0::BIGINT, kind: 0, t: 0::BIGINT, r: 0::BIGINT, need: 0::BIGINT, change: 0::BIGINT, all_: 0::BIGINT, task: 0::BIGINT, run: 0::BIGINT, g: 0::BIGINT,
+          tasks: list_transform(range(100), lambda i: 0::BIGINT), runs: list_transform(range(20), lambda i: 0::BIGINT), ok: '', crossed: ''}}) AS f FROM l)
+SELECT id, run_id, task, substr(f.ok, n, 1) = '1' AS accepted,
+       concat_ws(',', CASE WHEN (ascii(substr(f.crossed, n, 1)) - 48) & 1 > 0 THEN 'global' END, CASE WHEN (ascii(substr(f.crossed, n, 1)) - 48) & 2 > 0 THEN 'task' END,
+                 CASE WHEN (ascii(substr(f.crossed, n, 1)) - 48) & 4 > 0 THEN 'run' END) AS crossed FROM n, f"""
+
+
+@query("ledger_reserve", RESERVE)
 def ledger_reserve(spark, sf_dir):
-    """Admission in order under a cap per run: what is refused takes nothing. A fold over each run's own entries."""
-    df = ledger(spark, sf_dir).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("id", "reserved_nusd"))).alias("e"))
-    cap = 50_000_000_000
-    zero = F.struct(F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<struct<id:bigint,accepted:boolean>>)").alias("out"))
-
-    def step(acc, e):
-        ok = acc["taken"] + e["reserved_nusd"] <= cap
-        one = F.array(F.struct(e["id"].alias("id"), ok.alias("accepted")))
-        return F.struct((acc["taken"] + F.when(ok, e["reserved_nusd"]).otherwise(0)).alias("taken"), F.concat(acc["out"], one).alias("out"))
-
-    return df.select("run_id", F.inline(F.aggregate("e", zero, step, lambda acc: acc["out"])))
+    """Admission in order under a global, a task and a run cap: what is refused takes nothing and names every cap it crosses."""
+    df = ledger(spark, sf_dir)
+    total = df.agg(F.sum("reserved_nusd")).first()[0] or 0
+    caps = [Cap("global", total // 3), Cap("task", total // 12, ("task",)), Cap("run", total // 50, ("run_id",))]
+    df = df.withColumns({"closed": F.when(F.col("status") != "open", F.col("id") + 40), "charged": F.coalesce("actual_nusd", F.lit(0))})
+    got = admit(df, caps, need="reserved_nusd", closed="closed", charged="charged")
+    return got.select("id", "run_id", "task", "accepted", F.array_join("crossed", ",").alias("crossed"))
+
+
+# What closes reservations: a line of an order settles or releases it; some name an unknown one, come too early, or have no charge.
+CLOSINGS = f"""{LEDGER}, res AS (SELECT id AS res_id, id * 10 AS "at", reserved_nusd AS reserved FROM ledger),
+c AS (SELECT l_orderkey + CASE WHEN l_partkey % 50 = 0 THEN 1000000000 ELSE 0 END AS res_id, l_orderkey * 10 + CASE WHEN l_partkey % 29 = 0 THEN -1 ELSE l_linenumber END AS "at",
+      CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_returnflag = 'R' THEN 'release' ELSE 'settle' END AS kind,
+      CASE WHEN l_suppkey % 31 = 0 THEN -1 ELSE CAST(floor(l_extendedprice * 2000) AS BIGINT) END AS amount FROM lineitem),
+k AS (SELECT c.*, r."at" AS made, reserved, kind = 'release' OR amount >= 0 AS valid FROM c LEFT JOIN res r USING (res_id)),
+o AS (SELECT *, row_number() OVER w AS nth, first_value(kind) OVER w AS won FROM k
+      WINDOW w AS (PARTITION BY res_id, valid AND "at" >= made ORDER BY "at", line, kind, amount ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+done AS (SELECT res_id, "at", line, kind, CASE WHEN NOT valid THEN 'invalid' WHEN made IS NULL OR "at" < made THEN 'unknown'
+    ELSE (CASE WHEN nth > 1 THEN 'already ' ELSE '' END) || CASE WHEN won = 'settle' THEN 'settled' ELSE 'released' END END AS outcome, amount, reserved FROM o)"""
+CLOSED = f"""WITH {CLOSINGS} SELECT res_id, "at", line, kind, outcome, coalesce(outcome = 'settled' AND amount > reserved, false) AS overrun FROM done"""
+
+
+def _reservations(spark, sf_dir):
+    return ledger(spark, sf_dir).select(F.col("id").alias("res_id"), (F.col("id") * 10).alias("at"), F.col("reserved_nusd").alias("reserved"))
+
+
+def _closings(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem")
+    own, part = F.col("l_orderkey"), F.col("l_partkey")
+    return x.select(
+        (own + F.when(part % 50 == 0, 1_000_000_000).otherwise(0)).alias("res_id"), (own * 10 + F.when(part % 29 == 0, -1).otherwise(F.col("l_linenumber"))).alias("at"),
+        F.col("l_linenumber").cast("long").alias("line"), F.when(F.col("l_returnflag") == "R", "release").otherwise("settle").alias("kind"),
+        F.when(F.col("l_suppkey") % 31 == 0, -1).otherwise(F.floor(F.col("l_extendedprice") * 2000)).cast("long").alias("amount"),
+    )
+
+
+@query("ledger_settle", CLOSED)
+def ledger_settle(spark, sf_dir):
+    """What becomes of each closing: it takes effect once, and later ones, unknown reservations and unsound charges are told."""
+    return settlement.close(_reservations(spark, sf_dir), _closings(spark, sf_dir)).select("res_id", "at", "line", "kind", "outcome", "overrun")
+
+
+@query("ledger_balances", f"""WITH {CLOSINGS}, eff AS (SELECT res_id, outcome, amount FROM done WHERE outcome IN ('settled', 'released'))
+SELECT coalesce(outcome, 'open') AS status, count(*) AS n, CAST(sum(reserved) AS BIGINT) AS reserved, CAST(coalesce(sum(CASE WHEN outcome = 'settled' THEN amount WHEN outcome = 'released' THEN 0 END), 0) AS BIGINT) AS charged
+FROM res LEFT JOIN eff USING (res_id) GROUP BY 1""")
+def ledger_balances(spark, sf_dir):
+    made = _reservations(spark, sf_dir)
+    got = settlement.balances(made, settlement.close(made, _closings(spark, sf_dir)))
+    return got.groupBy("status").agg(F.count("*").alias("n"), F.sum("reserved").alias("reserved"), F.coalesce(F.sum("charged"), F.lit(0)).alias("charged"))
+
+
+@query("ledger_settle_stream", CLOSED)
+def ledger_settle_stream(spark, sf_dir):
+    """The same by a stateful stream: reservations and closings as events, read from a table in the shared folder."""
+    made = _reservations(spark, sf_dir).select("res_id", "at", F.lit(0).cast("long").alias("line"), F.lit("reserve").alias("kind"), F.col("reserved").alias("amount"))
+    events, folder = materialize_at(made.unionByName(_closings(spark, sf_dir)), "ledger-events")
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    return run_to_end(streamed.closings(stream)).select("res_id", "at", "line", "kind", "outcome", "overrun")
 
 
 

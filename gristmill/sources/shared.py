@@ -17,8 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df there and reads it again, so that lineage ends and lost executors cost no earlier work."""
+def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes df there and reads it again, so that lineage ends and lost executors cost no earlier work; and where it is."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return materialize_at(df, name)[0]
