@@ -187,9 +187,9 @@ def _search(data: DataFrame, asked: DataFrame, count: list[int], dim: int, longe
                 windows = [(w["place"], w["least"], w["greatest"]) for w in windows]
                 found = _nearest_first(asks[i], anchor, own_labels[i], same, windows, low[i], high[i], leaves, x, ids, labels, k)
                 for place, found_ids, s in found:
-                    out.append(pd.DataFrame({"anchor_id": anchor, "which": which, "place": np.int32(place), "vec_id": found_ids, "score": s}))
+                    out += [(anchor, which, place, *x) for x in zip(found_ids.tolist(), s.tolist(), strict=True)]
         kinds = {"anchor_id": "int64", "which": "int64", "place": "int32", "vec_id": "int64", "score": "int64"}
-        return pd.concat(out) if out else pd.DataFrame({n: pd.Series(dtype=t) for n, t in kinds.items()})
+        return pd.DataFrame(out, columns=list(kinds)).astype(kinds)
 
     by = ("cell", "block", "part")
     return asked.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(solve, _FOUND)
