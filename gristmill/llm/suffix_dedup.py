@@ -25,10 +25,10 @@ from gristmill.llm.induced_sort import suffix_blocks
 
 #: Bytes of a string that must not repeat; of the short strings whose hashes deal windows out.
 LENGTH, SHORT = 100, 32
-#: Windows of a chunk at most (a hash is at one place for LENGTH - SHORT + 1 windows, or recurs); bytes of text hashed at
-#: once; bytes of text per shard of chunks, and of chunk text per shard that is sorted; different chunks of one hash that go
+#: Windows of a chunk at most: no more than LENGTH + 1, so that its first and its last window, which make its key, hold
+#: all its bytes (a hash is at one place for LENGTH - SHORT + 1 windows, or recurs); bytes of text hashed at once; bytes of text per shard of chunks, and of chunk text per shard that is sorted; different chunks of one hash that go
 #: to a shard.
-WINDOWS, BYTES_AT_ONCE, SHARD, SORTED, HOT = 128, 1_000_000, 32 << 20, 5 << 20, 20_000
+WINDOWS, BYTES_AT_ONCE, SHARD, SORTED, HOT = LENGTH + 1, 1_000_000, 32 << 20, 5 << 20, 20_000
 #: A window holds its short string and, of those around it, at least one of NEAR bytes: the string with so many of the
 #: other bytes to its left as the name's number says in steps of (LENGTH - SHORT) / 4, and the rest of three steps to its right.
 NEAR, _AROUND = SHORT + (LENGTH - SHORT) * 3 // 4, ("k0", "k1", "k2", "k3")
@@ -443,7 +443,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     smaller doc_id, or earlier in the same one; overlaps count, and no string crosses documents. Null text
     counts as empty. Null doc_ids, and those that are no integers, come first and count as equal. Rows equal in doc_id and
     text are one document; documents of one doc_id and different texts are in the order of their texts' hashes. Other
-    columns are ignored. A task needs about 8 times the longest text as memory, and hashes a text in pieces.
+    columns are ignored. Chunks count as equal by 128 bits of hashes and their length, and so do windows of a hash with more
+    than HOT chunks; all else is compared byte by byte. A task needs about 8 times the longest text as memory, and hashes a text in pieces.
     """
     spans = repeated_spans(docs).groupBy("d", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = docs.select("doc_id", document().alias("d"), text_key().alias("th"), "text").join(spans, ["d", "th"], "left")

@@ -548,6 +548,22 @@ def test_suffix_dedup_is_brute_force(spark, monkeypatch, hot):
     assert got == brute_bytes(rows)
 
 
+def test_suffix_dedup_of_periods_that_differ_in_one_byte(spark):
+    """The least hash recurs in such texts, so that their chunks are as long as chunks can be."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(60):
+        period = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(65))
+        text = (period * 9)[: rng.randint(400, 552)]
+        at = rng.randrange(120, 300)
+        rows += [text, text[:at] + "#" + text[at + 1 :]]
+    rows = list(enumerate(rows))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in got.collect()}
+    assert kept == brute_bytes(rows)
+    assert suffix_dedup.WINDOWS <= suffix_dedup.LENGTH + 1
+
+
 def test_suffix_dedup_odd(spark, odd):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == len(ODD) and {len(r["kept"]) for r in got if r["doc_id"] in (3, 4)} == {0}
