@@ -654,7 +654,7 @@ def _encoded(parts: list[bytes]) -> list[bytes]:
     starts = np.cumsum(sizes) - sizes
     present = np.bincount(np.repeat(np.arange(len(parts)) * 256, sizes) + data, minlength=256 * len(parts)).reshape(-1, 256) > 0
     colours = present.sum(1)
-    few = (colours <= 2) | ((colours <= 16) & (sizes >= 512))
+    few = colours <= 16  # several samples are then one pixel
     writers, pixels = [], []
     for i, part in enumerate(parts):
         w = _Writer()
