@@ -107,14 +107,17 @@ def test_op4_rows_take_the_decoders_path(texts):
     assert seen == {media._GREEN, media._PALETTE, "lengths", "copies"}
 
 
-def test_op6_learns_from_the_rest_and_scores_what_is_held_out(spark, texts):
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    got = {r["doc_id"]: r for r in rows_of(spark, "op6_quality")}
-    assert set(got) == set(texts)
+def test_op6_learns_from_the_rest_and_scores_what_is_held_out(spark):
+    data = DATA.replace("0.001", "0.01")  # 70 held-out rows are labelled
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality"](spark, data).collect()}
+    assert set(got) == docs
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for d, r in got.items())
     pairs = [(got[d]["score"], q) for d, q in labels.items() if got[d]["held_out"]]
     good, bad = ([s for s, q in pairs if q == k] for k in (1, 0))
-    assert good and bad and sum((g > b) + (g == b) / 2 for g in good for b in bad) > 0.9 * len(good) * len(bad)
+    assert len(pairs) >= 60 and good and bad
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) > 0.9 * len(good) * len(bad)
 
 
 def test_op7_is_the_marked_article(spark):
