@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions import pii
 from gristmill.functions import text as tx
-from gristmill.operators import leakage, metrics, similarity, splits, votes
+from gristmill.operators import curation, leakage, metrics, similarity, splits, votes
+from gristmill.operators import pii_stage as stage
 from gristmill.registry import query
-from gristmill.sources.shared import materialize
+from gristmill.sources.shared import shared_dir
 from gristmill.sources.views import CAPTURES, IMPORTS, PREDS, captures, imports, preds, table
 
 R = lambda c, n=9: F.round(c, n)
@@ -321,20 +324,23 @@ def repeats(spark, sf_dir):
     return votes.repeats(_good(spark, sf_dir), "h")
 
 
-@query("normalise_examples", f"""WITH {GOOD}, v AS (SELECT h, output AS value, count(*) AS v FROM g WHERE output IN ('0', '1') GROUP BY ALL), m AS (SELECT h, sum(v) AS total, max(v) AS top FROM v GROUP BY h),
-e AS (SELECT h, count(output) AS outputs, count(*) FILTER (output NOT IN ('0', '1')) AS invalid, coalesce(bool_or(split = 'test'), false) AS test FROM g GROUP BY h)
-SELECT CASE WHEN outputs = 0 THEN 'unlabelled' WHEN top * 2 > total THEN 'labelled' WHEN test THEN 'kept_test' WHEN total IS NULL THEN 'all_invalid' ELSE 'no_majority' END AS result, count(*) AS n, CAST(sum(invalid) AS BIGINT) AS invalid
-FROM e LEFT JOIN m USING (h) GROUP BY 1""")
+@query("normalise_examples", f"""WITH {GOOD}, o AS (SELECT h, output AS value, count(*) AS v FROM g WHERE output IS NOT NULL GROUP BY ALL), gg AS (SELECT h, gold AS value, count(*) AS v FROM g WHERE gold IS NOT NULL GROUP BY ALL),
+t AS (SELECT h, sum(v) AS outputs, coalesce(sum(v) FILTER (value NOT IN ('0', '1')), 0) AS invalid, coalesce(sum(v) FILTER (value IN ('0', '1')), 0) AS valid, max(v) FILTER (value IN ('0', '1')) AS top, count(*) FILTER (value IN ('0', '1')) AS different FROM o GROUP BY h),
+gt AS (SELECT h, coalesce(sum(v) FILTER (value NOT IN ('0', '1')), 0) AS invalid, coalesce(sum(v) FILTER (value IN ('0', '1')), 0) AS valid, max(v) FILTER (value IN ('0', '1')) AS top, count(*) FILTER (value IN ('0', '1')) AS different FROM gg GROUP BY h),
+e AS (SELECT g.h, coalesce(bool_or(split = 'test'), false) AS test FROM g GROUP BY g.h),
+x AS (SELECT e.h, test, coalesce(t.outputs, 0) AS outputs, coalesce(t.invalid, 0) AS invalid, coalesce(t.valid, 0) AS valid, coalesce(t.top * 2 > t.valid, false) AS won, coalesce(t.different, 0) AS different,
+    coalesce(gt.invalid, 0) AS gold_invalid, coalesce(gt.top * 2 > gt.valid, false) AS gold_won, coalesce(gt.different, 0) AS golds FROM e LEFT JOIN t USING (h) LEFT JOIN gt USING (h)),
+c AS (SELECT count(*) AS examples, sum(outputs) AS outputs, sum(invalid) AS invalid_outputs, count(*) FILTER (outputs > 0 AND valid = 0 AND NOT test) AS dropped_all_invalid,
+    count(*) FILTER (valid > 0 AND NOT won AND NOT test) AS dropped_no_majority, count(*) FILTER (outputs > 0 AND valid = 0 AND test) AS kept_test_all_invalid,
+    count(*) FILTER (valid > 0 AND NOT won AND test) AS kept_test_no_majority, count(*) FILTER (won AND different > 1) AS conflicts_resolved, count(*) FILTER (outputs = 0) AS unlabelled,
+    sum(gold_invalid) AS gold_invalid, count(*) FILTER (golds > 1 AND gold_won) AS gold_conflicts_resolved, count(*) FILTER (golds > 1 AND NOT gold_won) AS gold_conflicts_unresolved FROM x)
+SELECT unnest([{', '.join(f"'{n}'" for n in curation.NORMALISE)}]) AS counter, unnest([{', '.join(f'CAST({n} AS BIGINT)' for n in curation.NORMALISE)}]) AS n FROM c""")
 def normalise_examples(spark, sf_dir):
-    g = _good(spark, sf_dir)
-    valid = F.col("output").isin("0", "1")
-    v = votes.majority(g.withColumn("value", F.when(valid, F.col("output"))), "h", "value", "seq")
-    e = g.groupBy("h").agg(F.count("output").alias("outputs"), F.count_if(~valid).alias("invalid"), F.coalesce(F.bool_or(F.col("split") == "test"), F.lit(False)).alias("test"))
-    result = (
-        F.when(F.col("outputs") == 0, "unlabelled").when(F.col("value").isNotNull(), "labelled").when(F.col("test"), "kept_test")
-        .when(F.col("total") == 0, "all_invalid").otherwise("no_majority")
-    )
-    return e.join(v, "h").groupBy(result.alias("result")).agg(F.count("*").alias("n"), F.sum("invalid").alias("invalid"))
+    """The twelve counters of the stage, observed as its rows are written."""
+    r = curation.Run(TASK, spark)
+    g = r.take(_good(spark, sf_dir), "good")
+    r.keep("normalise", curation.decide(curation.merge(g), g, TASK), **curation.decision_counters())
+    return spark.createDataFrame([(n, r.counters["normalise"][n]) for n in curation.NORMALISE], "counter string, n long")
 
 
 @query("label_distribution", f"WITH {PREDS} SELECT split, l AS label, count(id) AS n FROM (VALUES ('0'), ('1'), ('2')) v(l), (SELECT DISTINCT split FROM preds) s LEFT JOIN preds USING (split) WHERE true GROUP BY ALL HAVING false UNION ALL SELECT s.split, l, count(p.id) FROM (VALUES ('0'), ('1'), ('2')) v(l) CROSS JOIN (SELECT DISTINCT split FROM preds) s LEFT JOIN preds p ON p.split = s.split AND p.gold = l GROUP BY s.split, l")
@@ -595,18 +601,72 @@ def meta_pop(spark, sf_dir):
 
 
 # Personal data.
-@query("pii_stage")
+# Orders as examples with planted data: the teacher's contact must hold an '@' and the gold's note is short, so that some placeholders break them.
+PII_SCHEMA = {
+    "type": "object", "required": ["status"], "additionalProperties": False,
+    "properties": {
+        "status": {"enum": ["F", "O", "P"]}, "contact": {"type": ["string", "null"], "pattern": "@|none"}, "notes": {"type": "array", "items": {"type": "string"}},
+        "host": {"type": "string", "pattern": "^[0-9.]+$"},
+    },
+}
+
+
+def _orders_as_examples(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    plain = lambda n, s: F.when(k % n == 0, s)
+    said = F.concat_ws(
+        " ", F.lit("Order"), k.cast("string"), plain(5, F.concat(F.lit("by user"), (k % 9).cast("string"), F.lit("@example.org"))), plain(7, F.lit("call +44 20 7946 0958")),
+        plain(11, F.lit("paid with 4111 1111 1111 1111")), plain(13, F.lit("from 192.0.2.7 and 192.0.2.8")), plain(17, F.lit("GB82 WEST 1234 5698 7654 32")), plain(19, F.lit("ssn 123-45-6789")),
+    )
+    contact = F.when(k % 10 == 0, "jane@example.org").when(k % 10 == 1, "none")
+    teacher = F.struct(F.col("o_orderstatus").alias("status"), contact.alias("contact"), F.array(F.coalesce(plain(4, F.lit("tel 555-0142, 555-0143")), F.lit("ok"))).alias("notes"))
+    gold = F.struct(F.col("o_orderstatus").alias("status"), F.coalesce(plain(6, F.lit("203.0.113.9")), F.lit("1.2")).alias("host"), F.array(F.coalesce(plain(9, F.lit("123-45-6789")), F.lit("-"))).alias("notes"))
+    x = table(spark, sf_dir, "orders").select(k.alias("id"), said.alias("input"), F.to_json(teacher).alias("teacher"), F.when(k % 3 == 0, F.to_json(gold)).alias("gold"))
+    return x
+
+
+_PLANTED = {
+    "input": {"email": ("k % 5", 1), "phone": ("k % 7", 1), "card": ("k % 11", 1), "ipv4": ("k % 13", 2), "iban": ("k % 17", 1), "ssn": ("k % 19", 1)},
+    "teacher": {"email": ("k % 10", 1), "phone": ("k % 4", 2)}, "gold": {"ipv4": ("k % 6", 1), "ssn": ("k % 9", 1)},
+}
+PII_SQL = f"""WITH o AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT {', '.join(
+    f"{n} * count(*) FILTER ({c} = 0) AS {role}_{kind}" for role, kinds in _PLANTED.items() for kind, (c, n) in kinds.items()
+)}, count(*) FILTER ({' OR '.join(f'{c} = 0' for kinds in _PLANTED.values() for c, _ in kinds.values())}) AS examples_changed, count(*) FILTER (k % 10 = 0) AS rejected, count(*) FILTER (k % 6 = 0) AS gold_cleared FROM o),
+u AS (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM c) ON COLUMNS(*) INTO NAME counter VALUE n)
+SELECT counter, n FROM u UNION ALL SELECT role || '_' || kind, 0 FROM (VALUES ('input'), ('teacher'), ('gold')) r(role), (VALUES {', '.join(f"('{k}')" for k in pii.KINDS)}) q(kind) WHERE role || '_' || kind NOT IN (SELECT counter FROM u)
+UNION ALL SELECT 'broken teacher contact: email', count(*) FILTER (k % 10 = 0) FROM o UNION ALL SELECT 'broken gold host: ipv4', count(*) FILTER (k % 6 = 0) FROM o"""
+
+
+@query("pii_stage", PII_SQL)
 def pii_stage(spark, sf_dir):
-    s = docs(spark, sf_dir).select("doc_id", "text", pii.scrub("text").alias("s"))
+    """Hits by role and kind, examples changed, answers that no longer fit their schema, and the fields and kinds to blame."""
+    r = curation.Run(curation.Task(schema=PII_SCHEMA), spark)
+    examples = r.take(_orders_as_examples(spark, sf_dir), "orders")
+    done = r.keep("pii", stage.scrub_examples(examples, PII_SCHEMA), **stage.counters())
+    counts = spark.createDataFrame([(k, n) for k, n in r.counters["pii"].items() if k != "rows"], "counter string, n long")
+    b = stage.blame(done)
+    why = F.concat(F.lit("broken "), F.col("role"), F.lit(" "), F.col("field"), F.lit(": "), F.array_join("kinds", ", "))
+    b = b.select("field", "kinds", F.inline(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("n")) for x in ("teacher", "gold")]))).filter("n > 0")
+    blamed = [tuple(x) for x in b.select(why.alias("counter"), "n").collect()]  # as many as the schema has fields, twice
+    return counts.union(spark.createDataFrame(blamed, "counter string, n long"))
+
+
+@query("pii_documents")
+def pii_documents(spark, sf_dir):
+    """Hits by kind in the documents, and how many documents have any."""
+    d = docs(spark, sf_dir).select("text").filter(pii.may_hold("text"))
+    s = d.select(pii.scrub("text").alias("s"))
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s.{k}").alias("n")) for k in pii.KINDS])
-    return s.select("doc_id", F.inline(rows)).groupBy("kind").agg(F.sum("n").alias("hits"), F.count_if(F.col("n") > 0).alias("docs"))
+    every = spark.createDataFrame([(k,) for k in pii.KINDS], "kind string")
+    got = s.select(F.inline(rows)).groupBy("kind").agg(F.sum("n").alias("hits"), F.count_if(F.col("n") > 0).alias("docs"))
+    return every.join(got, "kind", "left").select("kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "docs")])
 
 
 for _kind in pii.KINDS:
 
     @query(f"pii_{_kind}")
     def _pii(spark, sf_dir, kind=_kind):
-        s = docs(spark, sf_dir).select("doc_id", pii.scrub("text").alias("s"))
+        s = docs(spark, sf_dir).filter(pii.may_hold("text")).select("doc_id", pii.scrub("text").alias("s"))
         return s.select("doc_id", F.col(f"s.{kind}").alias("n")).filter("n > 0")
 
 
@@ -632,66 +692,24 @@ def length_stats(spark, sf_dir):
     return p.select("split", R("p50", 1).alias("p50"), R("p95", 1).alias("p95"), "longest")
 
 
-def _curated(spark, sf_dir, until: str | None = None) -> list[tuple[str, DataFrame]]:
-    """The stages in order, each with the rows it kept of its predecessor's; from 'split' on rows have a split. until: "split"
-    leaves out what follows it."""
+def _run_records(spark, sf_dir) -> DataFrame:
+    """Captured and imported rows as a run takes them: seq orders imports before captures."""
     r = _records(spark, sf_dir).withColumns({"split": votes.canonical_split("split"), "h": F.sha2(tx.normalise("input"), 256)})
     seq = F.when(F.col("origin") == "import", F.col("id")).otherwise(F.col("id") + 1000000000)
-    r = materialize(r.select(seq.alias("seq"), "h", "input", "output", "gold", "split", "result"), "records")
-    extract = r.filter("result = 'ok'")
-    known = lambda c: F.when(F.col(c).isin("0", "1"), F.col(c))
-    g = extract.select("h", "seq", "output", "split", known("output").alias("teacher"), known("gold").alias("gold"))
-    merge = g.groupBy("h").agg(F.min("seq").alias("seq"), (F.count("output") == 0).alias("pending"), F.max(F.expr(votes.RANK)).alias("rank"))
-    merge = merge.withColumn("given", F.when(F.col("rank") > 0, F.element_at(F.array(*map(F.lit, ("train", "valid", "test"))), F.col("rank").cast("int"))))
-    merge = materialize(merge.drop("rank"), "merge")
-    teacher = votes.majority(g, "h", "teacher", "seq").drop("total")
-    voted = merge.join(teacher, "h").join(votes.majority(g, "h", "gold", "seq").select("h", "gold"), "h")
-    voted = materialize(voted.filter("pending OR teacher IS NOT NULL OR given = 'test'"), "voted")
-    text = extract.select("seq", "input").join(voted.select("seq"), "seq").select("seq", pii.scrub("input")["text"].alias("text"))
-    scrubbed = materialize(voted.join(text, "seq"), "scrubbed")
-    free = splits.random_split(scrubbed.filter("given IS NULL").select("h"), "h", "13", 0.2, 0.1)
-    split = scrubbed.join(free, "h", "left").withColumn("split", F.coalesce("given", "split")).drop("given", "h")
-    split = materialize(split, "split")
-    first = [("load", r), ("extract", extract), ("merge", merge), ("vote", voted), ("pii", scrubbed), ("split", split)]
-    if until == "split":
-        return first
-
-    c = materialize(similarity.components(similarity.near_pairs(split, "seq", "text", within="split")), "clusters")
-    own = split.select(F.col("seq").alias("id"), "teacher", "votes", "gold")
-    resolved = votes.resolve_clusters(c.withColumnRenamed("root", "cluster").join(own, "id")).filter("survivor IS NOT NULL")
-    won = resolved.select(F.col("survivor").alias("seq"), "teacher", "gold")
-    alone = split.join(c.select(F.col("id").alias("seq")), "seq", "left_anti")
-    dedupe = materialize(alone.unionByName(split.drop("teacher", "gold").join(won, "seq")), "dedupe")
-
-    def crossing(df):
-        return similarity.cross_matches(df.select("seq", "text", "split"), "seq", "text", "split")
-
-    cross = dedupe.join(crossing(dedupe).select(F.col("a").alias("seq")).distinct(), "seq", "left_anti")
-    cross = materialize(cross, "cross")
+    return r.select(seq.alias("seq"), "h", "input", "output", "gold", "split", "result")
+
+
+TASK = curation.Task(labels=("0", "1"))
+
+
+def _run(spark, sf_dir) -> curation.Run:
     recorded = table(spark, sf_dir, "labels").filter("doc_id % 6 <> 0 AND doc_id % 13 <> 0")  # as in label_examples
     recorded = recorded.select(F.col("doc_id").alias("seq"), F.col("quality").cast("string").alias("answer"))
-    label = cross.join(recorded, "seq", "left").withColumn("teacher", F.coalesce("teacher", F.when(F.col("pending"), known("answer"))))
-    label = materialize(label.filter("NOT pending OR teacher IS NOT NULL OR split = 'test'").drop("answer"), "label")
-    length = label.filter(F.regexp_count("text", F.lit(r"[^\s]+")) <= 500)
-    m = crossing(length)
-    leaking = m.select(F.col("a").alias("seq")).union(m.select(F.col("b").alias("seq"))).distinct()
-    return [
-        *first, ("dedupe", dedupe), ("cross_split", cross), ("label", label), ("length", length), ("leakage", length.join(leaking, "seq", "left_anti")),
-    ]
-
-
-def _stage_sizes(spark, stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(stage, name, split, n): rows after each stage; a split that has none counts 0, and split is null before there are splits."""
-    names = spark.createDataFrame([("train",), ("valid",), ("test",)], "split string")
-    out = None
-    for i, (name, df) in enumerate(stages, start=1):
-        if "split" in df.columns and i > 5:
-            n = names.join(df.groupBy("split").agg(F.count("*").alias("n")), "split", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        else:
-            n = df.agg(F.count("*").alias("n")).withColumn("split", F.lit(None).cast("string"))
-        n = n.select(F.lit(i).alias("stage"), F.lit(name).alias("name"), "split", "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    return curation.run(_run_records(spark, sf_dir), TASK, recorded)
+
+
+def _size_rows(spark, r: curation.Run) -> DataFrame:
+    return spark.createDataFrame(curation.stage_sizes(r), "stage int, name string, split string, n long")
 
 
 HEAD = f"""{GOOD}, e AS (SELECT h, min(seq) AS seq, count(output) = 0 AS pending, max(CASE split WHEN 'train' THEN 1 WHEN 'valid' THEN 2 WHEN 'test' THEN 3 ELSE 0 END) AS rank FROM g GROUP BY h),
@@ -706,13 +724,31 @@ UNION ALL SELECT 3, 'merge', NULL, count(*) FROM e UNION ALL SELECT 4, 'vote', N
 UNION ALL SELECT 6, 'split', s, count(a.split) FROM (VALUES ('train'), ('valid'), ('test')) v(s) LEFT JOIN assigned a ON a.split = s GROUP BY s""")
 def stage_counters_to_split(spark, sf_dir):
     """The stages up to the split, whose rows SQL can state; the later ones work on scrubbed texts."""
-    return _stage_sizes(spark, _curated(spark, sf_dir, until="split"))
+    return _size_rows(spark, _run(spark, sf_dir)).filter("stage <= 6")
 
 
 @query("stage_counters")
 def stage_counters(spark, sf_dir):
-    """Rows after each curate stage and in each split; the last, leakage, counts those in no match across splits."""
-    return _stage_sizes(spark, _curated(spark, sf_dir))
+    """Rows after each stage of a curation run and in each split, counted as the stages are written."""
+    return _size_rows(spark, _run(spark, sf_dir))
+
+
+@query("run_counters")
+def run_counters(spark, sf_dir):
+    """Every counter of a curation run: (stage, counter, n)."""
+    rows = [(s, k, n) for s, c in _run(spark, sf_dir).counters.items() for k, n in c.items()]
+    return spark.createDataFrame(rows, "stage string, counter string, n long")
+
+
+@query("curate_run")
+def curate_run(spark, sf_dir):
+    """A run that writes: what is read back from its files, whose rows and checksums are those of its report."""
+    path = f"{shared_dir(spark)}/curated-{uuid.uuid4().hex}"
+    report = curation.write(_run(spark, sf_dir), path)
+    told = spark.createDataFrame([(f["split"], f["rows"]) for f in report["files"]], "split string, n long").groupBy("split").agg(F.sum("n").alias("reported"))
+    rows = spark.read.schema("input_hash string, text string, teacher string, gold string, split string").json(path)
+    rows = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("input_hash").alias("hashes"), F.count("teacher").alias("teachers"), F.count("gold").alias("golds"))
+    return rows.join(told, "split")
 
 
 EMPTIED_BY = {
@@ -731,4 +767,4 @@ def _emptied(sizes: DataFrame) -> DataFrame:
 @query("emptied_at")
 def emptied_at(spark, sf_dir):
     """The first stage after which a split is empty, and why; nulls for a split with rows at the end."""
-    return _emptied(_stage_sizes(spark, _curated(spark, sf_dir)))
+    return _emptied(_size_rows(spark, _run(spark, sf_dir)))
