@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.sources.shared import materialize
+
 #: What becomes of a closing: it takes effect, or it is refused for one of the others.
 OUTCOMES = ("settled", "released", "already settled", "already released", "unknown", "invalid")
 
@@ -22,12 +24,13 @@ def close(reservations: DataFrame, closings: DataFrame) -> DataFrame:
     release nor a settlement at a charge that is a number and not negative; 'unknown': no reservation of that id was made before
     (at the same time counts as before); else the first takes effect, and later ones are refused, naming what it was. overrun: a
     settlement that takes effect at more than was reserved. Null ids are unknown. Two closings of one reservation at the
-    same time and line: the release comes first, then the smaller charge. The first closing of each id is found by an
+    same time and line: the release comes first, then the smaller charge; of equal ones any one. The first closing of each id is found by an
     aggregation, so that many closings of one id don't meet in one task.
     """
-    rows = closings.withColumn("__valid", _valid())
+    # Rows are numbered in a table, so that of equal ones the same is meant wherever it is read.
+    rows = materialize(closings.withColumn("__row", F.monotonically_increasing_id()), "closings").withColumn("__valid", _valid())
     known = reservations.select("res_id", F.col("at").alias("__made"), "reserved")
-    place = F.struct("at", "line", "kind", "amount")
+    place = F.struct("at", "line", "kind", "amount", "__row")
     could = rows.filter("__valid").join(known, "res_id").filter("at >= __made")
     first = could.groupBy("res_id").agg(F.min(place).alias("__first"), F.first("__made").alias("__made"), F.first("reserved").alias("reserved"))
     rows = rows.join(first, "res_id", "left")
@@ -40,7 +43,7 @@ def close(reservations: DataFrame, closings: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("outcome", outcome)
     overrun = (F.col("outcome") == "settled") & (F.col("amount") > F.col("reserved"))
-    return rows.withColumn("overrun", F.coalesce(overrun, F.lit(False))).drop("__valid", "__made", "__first", "reserved")
+    return rows.withColumn("overrun", F.coalesce(overrun, F.lit(False))).drop("__row", "__valid", "__made", "__first", "reserved")
 
 
 def balances(reservations: DataFrame, closed: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ def test_closings_take_effect_once(spark):
         1: ("settled", 50), 2: ("released", 0), 3: ("settled", 101), 4: ("open", None), 5: ("settled", 0)
     }
     assert settlement.close(made, closings.limit(0)).collect() == []
+    twice = settlement.close(made, closings.filter("at = 11").union(closings.filter("at = 11"))).collect()
+    assert sorted(r["outcome"] for r in twice) == ["already settled", "settled"]
 
 
 def events(spark):
