@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from gristmill.operators.running import running_sums, value_bucket
 
 BINS = 15
 
@@ -42,9 +43,8 @@ def auroc(df: DataFrame, confidence: str = "confidence", correct: str = "correct
     by = df.filter(F.col(confidence).isNotNull()).groupBy(confidence).agg(
         F.count_if(F.col(correct)).alias("pos"), F.count_if(~F.col(correct)).alias("neg")
     )
-    w = Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("neg").over(w.orderBy(confidence).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    by = running_sums(by, value_bucket(F.col(confidence)), [F.col(confidence)], {"__below": F.col("neg")}, before=True)
+    by = by.withColumn("wins", F.col("pos") * (F.col("__below") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return by.agg(F.when(pairs > 0, F.sum("wins") / pairs).alias("auroc"))
 

@@ -222,7 +222,7 @@ def load_prices(snapshot: DataFrame, column: str) -> DataFrame:
 
 
 def _ranked(wanted: DataFrame, prices: DataFrame, present: str) -> DataFrame:
-    """wanted (id, model, tag) with each price that has `present`, and its rank: 1 the tag itself, 2 in another case, 3 the endpoints of
+    """The different (model, tag) of wanted with each price that has `present`, and its rank: 1 the tag itself, 2 in another case, 3 the endpoints of
     a base name, 4 any endpoint, 5 what the model itself says."""
     by_id = prices.filter(F.col(present).isNotNull()).withColumnRenamed("tag", "__tag")
     alias = by_id.filter(F.col("slug") != F.col("model")).withColumn("model", F.col("slug"))
@@ -233,7 +233,8 @@ def _ranked(wanted: DataFrame, prices: DataFrame, present: str) -> DataFrame:
         F.when(F.col("__tag") == F.col("tag"), 1).when(tag == asked, 2)
         .when(~F.contains(asked, F.lit("/")) & (F.split_part(tag, F.lit("/"), F.lit(1)) == asked), 3).when(tag.isNotNull(), 4).otherwise(5)
     )
-    return wanted.join(known, "model", "left").withColumn("__rank", F.when(F.col(present).isNotNull(), rank))
+    # Requests name few models, and most of them the same: prices are ranked once for each different pair.
+    return wanted.select("model", "tag").distinct().join(known, "model", "left").withColumn("__rank", F.when(F.col(present).isNotNull(), rank))
 
 
 def price_lookup(wanted: DataFrame, prices: DataFrame) -> DataFrame:
@@ -241,12 +242,19 @@ def price_lookup(wanted: DataFrame, prices: DataFrame) -> DataFrame:
     rank each field's largest counts. A model may be named by its slug. An unknown model is an error."""
     by = _ranked(wanted, prices, "prompt")
     unknown = F.raise_error(F.concat(F.lit("no price for model "), F.coalesce("model", F.lit("null")))).cast("int")
-    best = by.groupBy("id", "model").agg(
+    best = by.groupBy("model", "tag").agg(
         F.min("__rank").alias("rank"), *[F.max(F.when(F.col("__rank") == r, F.col(k))).alias(f"{k}{r}") for k in PRICE for r in range(1, 6)]
     )
     best = best.withColumn("rank", F.coalesce("rank", unknown))
     of = lambda k: F.element_at(F.array(*[F.col(f"{k}{r}") for r in range(1, 6)]), F.col("rank"))
-    return best.select("id", "model", "rank", *[of(k).alias(k) for k in PRICE])
+    return _told(wanted, best.select("model", "tag", "rank", *[of(k).alias(k) for k in PRICE])).select("id", "model", "rank", *PRICE)
+
+
+def _told(wanted: DataFrame, best: DataFrame) -> DataFrame:
+    """wanted with what is known of each model and tag; null tags are alike."""
+    a, b = wanted.select("id", "model", "tag").alias("a"), best.alias("b")
+    on = F.col("a.model").eqNullSafe(F.col("b.model")) & F.col("a.tag").eqNullSafe(F.col("b.tag"))
+    return a.join(b, on, "left").select("a.id", "a.model", *[f"b.{c}" for c in best.columns if c not in ("model", "tag")])
 
 
 def limit_lookup(wanted: DataFrame, prices: DataFrame) -> DataFrame:
@@ -255,4 +263,5 @@ def limit_lookup(wanted: DataFrame, prices: DataFrame) -> DataFrame:
     by = _ranked(wanted, prices, "limit")
     named = F.max(F.when(F.col("__rank") <= 3, -F.col("__rank")))
     of = lambda r: F.max(F.when(F.col("__rank") == r, F.col("limit")))
-    return by.groupBy("id").agg(F.when(named.isNotNull(), F.coalesce(of(1), of(2), of(3))).otherwise(F.max("limit")).alias("limit"))
+    best = by.groupBy("model", "tag").agg(F.when(named.isNotNull(), F.coalesce(of(1), of(2), of(3))).otherwise(F.max("limit")).alias("limit"))
+    return _told(wanted, best).select("id", "limit")

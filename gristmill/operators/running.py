@@ -17,6 +17,12 @@ def hex_bucket(rank: Column) -> Column:
     return F.conv(F.substring(rank, 1, DIGITS), 16, 10).cast("int")
 
 
+def value_bucket(value: Column) -> Column:
+    """The bucket of a number that mostly lies from 0 to 1, as a confidence; it rises with the number, and NaN comes last."""
+    x = F.when(F.isnan(value), 2.0).otherwise(F.least(F.greatest(value, F.lit(-1.0)), F.lit(2.0)))
+    return F.floor(x * 4096).cast("int")
+
+
 def by_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
     """df in ranges of the order, of about the same number of rows: a table with the number of each row's range as __range."""
     return materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")

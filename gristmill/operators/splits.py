@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.running import hex_bucket, running_sums, with_totals
+from gristmill.sources.shared import materialize
+
 
 def seeded_rank(seed: str, kind: str, key: Column) -> Column:
     """The first 16 hex digits of SHA-256 over seed, kind and key; they sort as the number they are."""
@@ -18,9 +21,9 @@ def quota(n: Column, fraction: float) -> Column:
     return F.floor(n * F.lit(fraction) + 0.5)
 
 
-def _cut(df: DataFrame, order: list[Column], test: float, valid: float) -> DataFrame:
-    w = Window.partitionBy(F.lit(0))
-    df = df.withColumns({"__r": F.row_number().over(w.orderBy(*order)), "__n": F.count("*").over(w)})
+def _cut(df: DataFrame, bucket: Column, order: list[Column], test: float, valid: float) -> DataFrame:
+    """bucket must not fall in the order; only the rows of one are ranked in one task."""
+    df = with_totals(running_sums(df, bucket, order, {"__r": F.lit(1)}), __n=F.count(F.lit(1)))
     n_test, n_valid = quota(F.col("__n"), test), quota(F.col("__n"), valid)
     split = F.when(F.col("__r") <= n_test, "test").when(F.col("__r") <= n_test + n_valid, "valid").otherwise("train")
     return df.withColumn("split", split).drop("__r", "__n")
@@ -28,18 +31,22 @@ def _cut(df: DataFrame, order: list[Column], test: float, valid: float) -> DataF
 
 def random_split(df: DataFrame, key: str, seed: str, test: float, valid: float) -> DataFrame:
     """The first rows by hash are the test split, the next the validation split."""
-    return _cut(df, [seeded_rank(seed, "random", F.col(key)), F.col(key)], test, valid)
+    rank = seeded_rank(seed, "random", F.col(key))
+    return _cut(df, hex_bucket(rank), [rank, F.col(key)], test, valid)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: str, test: float, valid: float) -> DataFrame:
     """Rows in the order of (place in their stratum + an offset) / size of the stratum, so every cut takes a like share of
     each."""
     rank = seeded_rank(seed, "stratum", F.col(key))
-    own = Window.partitionBy(label)
-    i = F.row_number().over(own.orderBy(rank, F.col(key))) - 1
+    # A null label is a stratum; a prefix tells it from a label of that name.
+    df = df.withColumn("__stratum", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null")))
+    df = running_sums(df, hex_bucket(rank), [rank, F.col(key)], {"__i": F.lit(1)}, by=["__stratum"], before=True)
+    df = df.join(df.groupBy("__stratum").agg(F.count("*").alias("__m")), "__stratum")
     offset = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}\0offset\0"), F.col(label)), 256), 1, 8), 16, 10).cast("double") / 2**32
-    df = df.withColumns({"__i": i, "__place": (i + offset) / F.count("*").over(own)})
-    return _cut(df, [F.col("__place"), F.col(label), F.col("__i")], test, valid).drop("__i", "__place")
+    df = materialize(df.withColumn("__place", (F.col("__i") + F.coalesce(offset, F.lit(0.0))) / F.col("__m")), "strata")
+    cut = _cut(df, F.floor(F.col("__place") * 4096), [F.col("__place"), F.col(label), F.col("__i")], test, valid)
+    return cut.drop("__i", "__m", "__place", "__stratum")
 
 
 def water_quota(counts: DataFrame, label: str, n: str, size) -> DataFrame:

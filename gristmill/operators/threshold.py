@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.operators.metrics import match
+from gristmill.operators.running import running_sums, value_bucket, with_totals
 
 EPSILON = 1e-9
 
@@ -20,22 +20,17 @@ def curve(df: DataFrame, ref: str = "teacher", pred: str = "pred", fallback: str
     """(t, escalation_rate, quality) for each different finite confidence and infinity: rows of confidence t or
     above keep the student's answer, all others (null or NaN confidence too) take the fallback.
 
-    Counts are summed by confidence first, so the window runs over different confidences, not rows; those
-    are pre-aggregated sums, and rows with one confidence move together.
+    Counts are summed by confidence first, so the sums run over different confidences, not rows, and in buckets of
+    confidences; rows with one confidence move together.
     """
     c = F.col(confidence)
     known = c.isNotNull() & ~F.isnan(c)
     by = df.select(
         F.when(known, c).alias("t"), match(pred, ref).cast("long").alias("own"), match(fallback, ref).cast("long").alias("other"),
     ).groupBy("t").agg(F.count("*").alias("n"), F.sum("own").alias("own"), F.sum("other").alias("other"))
-    total = Window.partitionBy(F.lit(0))
-    upto = total.orderBy(F.col("t").desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    by = by.withColumns(
-        {
-            "answered": F.sum("n").over(upto), "right": F.sum("own").over(upto), "covered": F.sum("other").over(upto),
-            "rows": F.sum("n").over(total), "all_other": F.sum("other").over(total),
-        }
-    ).filter(F.col("t").isNotNull())
+    by = with_totals(by, rows=F.sum("n"), all_other=F.sum("other")).filter(F.col("t").isNotNull())
+    down = {"answered": F.col("n"), "right": F.col("own"), "covered": F.col("other")}
+    by = running_sums(by, -value_bucket(F.col("t")), [F.col("t").desc()], down)
     points = by.select(
         "t", (1 - F.col("answered") / F.col("rows")).alias("escalation_rate"),
         ((F.col("right") + F.col("all_other") - F.col("covered")) / F.col("rows")).alias("quality"),
@@ -78,17 +73,17 @@ def macro_f1_curve(df: DataFrame, labels: list[str], ref: str = "gold", pred: st
             aggs += [F.count_if(g & is_(col, label)).alias(f"{name}tp{i}"), F.count_if(is_(col, label)).alias(f"{name}p{i}")]
         aggs.append(F.count_if(g).alias(f"g{i}"))
     by = df.groupBy(t.alias("t")).agg(*aggs)
-    total = Window.partitionBy(F.lit(0))
-    upto = total.orderBy(F.col("t").desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = [c for c in by.columns if c != "t"]
+    both = with_totals(by, **{f"all_{c}": F.sum(c) for c in counts})
+    both = running_sums(both, F.coalesce(-value_bucket(F.col("t")), F.lit(8192)), [F.col("t").desc_nulls_last()], {f"run_{c}": F.col(c) for c in counts})
     f1 = lambda tp, both: F.when(both > 0, 2 * tp / both).otherwise(0.0)
     at, never = F.lit(0.0), F.lit(0.0)
     for i in range(len(labels)):
-        run = lambda name: F.sum(name).over(upto)
-        whole = lambda name: F.sum(name).over(total)
+        run, whole = (lambda name: F.col(f"run_{name}")), (lambda name: F.col(f"all_{name}"))
         tp = run(f"stp{i}") + whole(f"ftp{i}") - run(f"ftp{i}")
         p = run(f"sp{i}") + whole(f"fp{i}") - run(f"fp{i}")
         at = at + f1(tp, whole(f"g{i}") + p)
         never = never + f1(whole(f"ftp{i}"), whole(f"g{i}") + whole(f"fp{i}"))
-    both = by.withColumns({"at": at / len(labels), "never": never / len(labels)})
+    both = both.withColumns({"at": at / len(labels), "never": never / len(labels)})
     ends = both.limit(1).select(F.lit(float("inf")).alias("t"), F.col("never").alias("macro_f1"))
     return both.filter(F.col("t").isNotNull()).select("t", F.col("at").alias("macro_f1")).unionByName(ends)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gristmill.functions import pii
 from gristmill.functions import text as tx
-from gristmill.operators import curation, leakage, metrics, similarity, splits, votes
+from gristmill.operators import curation, leakage, metrics, running, similarity, splits, votes
 from gristmill.operators import pii_stage as stage
 from gristmill.registry import query
 from gristmill.sources.shared import shared_dir
@@ -414,8 +414,8 @@ def assign_splits(spark, sf_dir):
 
 @query("smoke_spread", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r % greatest(n // 10, 1) = 0 ORDER BY doc_id LIMIT 10")
 def smoke_spread(spark, sf_dir):
-    w = Window.partitionBy(F.lit(0))
-    df = docs(spark, sf_dir).select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    df = running.by_ranges(docs(spark, sf_dir).select("doc_id"), "doc_id")
+    df = running.with_totals(running.running_sums(df, "__range", [F.col("doc_id")], {"r": F.lit(1)}, before=True), n=F.count(F.lit(1)))
     return df.filter(F.col("r") % F.greatest(F.floor(F.col("n") / 10), F.lit(1)) == 0).orderBy("doc_id").limit(10).select("doc_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.operators import bootstrap, calibration, metrics, threshold
+from gristmill.operators import bootstrap, calibration, metrics, running, threshold
 from gristmill.registry import query
 from gristmill.sources.views import PREDS, preds
 
@@ -327,7 +327,8 @@ def _units(df: DataFrame, by=None) -> tuple[DataFrame, int]:
     ok = lambda c: metrics.match(c, "gold").cast("double")
     key = F.coalesce("grp", F.lit("(none)")) if by else F.col("id")
     g = df.groupBy(key.alias("key")).agg(F.count("*").cast("double").alias("n"), F.sum(ok("pred")).alias("student"), F.sum(ok("teacher")).alias("teacher"))
-    g = g.withColumn("unit", F.row_number().over(Window.orderBy("key")) - 1)
+    g = running.by_ranges(g, "key")
+    g = running.running_sums(g, "__range", [F.col("key")], {"unit": F.lit(1)}, before=True).drop("__range")
     return g, g.count()
 
 

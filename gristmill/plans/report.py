@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.operators import metrics
+from gristmill.operators.running import with_totals
 from gristmill.registry import query
 from gristmill.sources.views import LEDGER, PREDS, SERVED, ledger, preds, served, table
 
@@ -94,8 +95,8 @@ m AS (SELECT *, coalesce(cost, avg(cost) OVER ()) AS full_cost, coalesce(latency
 def _costs(spark, sf_dir):
     id_ = F.col("id")
     c = preds(spark, sf_dir).select("id", F.coalesce(F.col("confidence") < 0.5, F.lit(True)).alias("escalated"), F.when(id_ % 9 == 0, None).otherwise((id_ % 10 + 1) / 1000.0).alias("cost"), "latency_ms")
-    w = Window.partitionBy(F.lit(0))
-    return c.withColumns({"full_cost": F.coalesce("cost", F.avg("cost").over(w)), "full_ms": F.coalesce("latency_ms", F.avg("latency_ms").over(w))})
+    c = with_totals(c, __cost=F.avg("cost"), __ms=F.avg("latency_ms"))
+    return c.withColumns({"full_cost": F.coalesce("cost", "__cost"), "full_ms": F.coalesce("latency_ms", "__ms")}).drop("__cost", "__ms")
 
 
 @query("cost_latency", COSTS + """ SELECT count(*) AS n, count(*) FILTER (cost IS NULL) AS imputed_costs, count(*) FILTER (latency_ms IS NULL) AS imputed_latencies, round(1000 * avg(full_cost), 9) AS teacher_per_1k,

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.functions import text as tx
-from gristmill.operators import metrics, splits, votes
+from gristmill.operators import metrics, running, splits, votes
 from gristmill.registry import query
 from gristmill.sources.views import CAPTURES, IMPORTS, PREDS, SERVED, captures, imports, preds, served, table
 
@@ -71,8 +70,9 @@ ORDER = "substr(sha256('13' || chr(0) || 'train' || chr(0) || CAST(id AS VARCHAR
 @query("prepare_run_data", f"WITH {PREDS} SELECT id, gold AS label, row_number() OVER (ORDER BY {ORDER}, id) AS place FROM preds WHERE split = 'train' AND gold IS NOT NULL")
 def prepare_run_data(spark, sf_dir):
     p = preds(spark, sf_dir).filter("split = 'train' AND gold IS NOT NULL")
-    w = Window.partitionBy(F.lit(0)).orderBy(splits.seeded_rank("13", "train", F.col("id")), "id")
-    return p.select("id", F.col("gold").alias("label"), F.row_number().over(w).cast("long").alias("place"))
+    rank = splits.seeded_rank("13", "train", F.col("id"))
+    p = running.running_sums(p.select("id", F.col("gold").alias("label")), running.hex_bucket(rank), [rank, F.col("id")], {"place": F.lit(1)})
+    return p.select("id", "label", F.col("place").cast("long").alias("place"))
 
 
 @query("operating_point_table", f"""WITH {PREDS}, x AS (SELECT split, CASE WHEN confidence >= 0.5 THEN pred ELSE teacher END = gold AS ok, NOT coalesce(confidence >= 0.5, false) AS esc FROM preds)
