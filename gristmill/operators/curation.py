@@ -209,7 +209,7 @@ def run(records: DataFrame, task: Task, answers: DataFrame | None = None) -> Run
         removed_near=F.count_if(F.col("verdict") == "near"), conflict_examples=F.count_if(F.col("verdict") == "conflict"),
         conflict_clusters=F.count_if("conflict_cluster"), gold_conflicts=F.count_if("gold_conflict"),
     ).filter("verdict = 'kept'").drop("cluster", "verdict", "conflict_cluster", "gold_conflict")
-    matched = similarity.best_match(similarity.cross_matches(deduped.select("seq", "text", "split"), "seq", "text", "split", task.near))
+    matched = similarity.cross_matches(deduped.select("seq", "text", "split"), "seq", "text", "split", task.near)
     crossed = deduped.join(matched.select(F.col("a").alias("seq"), "kind"), "seq", "left")
     apart = F.col("kind").isNull()
     crossed = r.keep("cross_split", crossed, **_by_split(apart), exact=F.count_if(F.col("kind") == "exact"), near=F.count_if(F.col("kind") == "near"))

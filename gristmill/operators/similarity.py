@@ -81,26 +81,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cross_matches(df: DataFrame, id_: str, text: str, split: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, sa, sb, kind, jaccard) of all pairs from different splits, exact or near, sa before sb by rank train, valid, test."""
-    s = sets(df, id_, text, [split]).withColumnRenamed(split, "split")
-    s = materialize(s.withColumn("rank", F.expr("array_position(array('train', 'valid', 'test'), split)")), "split-sets")
-    own = s.select("id", "key", "split", "rank")
-    a, b = own.alias("a"), own.alias("b")
-    exact = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") < F.col("b.rank")))
-    pick = [F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.split").alias("sa"), F.col("b.split").alias("sb")]
-    exact = exact.select(*pick, F.lit("exact").alias("kind"), F.lit(1.0).alias("jaccard"))
-    pairs = candidates(s.drop("key", "split"), threshold, F.col("a.rank") < F.col("b.rank"))
-    near = verified(pairs, s, threshold)
-    near = near.join(s.select(F.col("id").alias("a"), F.col("split").alias("sa"), F.col("key").alias("ka")), "a")
-    near = near.join(s.select(F.col("id").alias("b"), F.col("split").alias("sb"), F.col("key").alias("kb")), "b")
-    near = near.filter("ka <> kb").select("a", "b", "sa", "sb", F.lit("near").alias("kind"), "jaccard")
-    return exact.unionByName(near)
-
-
-def best_match(matches: DataFrame, by: str = "a", other: str = "b") -> DataFrame:
-    """One match per row: exact first, then the highest similarity, then the smallest id."""
-    order = F.min(F.struct(F.when(F.col("kind") == "exact", 0).otherwise(1).alias("k"), (-F.col("jaccard")).alias("j"), F.col(other).alias("other"), F.col("kind")))
-    return matches.groupBy(by).agg(order.alias("m")).select(by, F.col("m.other").alias(other), F.col("m.kind").alias("kind"), (-F.col("m.j")).alias("jaccard"))
+    """(a, b, kind, jaccard): for each row that a row of a more protected split (train, valid, test) matches, the best of those:
+    of the same key ('exact') before others ('near'), then of the highest similarity, then of the smallest id.
+
+    Texts of one key are one set, with the smallest id of each split, so copies, however many, are neither compared nor paired:
+    what is found for a key and split holds for all its rows.
+    """
+    rows = df.select(F.col(id_).alias("id"), F.col(split).alias("split"), tx.dedupe_key(text).alias("key")).filter("key IS NOT NULL AND split IS NOT NULL")
+    rows = rows.withColumns({"rank": F.expr("array_position(array('train', 'valid', 'test'), split)"), "h": F.sha2("key", 256)})
+    first = rows.groupBy("h", "rank").agg(F.min("id").alias("first"), F.any_value("key").alias("key"))
+    held = F.sort_array(F.collect_list(F.struct("rank", "first")))
+    keys = first.groupBy("h").agg(held.alias("held"), F.min("first").alias("id"), F.any_value("key").alias("key"))
+    keys = keys.withColumns({"low": F.array_min("held.rank"), "high": F.array_max("held.rank"), "words": tx.words(F.col("key"))})
+    keys = materialize(keys.withColumn("runs", tx.shingles(F.col("words"))).withColumn("n", F.size("runs")).drop("words", "key"), "split-keys")
+    apart = (F.col("a.low") < F.col("b.high")) | (F.col("b.low") < F.col("a.high"))
+    pairs = candidates(keys.select("id", "runs", "n", "low", "high"), threshold, (F.col("a.id") < F.col("b.id")) & apart)
+    near = verified(pairs, keys.select("id", "runs"), threshold)
+    one = keys.select(F.col("id").alias("a"), F.col("h").alias("h"), F.col("held").alias("own"))
+    two = keys.select(F.col("id").alias("b"), F.col("held").alias("others"))
+    near = near.union(near.select("b", "a", "jaccard")).join(one, "a").join(two, "b")
+    near = near.select("h", "own", "others", F.lit("near").alias("kind"), "jaccard")
+    exact = keys.filter("low < high").select("h", F.col("held").alias("own"), F.col("held").alias("others"), F.lit("exact").alias("kind"), F.lit(1.0).alias("jaccard"))
+    found = near.unionByName(exact).select("*", F.explode("own.rank").alias("rank"))
+    later = F.filter("others", lambda o: o["rank"] > F.col("rank"))
+    found = found.withColumn("b", F.array_min(F.transform(later, lambda o: o["first"]))).filter("b IS NOT NULL")
+    best = F.min(F.struct(F.when(F.col("kind") == "exact", 0).otherwise(1).alias("k"), (-F.col("jaccard")).alias("j"), "b", "kind"))
+    found = found.groupBy("h", "rank").agg(best.alias("m"))
+    return rows.join(found, ["h", "rank"]).select(F.col("id").alias("a"), F.col("m.b").alias("b"), F.col("m.kind").alias("kind"), (-F.col("m.j")).alias("jaccard"))
 
 
 def lsh_bands(threshold: float, permutations: int, miss: float = 1e-6) -> tuple[int, int]:

@@ -155,12 +155,12 @@ def _cross(spark, sf_dir):
 
 @query("cross_split_match", f"WITH {CROSS} SELECT a, b, kind, round(jaccard, 9) AS jaccard FROM best WHERE r = 1")
 def cross_split_match(spark, sf_dir):
-    return similarity.best_match(_cross(spark, sf_dir)).select("a", "b", "kind", R("jaccard").alias("jaccard"))
+    return _cross(spark, sf_dir).select("a", "b", "kind", R("jaccard").alias("jaccard"))
 
 
 @query("cross_split_anti", f"WITH {CROSS} SELECT doc_id, split FROM sp WHERE doc_id NOT IN (SELECT a FROM pairs)")
 def cross_split_anti(spark, sf_dir):
-    gone = _cross(spark, sf_dir).select(F.col("a").alias("doc_id")).distinct()
+    gone = _cross(spark, sf_dir).select(F.col("a").alias("doc_id"))
     return _split(docs(spark, sf_dir)).select("doc_id", "split").join(gone, "doc_id", "left_anti")
 
 

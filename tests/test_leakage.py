@@ -82,7 +82,7 @@ def test_it_uses_nothing_of_the_other_path(spark, monkeypatch):
     def fail(*args, **kwargs):
         raise AssertionError("the check must not use what it checks")
 
-    for name in ("sets", "candidates", "verified", "near_pairs", "components", "cross_matches", "best_match", "lsh_bands"):
+    for name in ("sets", "candidates", "verified", "near_pairs", "components", "cross_matches", "lsh_bands"):
         monkeypatch.setattr(similarity, name, fail)
     text = words(40)
     df = frame(spark, {"train": [" ".join(text), "same words here"], "test": [" ".join(edited(text, 39)), "same words  HERE"]})
