@@ -6,6 +6,9 @@ between stages. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,25 @@ from gristmill.llm import line_dedup, mixing, ngram_join, packing, quality
 from gristmill.llm._common import materialize, table, text_key
 from gristmill.llm.queries import label_weights
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def columns_kept(*needed: str) -> Callable[[Stage], Stage]:
+    """Of a stage: all columns but `needed` have names of their own within it, so that they can be named like any of its own."""
+
+    def decorate(stage: Stage) -> Stage:
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            own = {c: f"kept column {i}" for i, c in enumerate(docs.columns) if c not in needed}
+            out = stage(spark, docs.withColumnsRenamed(own), sf_dir)
+            return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+
+        return run
+
+    return decorate
+
 
+@columns_kept("doc_id", "text")
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for quality is 0.3 or more. The model learns from labelled rows of docs; without any,
     all stay."""
@@ -21,6 +42,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
+@columns_kept("doc_id", "text", "n_chars")
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; a document of which no word is left goes with them. n_chars
     is that of the text that is left."""
@@ -32,6 +54,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return df.select(*docs.columns)
 
 
+@columns_kept("doc_id", "text")
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: that of the smallest doc_id. Documents without
     words have no duplicates. A row that repeats doc_id and text is the same document."""
@@ -43,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(gone, ["__d", "__t"], "left_anti").select(*docs.columns)
 
 
+@columns_kept("doc_id", "text", "source")
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; those marked good go first into a fraction."""
     rows = docs.withColumn("__words", mixing.word_count(F.col("text")))
