@@ -53,11 +53,21 @@ _NAMES = frozenset(
     "sidebar aside widget widgets related recommended recommendations share sharing comment comments disqus "
     "respond replies reply complementary contentinfo search skip copyright".split()
 )
+#: Those of what is never an article, whatever else the page has.
+_NEVER = frozenset(
+    "comment comments commentaire commentaires comentario comentarios kommentar kommentare disqus respond replies reply opinions discussion "
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split()
+)
 _FORMS = frozenset(
     "site page main global top bottom left right upper lower first last primary secondary social links link list box bar area "
     "section block wrapper wrap container inner outer slot unit item items entry posts post articles stories news user users reader "
     "readers text body content form button buttons icons thread policy message mobile desktop sticky fixed js".split()
 )
+#: What a notice without a name says; it is looked for outside marked articles.
+_NOTICE = re.compile(
+    r"\b(?:we|(?:this|our) (?:web)?site)\b.{0,60}\buses? (?:\w+ ){0,2}cookies\b|\bverwende[nt] (?:\w+ ){0,3}cookies\b"
+    r"|\butilis\w+ (?:\w+ ){0,2}cookies\b|\butiliz\w+ (?:\w+ ){0,2}cookies\b", re.I | re.S,
+)
 #: Ends of sentences; signs of which one says about as much as two or three letters.
 _SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$|[\"'»”)])|[。！？؟।॥።]")
 _WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]|[\U00020000-\U0003ffff]")
@@ -77,30 +87,31 @@ class Block:
     linked: int  # characters of the raw text inside links
     raw: int
     away: bool  # inside a menu, header, footer, advert or the like, by element
-    named: bool  # the same by a class name, id or role
-    article: int  # the number of the article that holds it, 0: none
+    named: int  # the same by a class name, id or role: 0 no, 1 yes, 2 by one of what is never an article
+    article: int  # the number of the article or main part that holds it, 0: none
+    marked: bool  # whether that is an article
     tag: str
     label: str = ""
 
 
-def _is_around(name: str) -> bool:
+def _is_around(name: str) -> int:
     parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
-    return any(p in _NAMES for p in parts) and all(p in _NAMES or p in _FORMS or p.isdigit() for p in parts)
+    if not all(p in _NAMES or p in _NEVER or p in _FORMS or p.isdigit() for p in parts):
+        return 0
+    return 2 if any(p in _NEVER for p in parts) else int(any(p in _NAMES for p in parts))
 
 
-def _named_away(more: str) -> bool:
+def _named_away(more: str) -> int:
     if "=" not in more:
-        return False
-    for m in _ATTRIBUTE.finditer(more):
-        if m[1].lower() in ("class", "id", "role") and any(_is_around(x) for x in (m[2] or m[3] or m[4] or "").split()):
-            return True
-    return False
+        return 0
+    names = (m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(more) if m[1].lower() in ("class", "id", "role"))
+    return max((_is_around(x) for own in names for x in own.split()), default=0)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order. Tags may be unclosed or wrongly nested; what is not a tag is text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # open blocks: tag, away, named, article
+    stack: list[tuple[str, bool, int, int, bool]] = []  # open blocks: tag, away, named, article, marked
     opened: Counter[str] = Counter()
     links, articles = 0, 0
     held: list[str] = []
@@ -112,8 +123,8 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(held)
             text = " ".join(html.unescape(raw).split())
             if text:
-                tag, away, named, article = stack[-1] if stack else ("", False, False, 0)
-                out.append(Block(text, linked, max(1, len(raw)), away, named, article, tag))
+                tag, away, named, article, marked = stack[-1] if stack else ("", False, 0, 0, False)
+                out.append(Block(text, linked, max(1, len(raw)), away, named, article, marked, tag))
         held, linked = [], 0
 
     at, size = 0, len(page)
@@ -156,14 +167,16 @@ def blocks(page: str) -> list[Block]:
             elif name not in _VOID and not more.endswith("/"):
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
                     opened[stack.pop()[0]] -= 1
-                _, away, named, article = stack[-1] if stack else ("", False, False, 0)
-                by_name = name not in ("body", "html", "article", "main") and _named_away(more)
-                if (name in ("article", "main") or 'role="main"' in more) and not away and not article and not _named_away(more):
-                    articles += 1
-                    article = articles
+                _, away, named, article, marked = stack[-1] if stack else ("", False, 0, 0, False)
+                by_name = _named_away(more) if name not in ("body", "html", "main") else 0
+                if (name in ("article", "main") or 'role="main"' in more) and not away and not by_name and not named:
+                    if not article:
+                        articles += 1
+                        article = articles
+                    marked = marked or name == "article"
                 heading = len(name) == 2 and name[0] == "h" and article and stack and stack[-1][0] == "header"
                 away = (away and not heading) or name in _ZONES
-                stack.append((name, away, named or by_name, article))
+                stack.append((name, away, max(named, by_name), article, marked))
                 opened[name] += 1
     flush()
     return out
@@ -182,6 +195,10 @@ def _length(text: str) -> int:
 def _first_pass(b: Block, has_article: bool) -> str:
     if b.away or b.named or (has_article and not b.article):
         return "bad"
+    if b.marked:
+        return "good"
+    if _NOTICE.search(b.text):
+        return "bad"
     density = b.linked / b.raw
     if density > LINKS and (not b.article or b.tag in ("li", "td", "div", "ul", "dd")):
         return "bad"
@@ -204,19 +221,21 @@ def _first_pass(b: Block, has_article: bool) -> str:
 def label(found: list[Block]) -> list[Block]:
     """Sets each block's label to good or bad.
 
-    First pass: what stands in menus, headers, footers, forms and the like, or outside the article where a
-    page marks one, is bad, and so is a block that is mostly links; long prose, by its share of stop words or, in other
+    First pass: all that stands in an article and in none of what is named next is good, links and headings too. What stands in
+    menus, headers, footers, forms and the like, or outside the article where a page marks one, is bad, and so is a block
+    that is mostly links, or says that cookies are used; long prose, by its share of stop words or, in other
     languages, by its sentences, is good; short blocks and those between are left open. Second pass: an open block takes the
     label of the nearest decided block before and after; if they differ, near-prose is good and a short block
-    follows the nearer one (the good one at a tie). Inside a marked article neighbours are sought in it alone, and
+    follows the nearer one (the good one at a tie). Inside a page's main part neighbours are sought in it alone, and
     where none is decided all open blocks are good. On a page without any good block, near-prose is good. Class names
-    say nothing on a page all of whose prose, of several blocks, stands under such names.
+    say nothing on a page all of whose prose, of several blocks, stands under such names; but those of reader comments,
+    adverts and notices of cookies always do.
     """
-    if any(b.named for b in found):
-        prose = [b.named for b in found if not b.away and b.linked / b.raw <= LINKS and _length(b.text) >= LONG]
+    if any(b.named == 1 for b in found):
+        prose = [b.named for b in found if not b.away and b.named < 2 and b.linked / b.raw <= LINKS and _length(b.text) >= LONG]
         if len(prose) > 1 and all(prose):
             for b in found:
-                b.named = False
+                b.named = 2 * (b.named == 2)
     has_article = any(b.article and not (b.away or b.named) for b in found)
     for b in found:
         b.label = _first_pass(b, has_article)

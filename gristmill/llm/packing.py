@@ -272,7 +272,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (length, any more columns).
+    """Adds sequence_id and offset to pieces (length, any more columns), in place of columns of these names.
 
     pieces is read twice: give a table, not a costly plan. `order` names columns that tell rows apart (rows
     equal in all of them are interchangeable). The histogram has at most `capacity` rows and is what the
@@ -284,7 +284,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     if None in hist:
         raise ValueError("a piece has no length")
     runs = plan(hist, capacity)
-    names = ["length", "__first", "__count", "__per", "sequence_id", "offset"]
+    names = ["length", "__first", "__count", "__per", "__sequence", "__offset"]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
     slots = spark.createDataFrame(runs, schema).withColumn(
         "__block",
@@ -304,6 +304,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     df = df.withColumn("__block", F.floor(F.col("__rank") / BLOCK)).join(slots, ["length", "__block"])
     i = F.col("__rank") - F.col("__first")
     df = df.filter((i >= 0) & (i < F.col("__count")))
-    df = df.withColumn("sequence_id", (F.col("sequence_id") + F.floor(i / F.col("__per"))).cast("long"))
-    df = df.withColumn("offset", (F.col("offset") + (i % F.col("__per")) * F.col("length")).cast("long"))
-    return df.select(*pieces.columns, "sequence_id", "offset")
+    sequence = (F.col("__sequence") + F.floor(i / F.col("__per"))).cast("long")
+    offset = (F.col("__offset") + (i % F.col("__per")) * F.col("length")).cast("long")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return df.select(*kept, sequence.alias("sequence_id"), offset.alias("offset"))

@@ -161,6 +161,8 @@ def test_packing_odd(spark, odd):
     ids = sorted((r for r in got if r["doc_id"] == 5), key=lambda r: r["piece"])
     assert [r["length"] for r in ids[1:]] == [2048] * (len(ids) - 1)
     assert packing.pack(pieces.limit(0), ["doc_id"]).count() == 0
+    named = pieces.withColumns({"sequence_id": F.lit("x"), "offset": F.lit("y"), "th": F.lit(1)})
+    assert sorted(r["length"] for r in packing.pack(named, ["doc_id", "piece", "start", "crc"]).filter("offset >= 0 AND sequence_id >= 0").collect()) == sorted(r["length"] for r in got)
 
 
 # Media
@@ -481,6 +483,33 @@ def test_html_keeps_formulas_and_what_stands_in_for_objects():
     assert html_extract.main_text(page) == PROSE + "x is a thing."
 
 
+SOME = "The house by the lake was sold to a family from the city in the spring of that year, as the paper said."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # Comments are never the text, however long they are and however short the article.
+        (f'<div><h1>A title</h1><p>{SOME}</p></div><div class="comments"><p>{PROSE}</p><p>{PROSE}</p></div>', ["A title", SOME]),
+        (f'<div id="comments"><p>{PROSE}</p><p>{PROSE}</p></div>', []), (f'<div class="opinions"><p>{PROSE}</p><p>{PROSE}</p></div><p>{SOME}</p>', [SOME]),
+        (f'<article class="comment"><p>{PROSE}</p></article><article class="comment"><p>{PROSE}</p></article>', []),
+        (f'<section class="user-comments"><article><p>{PROSE}</p></article></section><div><p>{PROSE}</p></div>', [PROSE.strip()]),
+        # The title in the header of an article stays, with or without a line below it.
+        (f"<article><header><h1>Title</h1><p>By A. Writer</p></header><p>{PROSE}</p></article>", ["Title", PROSE.strip()]),
+        (f"<article><header><h1>Title</h1></header><p>{PROSE}</p></article>", ["Title", PROSE.strip()]),
+        # Links of an article are its text; those outside are not.
+        (f"<article><p>{PROSE}</p><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul></article><ul><li><a href=c>Home</a></ul>", [PROSE.strip(), "First source", "Second source"]),
+        (f"<p>This website uses cookies so that you have the best time here. By going on you agree to the use of them as we say in our policy. {SOME}</p><p>{PROSE}</p>", [PROSE.strip()]),
+        (f"<article><p>We found that the site uses cookies, as the report says. {PROSE}</p></article>", [f"We found that the site uses cookies, as the report says. {PROSE}".strip()]),
+        # Pages that mark no article.
+        (f"<div><h2>Of the lake</h2><p>{PROSE}</p><p>Soon.</p><p>{PROSE}</p></div><div><a href=x>{SOME}</a></div><p>© The paper</p>", ["Of the lake", PROSE.strip(), "Soon.", PROSE.strip()]),
+        (f"<main><nav><a href=a>Home</a></nav><h1>Of the lake</h1><p>{PROSE}</p><footer>All rights</footer></main><p>{PROSE}</p>", ["Of the lake", PROSE.strip()]),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_extract.main_text(page) == "\n\n".join(want)
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, "u"), (1, "<article>x</article>", None), (None, "", "u")], "page_id long, html string, text string")
     assert [r["text"] for r in html_extract.extract(df).collect()] == ["", "x", ""]

@@ -8,6 +8,7 @@ from hashlib import sha256
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -179,3 +180,19 @@ def test_pipeline_stages(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Columns that a stage has of its own, too, come out as they went in."""
+    names = ("score", "predicted", "held_out", "n_lines", "n_removed", "n_left", "size", "source_size", "target", "copies", "quality_weight", "mix_words", "weight",
+             "th", "sid", "class_id", "n_links", "sequence_id", "offset", "length", "root")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 60")
+    more = docs.select("*", *[F.concat_ws("-", F.lit(n), "doc_id").alias(n) for n in names]).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, named = stage(spark, docs, DATA), stage(spark, more, DATA)
+        assert named.columns == more.columns
+        rows = named.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in plain.collect()), name
+        assert rows and all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, more, DATA).count() == packed(spark, docs, DATA).count()
