@@ -86,6 +86,18 @@ def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of up to BYTES_AT_ONCE, or of one."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t or "") > BYTES_AT_ONCE:
+            yield texts[at:i]
+            at, size = i, 0
+        size += len(t or "")
+    if at < len(texts):
+        yield texts[at:]
+
+
 def minhash(keys: np.ndarray) -> np.ndarray:
     """BANDS * ROWS values, uint32, of a set that is not empty."""
     flip, odd = _seeds()
@@ -107,14 +119,10 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (small for b in batches for small in _slices(b)):
-            texts, at = batch.column(2).to_pylist(), 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= BYTES_AT_ONCE):
-                    size += len(texts[stop] or "")
-                    stop += 1
+            at = 0
+            for texts in _portions(batch.column(2).to_pylist()):
                 sid, n, bands, sig = [], [], [], []
-                for keys in shingles(texts[at:stop], words):
+                for keys in shingles(texts, words):
                     n.append(len(keys))
                     if not len(keys):
                         sid.append(None), bands.append(None), sig.append(None)
@@ -124,13 +132,13 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     values = minhash(keys)
                     bands.append((_mix((values.reshape(BANDS, ROWS).astype(_U) + _U(1)) * _band_factors()).sum(1, dtype=_U)).view(np.int64))
                     sig.append((values & np.uint32(255)).astype(np.uint8).tobytes())
-                part = batch.slice(at, stop - at)
+                part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sid, pa.binary()), pa.array(n, pa.int64()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                     names=["doc_id", "th", "sid", "n", "bands", "sig"],
                 )
-                at = stop
+                at += len(texts)
 
     schema = T.StructType(
         [
@@ -321,7 +329,7 @@ def exact_links(members: DataFrame, threshold: float = THRESHOLD, words: int = W
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(small for batch in batches for small in _slices(batch)):
             group, side, sig = _group_numbers(t), _side(t), _signatures(t)
-            copies, sets = t["copies"].to_numpy(), shingles(t["text"].to_pylist(), words)
+            copies, sets = t["copies"].to_numpy(), [s for part in _portions(t["text"].to_pylist()) for s in shingles(part, words)]
             n = np.array([len(s) for s in sets], np.int64)
             _, ids = np.unique(np.concatenate(sets), return_inverse=True)
             first = np.cumsum(n) - n
@@ -370,7 +378,8 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, words: int
     The similarity of two documents is that of their sets of runs of words, see shingles(); documents without words
     have none and no links. Null doc_ids take part; a class of them alone has a null class_id. Repeated rows
     are documents of their own, linked as copies. Other columns are ignored. A candidate pair at the threshold
-    is missed with a probability below 1e-6, one well above it with less; what is returned is exact.
+    is missed with a probability below 1e-6, one well above it with less; what is returned is exact. Memory of a task: about 80
+    times BYTES_AT_ONCE or the longest text, and the texts of a group of two blocks of BLOCK documents.
     """
     rows = materialize(sketch(docs, words), "sketch")
     own = F.struct("doc_id", "th")
