@@ -354,24 +354,36 @@ def cluster_bootstrap(spark, sf_dir):
     return _bootstrap(spark, sf_dir, by="grp")
 
 
-@query("isotonic_fit")
+# The monotone fit as its min-max formula: at each confidence the largest of the least means of stretches around it.
+def _isotonic_sql(name: str, ref: str) -> str:
+    return f"""{name}_by AS (SELECT confidence AS x, CAST(sum((pred = {ref})::INT) AS DOUBLE) AS s, count(*) AS n FROM preds WHERE split = 'valid' AND confidence IS NOT NULL GROUP BY 1),
+{name}_c AS (SELECT x, s, n, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) AS cn FROM {name}_by),
+{name}_m AS (SELECT a.x AS a, b.x AS b, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.x ORDER BY b.x DESC) AS m FROM {name}_c a JOIN {name}_c b ON a.x <= b.x),
+{name}_y AS (SELECT b AS x, round(max(m), 12) AS y FROM {name}_m GROUP BY b), {name} AS (SELECT min(x) AS x, y FROM {name}_y GROUP BY y UNION SELECT max(x), y FROM {name}_y GROUP BY y)"""
+
+
+@query("isotonic_fit", f"WITH {PREDS}, {_isotonic_sql('k', 'gold')} SELECT round(x, 9) AS x, round(y, 9) AS y FROM k")
 def isotonic_fit(spark, sf_dir):
-    x, y = calibration.isotonic_fit(_correct(preds(spark, sf_dir).filter("split = 'valid'")))
-    return spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    return calibration.isotonic_fit(_correct(preds(spark, sf_dir).filter("split = 'valid'"))).select(R("x").alias("x"), R("y").alias("y"))
 
 
-@query("isotonic_apply")
+@query("isotonic_apply", f"""WITH {PREDS}, {_isotonic_sql('k', 'gold')}, e AS (SELECT p.id, confidence AS c, max(k.x) FILTER (k.x <= confidence) AS lo, min(k.x) FILTER (k.x >= confidence) AS hi FROM preds p LEFT JOIN k ON true GROUP BY ALL)
+SELECT id, round(CASE WHEN c IS NULL THEN NULL WHEN lo IS NULL THEN h.y WHEN hi IS NULL OR hi = lo THEN l.y ELSE l.y + (c - lo) / (hi - lo) * (h.y - l.y) END, 9) AS calibrated FROM e LEFT JOIN k l ON l.x = lo LEFT JOIN k h ON h.x = hi""")
 def isotonic_apply(spark, sf_dir):
     df = _correct(preds(spark, sf_dir))
-    return calibration.isotonic_apply(df, calibration.isotonic_fit(df.filter("split = 'valid'"))).select("id", "calibrated")
+    return calibration.isotonic_apply(df, calibration.isotonic_fit(df.filter("split = 'valid'"))).select("id", R("calibrated").alias("calibrated"))
+
+
+REFERENCES = {"gold": "gold", "teacher": "teacher", "primary": "coalesce(gold, teacher)"}
 
 
-@query("isotonic_per_reference")
+@query("isotonic_per_reference", f"WITH {PREDS}, {', '.join(_isotonic_sql(f'map_{n}', c) for n, c in REFERENCES.items())} "
+       + " UNION ALL ".join(f"SELECT '{n}' AS reference, round(x, 9) AS x, round(y, 9) AS y FROM map_{n}" for n in REFERENCES))
 def isotonic_per_reference(spark, sf_dir):
+    """A map against gold labels, one against the teacher's, and one against gold where there is one and else the teacher."""
     out = None
-    for ref in ("gold", "teacher"):
-        df = preds(spark, sf_dir).filter("split = 'valid'").withColumn("correct", metrics.match("pred", ref))
-        x, y = calibration.isotonic_fit(df)
-        part = spark.createDataFrame([(ref, *p) for p in zip(x.tolist(), y.tolist())], "reference string, x double, y double")
+    for name, column in REFERENCES.items():
+        df = preds(spark, sf_dir).filter("split = 'valid'").filter(f"{column} IS NOT NULL").withColumn("correct", metrics.match("pred", F.expr(column)))
+        part = calibration.isotonic_fit(df).select(F.lit(name).alias("reference"), R("x").alias("x"), R("y").alias("y"))
         out = part if out is None else out.unionByName(part)
     return out

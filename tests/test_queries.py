@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 # Kept short: those that touch each module.
 NAMES = (
     "threshold_curve", "choose_threshold", "macro_f1_curve", "macro_f1", "per_trait_breakdown", "extraction_scores", "reliability_bins", "auroc",
-    "wilson_interval", "select_run", "near_dup_selfjoin", "connected_components", "resolve_cluster", "cross_split_match", "leakage_check",
+    "wilson_interval", "isotonic_fit", "isotonic_apply", "isotonic_per_reference", "select_run", "near_dup_selfjoin", "connected_components", "resolve_cluster", "cross_split_match", "leakage_check",
     "extract_records", "majority_vote", "merge_meta_first_wins", "repeats", "normalise_examples", "split_random", "split_stratified", "assign_splits",
     "normalise_label", "validate_schema", "canonical_json", "completion_problem", "ledger_summary", "ledger_reserve", "price_lookup", "teacher_lookup",
     "served_report", "drift_check", "prom_counters", "cost_latency", "break_even", "bakeoff_select", "compare_reports", "stateful_budget",
