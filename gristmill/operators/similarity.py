@@ -27,14 +27,16 @@ def candidates(s: DataFrame, threshold: float, condition=None) -> DataFrame:
     of each must be shared, and sizes must be near. Nothing that reaches it is lost.
 
     Runs are ordered by how many sets have them, so what is joined on is rare: no hot key, unless all runs of a
-    set are common. Equal sets have a pair each; group them by key first.
+    set are common. Runs of one set alone come first and join nothing, so they are only counted. Equal sets have a pair
+    each; group them by key first.
     """
     keep = [c for c in s.columns if c not in ("key", "runs")]
     runs = s.select(*keep, F.explode("runs").alias("run")).withColumn("run", F.xxhash64("run"))
-    df = runs.join(runs.groupBy("run").agg(F.count("*").alias("df")), "run")
-    w = Window.partitionBy("id").orderBy("df", "run")
+    df = runs.join(runs.groupBy("run").agg(F.count("*").alias("df")).filter("df > 1"), "run")
+    own = Window.partitionBy("id")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "run"))
     first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    df = df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= first).select(*keep, "run")
+    df = df.withColumn("r", rank).filter(F.col("r") <= first).select(*keep, "run")
     df = materialize(df, "prefixes")
     a, b = df.alias("a"), df.alias("b")
     near = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
