@@ -22,7 +22,7 @@ from gristmill.sources.shared import materialize, materialize_at, shared_dir
 
 SPLITS = ("train", "valid", "test")
 STAGES = ("load", "extract", "merge", "vote", "pii", "split", "dedupe", "cross_split", "label", "length", "leakage")
-#: What can become of an example as its answers are made one.
+# Names of what can become of an example as its answers are made one, and of the counters of that stage.
 FATES = ("labelled", "unlabelled", "dropped_all_invalid", "dropped_no_majority", "kept_test_all_invalid", "kept_test_no_majority")
 NORMALISE = (
     "examples", "outputs", "invalid_outputs", "dropped_all_invalid", "dropped_no_majority", "kept_test_all_invalid", "kept_test_no_majority",

@@ -6,7 +6,6 @@ Texts of one key are one node with a count for each split, so copies, however ma
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,11 +29,11 @@ def band_shape(threshold: float) -> tuple[int, int]:
     """(bands, values in a band): the longest bands that miss a pair at the threshold with a probability of MISS at most."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and not above 1")
-    shapes = [(VALUES // n, n) for n in range(1, VALUES // 2 + 1)]
-    fits = [s for s in shapes if threshold ** s[1] == 1 or s[0] * math.log1p(-(threshold ** s[1])) <= math.log(MISS)]
-    if not fits:
-        raise ValueError("the threshold is too low for so few values")
-    return fits[-1]
+    for size in range(VALUES // 2, 0, -1):
+        bands = VALUES // size
+        if (1 - threshold**size) ** bands <= MISS:
+            return bands, size
+    raise ValueError("the threshold is too low for so few values")
 
 
 def sketch(runs: np.ndarray) -> np.ndarray:

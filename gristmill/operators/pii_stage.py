@@ -33,16 +33,13 @@ def leaves(value, path: str = "$") -> Iterator[tuple[str, str]]:
 
 
 def _broken_fields(before, after, schema: dict) -> list[tuple[str, list[str]]]:
-    """(field, kinds found in it) of the fields that alone make the value invalid, or else of all that changed; '$' where the value
-    is no object. None if what came out is valid."""
+    """(field, kinds found in it) of the fields that the scrub changed and whose own part of the schema they now fail; '$' and all
+    kinds where what fails is no one field's part. Empty if what came out is valid."""
     if not tx.schema_errors(after, schema):
         return []
-    kinds = lambda x: sorted(pii.scrub_value(x)[1])
-    if not isinstance(before, dict):
-        return [("$", kinds(before))]
-    changed = [k for k in before if before[k] != after[k]]
-    alone = [k for k in changed if tx.schema_errors({**before, k: after[k]}, schema)]
-    return [(k, kinds(before[k])) for k in alone or changed]
+    own = schema.get("properties", {}) if isinstance(after, dict) else {}
+    fields = {k: before[k] for k, part in own.items() if k in after and after[k] != before[k] and tx.schema_errors(after[k], part)}
+    return [(k, sorted(pii.scrub_value(v)[1])) for k, v in (fields or {"$": before}).items()]
 
 
 def scrub_examples(examples: DataFrame, schema: dict | None = None, text: str = "input", teacher: str = "teacher", gold: str = "gold", kinds: tuple[str, ...] = pii.KINDS) -> DataFrame:

@@ -71,9 +71,9 @@ def test_a_cap_is_met_exactly_and_every_crossed_one_is_named(spark):
 
 
 def test_charges_replace_reservations_and_releases_free_them(spark):
-    rows = [(1, 1, 600, "r", "t", 3, 0), (2, 2, 500, "r", "t", None, None), (3, 4, 500, "r", "t", 5, 100), (4, 6, 900, "r", "t", None, None)]
-    got = check(spark, rows, (1000, None or 10_000, 10_000))
-    assert [got[i][0] for i in (1, 2, 3, 4)] == [True, False, True, True]
+    rows = [(1, 1, 70, "r", "t", 5, 0), (2, 2, 40, "r", "t", None, None), (3, 3, 30, "r", "t", 6, 12), (4, 5, 71, "r", "t", None, None), (5, 7, 88, "r", "t", None, None)]
+    got = check(spark, rows, (100, 500, 500))
+    assert [got[i][0] for i in (1, 2, 3, 4, 5)] == [True, False, True, False, True]
 
 
 def test_no_rows_and_null_amounts(spark):

@@ -25,25 +25,31 @@ def found(df, **more):
     return sorted((r["sa"], r["sb"], r["kind"], r["a"], r["b"], r["pairs"], round(r["jaccard"], 9)) for r in leakage.leaks(df, "id", "text", "part", **more).collect())
 
 
-def test_planted_leaks_are_found_and_clean_splits_pass(spark):
-    splits = {
-        "train": [" ".join(words(25, "a")), "Card lost", "top up?"], "valid": [" ".join(words(20, "b")), "who am i"],
-        "test": [" ".join(words(25, "d")), "top up", " ".join(edited(words(10, "b"), 9))],
+def test_each_way_to_leak_alone(spark):
+    """One text in train; another split gets it changed in one way."""
+    base = words(50, "leaf")
+    ways = {
+        "as it is": (base, ("exact", 1.0)), "in capitals": ([w.upper() for w in base], ("exact", 1.0)), "with more blanks": ([f" {w}\n" for w in base], ("exact", 1.0)),
+        "its last word changed": (edited(base, 49), ("near", 47 / 49)), "cut by three words": (base[:47], ("near", 45 / 48)), "cut by ten words": (base[:40], None),
+        "a word changed within": (edited(base, 20), None), "two ends changed": (edited(base, 0, 49), ("near", 46 / 50)), "another text": (words(50, "root"), None),
     }
-    assert found(frame(spark, splits)) == []
-    assert {r["pairs"] for r in leakage.report(leakage.leaks(frame(spark, splits), "id", "text", "part")).collect()} == {0}
-    splits["test"].append("How do I reset my PIN?")
-    splits["train"] += ["how do i  reset my pin?", "card  LOST"]
-    splits["valid"].append(" ".join(edited(words(25, "a"), 24)))
-    got = found(frame(spark, splits))
-    assert got == [("train", "test", "exact", 3, 2003, 1, 1.0), ("train", "valid", "near", 0, 1002, 1, round(22 / 24, 9))]
-
-
-def test_short_texts_match_exactly_only_and_the_threshold_counts(spark):
-    twelve = words(12)
-    df = frame(spark, {"train": ["card lost", "top up", " ".join(twelve)], "test": ["Card  LOST", "top up?", " ".join(twelve[:11])]})
-    assert found(df) == [("train", "test", "exact", 0, 2000 - 1000, 1, 1.0), ("train", "test", "near", 2, 1002, 1, 0.9)]
-    assert [x[2] for x in found(df, threshold=0.95)] == ["exact"]
+    for part in ("valid", "test"):
+        df = frame(spark, {"train": [" ".join(base)], part: [" ".join(v) for v, _ in ways.values()]})
+        want = [(1000 + i, *w) for i, (_, w) in enumerate(ways.values()) if w]
+        got = {(b, kind, j) for _, sb, kind, _, b, _, j in found(df) if sb == part}
+        exact = [b for b, kind, _ in want if kind == "exact"]
+        assert got == {(b, kind, round(j, 9)) for b, kind, j in want if kind == "near"} | {(min(exact), "exact", 1.0)}
+        assert {r["kind"]: r["pairs"] for r in leakage.report(leakage.leaks(df, "id", "text", "part")).filter(f"sb = '{part}' AND sa = 'train'").collect()} == {
+            "exact": len(exact), "near": len(want) - len(exact)
+        }
+    clean = frame(spark, {"train": [" ".join(words(9, "p")), "no"], "valid": [" ".join(words(9, "q")), "no?"], "test": [" ".join(words(9, "r"))]})
+    assert found(clean) == [] and {r["pairs"] for r in leakage.report(leakage.leaks(clean, "id", "text", "part")).collect()} == {0}
+
+
+def test_the_threshold_counts_as_reached(spark):
+    """20 runs of 22 are 10 / 11."""
+    df = frame(spark, {"valid": [" ".join(words(24))], "test": [" ".join(words(22))]})
+    assert found(df, threshold=10 / 11) == [("valid", "test", "near", 0, 1000, 1, round(10 / 11, 9))] and found(df, threshold=0.91) == []
 
 
 def test_copies_are_counted_not_paired(spark, monkeypatch):
