@@ -22,7 +22,7 @@ from gristmill.operators.running import by_ranges, running_sums
 from gristmill.sources.shared import materialize
 
 #: Undecided entries that one task may fold.
-FOLD = 20_000
+FOLD = 200_000
 
 
 @dataclass(frozen=True)
