@@ -81,3 +81,12 @@ def test_no_rows_and_null_amounts(spark):
     got = admit(df, [Cap("global", 4)])
     assert [(r["id"], r["accepted"]) for r in got.orderBy("id").collect()] == [(1, True), (2, False)]
     assert admit(df.limit(0), [Cap("global", 4)]).collect() == []
+
+
+def test_rounds_are_few_where_bounds_decide_little(spark, monkeypatch):
+    """Amounts come back as fast as they are reserved, so bounds decide a few entries a round; each round folds FOLD besides."""
+    monkeypatch.setattr(admission, "FOLD", 25)
+    rounds, one = [], admission._round
+    monkeypatch.setattr(admission, "_round", lambda *a: rounds.append(1) or one(*a))
+    check(spark, [(i, i, 5 + i % 7, "r", "a", i + 3, 0) for i in range(60)], (20, 20, 20))
+    assert len(rounds) <= 60 // 25 + 1
