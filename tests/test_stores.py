@@ -18,3 +18,7 @@ def same(spark, tmp_path_factory):
 
 def test_a_call_is_not_cached_because_another_asked_the_same__collect_records(spark, same):
     assert sorted(r["id"] for r in registry.QUERIES["collect_records"](spark, same).collect()) == [0, 2, 4, 6, 8, 10, 12]
+
+
+def test_a_call_is_not_cached_because_another_asked_the_same__uncached_flags(spark, same):
+    assert sorted(r["id"] for r in registry.QUERIES["uncached_flags"](spark, same).collect()) == [1, 3, 5, 7, 9, 11]
