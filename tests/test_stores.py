@@ -22,3 +22,8 @@ def test_a_call_is_not_cached_because_another_asked_the_same__collect_records(sp
 
 def test_a_call_is_not_cached_because_another_asked_the_same__uncached_flags(spark, same):
     assert sorted(r["id"] for r in registry.QUERIES["uncached_flags"](spark, same).collect()) == [1, 3, 5, 7, 9, 11]
+
+
+def test_a_call_is_not_cached_because_another_asked_the_same__teacher_lookup(spark, same):
+    got = {r["id"]: r["found"] for r in registry.QUERIES["teacher_lookup"](spark, same).collect()}
+    assert got == {i: "cache" if i % 2 == 0 else "recording" if i % 3 == 0 else None for i in range(13)}
