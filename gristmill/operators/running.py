@@ -29,19 +29,21 @@ def by_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
 
 
 def running_sums(
-    df: DataFrame, bucket: Column | str, order: list[Column], sums: dict[str, Column], by: list[str] = [], before: bool = False  # noqa: B006
+    df: DataFrame, bucket: Column | str, order: list[Column], sums: dict[str, Column], by: list[str] = [], before: bool = False, total: str | None = None  # noqa: B006
 ) -> DataFrame:
     """df with each of `sums` (name: value) summed up over the rows of `by` up to the row (before: without it) in an order.
 
     bucket must not fall in that order, and only the rows of one bucket meet in a task; the buckets' own sums, one row each, are
-    summed up by a second, small window. Ties in the order must be broken by the caller. Columns of `by` must not be null.
+    summed up by a second, small window. Ties in the order must be broken by the caller. Columns of `by` must not be null. total: a name for
+    the first sum over all rows of `by`, which comes from the same small window.
     """
     bucket = F.col(bucket) if isinstance(bucket, str) else bucket
     df = df.withColumns({"__b": bucket, **{f"__v{i}": v for i, v in enumerate(sums.values())}})
     inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     of = df.groupBy(*by, "__b").agg(*[F.sum(f"__v{i}").alias(f"__s{i}") for i in range(len(sums))])
     outer = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    of = of.select(*by, "__b", *[F.coalesce(F.sum(f"__s{i}").over(outer), F.lit(0)).alias(f"__o{i}") for i in range(len(sums))])
+    whole = [F.sum("__s0").over(outer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total)] if total else []
+    of = of.select(*by, "__b", *[F.coalesce(F.sum(f"__s{i}").over(outer), F.lit(0)).alias(f"__o{i}") for i in range(len(sums))], *whole)
     df = df.withColumns({f"__i{i}": F.coalesce(F.sum(f"__v{i}").over(inner), F.lit(0)) for i in range(len(sums))}).join(of, [*by, "__b"])
     df = df.withColumns({name: F.col(f"__i{i}") + F.col(f"__o{i}") for i, name in enumerate(sums)})
     return df.drop("__b", *[f"__{k}{i}" for k in "vio" for i in range(len(sums))])

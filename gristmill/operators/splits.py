@@ -37,12 +37,11 @@ def random_split(df: DataFrame, key: str, seed: str, test: float, valid: float)
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: str, test: float, valid: float) -> DataFrame:
     """Rows in the order of (place in their stratum + an offset) / size of the stratum, so every cut takes a like share of
-    each."""
+    each. Rows are joined by stratum and bucket, never by stratum alone, so a large stratum is no one task's."""
     rank = seeded_rank(seed, "stratum", F.col(key))
     # A null label is a stratum; a prefix tells it from a label of that name.
     df = df.withColumn("__stratum", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null")))
-    df = running_sums(df, hex_bucket(rank), [rank, F.col(key)], {"__i": F.lit(1)}, by=["__stratum"], before=True)
-    df = df.join(df.groupBy("__stratum").agg(F.count("*").alias("__m")), "__stratum")
+    df = running_sums(df, hex_bucket(rank), [rank, F.col(key)], {"__i": F.lit(1)}, by=["__stratum"], before=True, total="__m")
     offset = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}\0offset\0"), F.col(label)), 256), 1, 8), 16, 10).cast("double") / 2**32
     df = materialize(df.withColumn("__place", (F.col("__i") + F.coalesce(offset, F.lit(0.0))) / F.col("__m")), "strata")
     cut = _cut(df, F.floor(F.col("__place") * 4096), [F.col("__place"), F.col(label), F.col("__i")], test, valid)

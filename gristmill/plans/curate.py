@@ -370,7 +370,7 @@ def seeded_order(spark, sf_dir):
 
 @query("split_random", f"SELECT doc_id, {CUT} FROM (SELECT doc_id, row_number() OVER (ORDER BY {ORDER.replace('KIND', 'random')}, doc_id) AS r, count(*) OVER () AS n FROM documents)")
 def split_random(spark, sf_dir):
-    return splits.random_split(docs(spark, sf_dir), "doc_id", "13", 0.2, 0.1).select("doc_id", "split")
+    return splits.random_split(docs(spark, sf_dir).select("doc_id"), "doc_id", "13", 0.2, 0.1).select("doc_id", "split")
 
 
 STRATA = f"""WITH i AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {ORDER.replace('KIND', 'stratum')}, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m, count(*) OVER () AS n FROM documents),
@@ -379,7 +379,7 @@ p AS (SELECT doc_id, n, row_number() OVER (ORDER BY (i + CAST(CAST('0x' || subst
 
 @query("split_stratified", STRATA + f" SELECT doc_id, {CUT} FROM p")
 def split_stratified(spark, sf_dir):
-    return splits.stratified_split(docs(spark, sf_dir), "doc_id", "lang", "13", 0.2, 0.1).select("doc_id", "split")
+    return splits.stratified_split(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id", "lang", "13", 0.2, 0.1).select("doc_id", "split")
 
 
 GROUP_OF = "CASE WHEN source IS NOT NULL THEN 'group' || chr(0) || source ELSE 'row' || chr(0) || CAST(doc_id AS VARCHAR) END"
