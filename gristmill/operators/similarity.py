@@ -12,6 +12,8 @@ from gristmill.functions import text as tx
 from gristmill.sources.shared import materialize
 
 THRESHOLD = 0.9
+#: Sets that meet on one run before it is moved back; how many runs a round moves back; rows that are broadcast.
+OFTEN, HOT, BROADCAST = 64, 4096, 1_000_000
 
 
 def sets(df: DataFrame, id_: str, text: str, keep: list[str] | None = None) -> DataFrame:
@@ -22,30 +24,54 @@ def sets(df: DataFrame, id_: str, text: str, keep: list[str] | None = None) -> D
     return df.withColumn("n", F.size("runs"))
 
 
+def _hashed(df: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
+    """(id, kept columns, key, runs, n), as a table: the key's hash, and the sorted 64-bit hashes of the runs. Texts go no further."""
+    s = sets(df, id_, text, list(keep)).filter("key IS NOT NULL")
+    s = s.select("id", *keep, F.sha2("key", 256).alias("key"), F.sort_array(F.array_distinct(F.transform("runs", lambda r: F.xxhash64(r)))).alias("runs"))
+    return materialize(s.withColumn("n", F.size("runs")), "sets")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its size, which is counted, allows it. It is best a table."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def candidates(s: DataFrame, threshold: float, condition=None) -> DataFrame:
-    """Pairs of ids (a, b) that can reach the threshold: at least one of the n - ceil(threshold * n) + 1 rarest runs
-    of each must be shared, and sizes must be near. Nothing that reaches it is lost.
+    """Pairs of ids (a, b) of sets (id, runs: sorted numbers, n, any more) that can reach the threshold: in any one order of all runs,
+    at least one of the first n - ceil(threshold * n) + 1 of each must be shared, and sizes must be near. Nothing that reaches it is lost.
 
-    Runs are ordered by how many sets have them, so what is joined on is rare: no hot key, unless all runs of a
-    set are common. Runs of one set alone come first and join nothing, so they are only counted. Equal sets have a pair
+    Runs are ordered by their hash, so that no run has to be counted and a tenth of them is shuffled; those that more than OFTEN
+    sets would meet on come last in the order of every set, the HOT most frequent of them in each of two rounds. Equal sets have a pair
     each; group them by key first.
     """
     keep = [c for c in s.columns if c not in ("key", "runs")]
-    runs = s.select(*keep, F.explode("runs").alias("run")).withColumn("run", F.xxhash64("run"))
-    df = runs.join(runs.groupBy("run").agg(F.count("*").alias("df")).filter("df > 1"), "run")
-    own = Window.partitionBy("id")
-    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "run"))
-    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    df = df.withColumn("r", rank).filter(F.col("r") <= first).select(*keep, "run")
-    df = materialize(df, "prefixes")
+    first = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    hot: list[int] = []
+    for last in (False, False, True):
+        rows = s.crossJoin(F.broadcast(s.sparkSession.createDataFrame([(hot,)], "__hot array<bigint>"))) if hot else s
+        order = F.concat(F.array_except("runs", "__hot"), F.array_intersect("runs", "__hot")) if hot else F.col("runs")
+        df = materialize(rows.filter("n > 0").select(*keep, F.posexplode(F.slice(order, F.lit(1), first)).alias("at", "run")), "prefixes")
+        if last:
+            break
+        often = df.groupBy("run").count().filter(F.col("count") > OFTEN).orderBy(F.desc("count"), "run").limit(HOT)
+        more = [r["run"] for r in often.collect() if r["run"] not in set(hot)]  # HOT numbers at most
+        if not more:
+            break
+        hot += more
     a, b = df.alias("a"), df.alias("b")
     near = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
+    # Of two sets that reach it, the first run they share leaves enough behind it in both.
+    share = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    near &= F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= share
     on = (F.col("a.run") == F.col("b.run")) & near & (condition if condition is not None else F.col("a.id") < F.col("b.id"))
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, s: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold."""
+    """(a, b, jaccard) of the pairs that reach the threshold. Only sets that are in a pair are shuffled."""
+    pairs = materialize(pairs, "candidates")
+    ids = _small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids"))
+    s = s.select("id", "runs").join(ids, "id", "left_semi")
     x = s.select(F.col("id").alias("a"), F.col("runs").alias("ra"))
     y = s.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
     j = tx.jaccard(F.col("ra"), F.col("rb"))
@@ -54,13 +80,14 @@ def verified(pairs: DataFrame, s: DataFrame, threshold: float) -> DataFrame:
 
 def near_pairs(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD, within: str | None = None) -> DataFrame:
     """(a, b, kind, jaccard): texts of one key are linked to its smallest id ('exact', 1.0), and the smallest ids of
-    different keys to each other where their sets reach the threshold ('near'). within: only rows with the same value of it."""
+    different keys to each other where their sets reach the threshold ('near'). within: only rows with the same value of it.
+    Keys are told apart by SHA-256, runs by 64 bits."""
     own = [within] if within else []
-    s = materialize(sets(df, id_, text, own), "sets")
+    s = _hashed(df, id_, text, *own)
     first = F.min("id").over(Window.partitionBy("key", *own))
-    s = s.withColumn("first", first)
-    exact = s.filter(F.col("id") > F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("kind"), F.lit(1.0).alias("jaccard"))
-    reps = s.filter(F.col("id") == F.col("first")).drop("first")
+    copies = materialize(s.select("id", "key", *own).withColumn("first", first).filter(F.col("id") > F.col("first")).select("id", "first"), "copies")
+    exact = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("kind"), F.lit(1.0).alias("jaccard"))
+    reps = s.join(_small(copies.select("id")), "id", "left_anti")
     same = (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.id") < F.col("b.id")) if within else None
     found = verified(candidates(reps.drop("key"), threshold, same), reps, threshold)
     return exact.unionByName(found.select("a", "b", F.lit("near").alias("kind"), "jaccard"))
@@ -89,16 +116,22 @@ def cross_matches(df: DataFrame, id_: str, text: str, split: str, threshold: flo
     Texts of one key are one set, with the smallest id of each split, so copies, however many, are neither compared nor paired:
     what is found for a key and split holds for all its rows.
     """
-    rows = df.select(F.col(id_).alias("id"), F.col(split).alias("split"), tx.dedupe_key(text).alias("key")).filter("key IS NOT NULL AND split IS NOT NULL")
-    rows = rows.withColumns({"rank": F.expr("array_position(array('train', 'valid', 'test'), split)"), "h": F.sha2("key", 256)})
-    first = rows.groupBy("h", "rank").agg(F.min("id").alias("first"), F.any_value("key").alias("key"))
+    named = df.filter(F.col(split).isNotNull()).withColumn("rank", F.expr(f"array_position(array('train', 'valid', 'test'), `{split}`)"))
+    sets_ = _hashed(named, id_, text, "rank")
+    rows = sets_.select("id", "rank", F.col("key").alias("h"))
+    first = rows.groupBy("h", "rank").agg(F.min("id").alias("first"))
     held = F.sort_array(F.collect_list(F.struct("rank", "first")))
-    keys = first.groupBy("h").agg(held.alias("held"), F.min("first").alias("id"), F.any_value("key").alias("key"))
-    keys = keys.withColumns({"low": F.array_min("held.rank"), "high": F.array_max("held.rank"), "words": tx.words(F.col("key"))})
-    keys = materialize(keys.withColumn("runs", tx.shingles(F.col("words"))).withColumn("n", F.size("runs")).drop("words", "key"), "split-keys")
+    keys = first.groupBy("h").agg(held.alias("held"), F.min("first").alias("id"))
+    keys = materialize(keys.withColumns({"low": F.array_min("held.rank"), "high": F.array_max("held.rank")}), "split-keys")
+    # A key's set is that of its smallest id; the other rows are its copies.
+    copies = _small(materialize(rows.join(keys.select("id"), "id", "left_anti").select("id"), "copies"))
+    alone = sets_.select("id", "runs", "n", F.col("key").alias("h")).join(copies, "id", "left_anti")
+    spans = keys.select("id", "low", "high")
     apart = (F.col("a.low") < F.col("b.high")) | (F.col("b.low") < F.col("a.high"))
-    pairs = candidates(keys.select("id", "runs", "n", "low", "high"), threshold, (F.col("a.id") < F.col("b.id")) & apart)
-    near = verified(pairs, keys.select("id", "runs"), threshold)
+    pairs = candidates(alone.select("id", "runs", "n"), threshold)
+    a, b = spans.select(F.col("id").alias("a"), "low", "high").alias("a"), spans.select(F.col("id").alias("b"), "low", "high").alias("b")
+    pairs = pairs.join(a, "a").join(b, "b").filter(apart).select("a", "b")
+    near = verified(pairs, alone, threshold)
     one = keys.select(F.col("id").alias("a"), F.col("h").alias("h"), F.col("held").alias("own"))
     two = keys.select(F.col("id").alias("b"), F.col("held").alias("others"))
     near = near.union(near.select("b", "a", "jaccard")).join(one, "a").join(two, "b")
