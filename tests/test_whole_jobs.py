@@ -79,3 +79,23 @@ def test_stages_are_chained_and_emptied_splits_found(spark, tmp_path):
     assert by == {"split": (6, 1, 1), "dedupe": (3, 1, 1), "cross_split": (2, 1, 1), "label": (2, 1, 1), "length": (2, 0, 1), "leakage": (2, 0, 1)}
     found = {r["split"]: (r["name"], r["reason"]) for r in registry.QUERIES["emptied_at"](spark, path).collect()}
     assert found == {"train": (None, None), "test": (None, None), "valid": ("length", "every row is longer than 500 tokens")}
+
+
+def test_baseline_has_the_optimum_as_a_table_of_terms(spark):
+    """At the optimum a coefficient is C times the sum, over the rows, of how far they are off times their weight of the term."""
+    texts = ["red apple pie", "green apple", "red wine and red meat", "green tea and apple pie", "tea", "wine and meat", "..."]
+    for said in ("1011010", "0120120"):
+        rows = [(t, k) for t, k in zip(texts, said, strict=True)]
+        train = spark.createDataFrame(rows, "text string, label string")
+        model, c, _ = baseline.tfidf_baseline(train, train)
+        got = {r["term"]: r["w"].toArray() for r in model.coefficients.collect()}
+        assert len(got) == model.numFeatures and model.numClasses == len(set(said))
+        terms = {t: [w for w in t.replace(".", "").split()] for t in texts}
+        counts = [[*ws, *map(" ".join, zip(ws, ws[1:], strict=False))] for ws in terms.values()]
+        df = {t: sum(t in x for x in counts) for t in got}
+        x = np.array([[(1 + np.log(r.count(t))) * (1 + np.log(8 / (1 + df[t]))) if t in r else 0.0 for t in got] for r in counts])
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        w, classes = np.array(list(got.values())), model.labels[1:] if len(model.labels) == 2 else model.labels
+        y = np.array([[float(k == s) for s in classes] for k in said])
+        b = baseline._step(x @ w, np.zeros_like(y), y, c, np.zeros(y.shape[1]), 0.0, 1.0)[1]
+        assert np.abs(w - c * x.T @ (y - baseline._chances(x @ w + b)[0])).max() < 1e-3
