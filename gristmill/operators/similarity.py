@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions import text as tx
+from gristmill.operators import parity
 from gristmill.sources.shared import materialize
 
 THRESHOLD = 0.9
@@ -68,10 +69,9 @@ def candidates(s: DataFrame, threshold: float, condition=None) -> DataFrame:
 
 
 def verified(pairs: DataFrame, s: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold. Only sets that are in a pair are shuffled."""
-    pairs = materialize(pairs, "candidates")
-    ids = _small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids"))
-    s = s.select("id", "runs").join(ids, "id", "left_semi")
+    """(a, b, jaccard) of the pairs that reach the threshold. Only sets of pairs that a bound by bits leaves are shuffled."""
+    pairs = parity.close(pairs, s, threshold)
+    s = s.select("id", "runs").join(parity.ids_of(pairs), "id", "left_semi")
     x = s.select(F.col("id").alias("a"), F.col("runs").alias("ra"))
     y = s.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
     j = tx.jaccard(F.col("ra"), F.col("rb"))
