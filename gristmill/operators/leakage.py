@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
+from gristmill.operators import parity
 from gristmill.sources.shared import materialize
 
 SPLITS = ("train", "valid", "test")
@@ -109,8 +110,11 @@ def leaks(df: DataFrame, id_: str, text: str, split: str, threshold: float = 0.9
     rank = F.create_map(*[F.lit(x) for i, s in enumerate(order) for x in (s, i)])
     nodes = _nodes(df.filter(F.col(split).isin(*order)), id_, text, split)
     found = _candidates(_buckets(nodes, bands, size), threshold)
-    one = nodes.select(F.col("node").alias("a"), F.col("runs").alias("ra"), F.col("held").alias("ha"))
-    two = nodes.select(F.col("node").alias("b"), F.col("runs").alias("rb"), F.col("held").alias("hb"))
+    hashed = nodes.select(F.col("node").alias("id"), F.transform("runs", lambda r: F.xxhash64(r)).alias("runs"), "n")
+    found = parity.close(found, hashed, threshold)
+    sets = nodes.withColumnRenamed("node", "id").join(parity.ids_of(found), "id", "left_semi")
+    one = sets.select(F.col("id").alias("a"), F.col("runs").alias("ra"), F.col("held").alias("ha"))
+    two = sets.select(F.col("id").alias("b"), F.col("runs").alias("rb"), F.col("held").alias("hb"))
     jaccard = F.size(F.array_intersect("ra", "rb")) / F.size(F.array_union("ra", "rb"))
     near = found.join(one, "a").join(two, "b").withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold - 1e-12)
     near = near.select("ha", "hb", F.lit("near").alias("kind"), "jaccard")
