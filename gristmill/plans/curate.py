@@ -119,7 +119,7 @@ FROM m JOIN resolved USING (cluster) JOIN k a ON a.id = m.id LEFT JOIN k b ON b.
 def dedupe_split(spark, sf_dir):
     m = _members(spark, sf_dir)
     r = votes.resolve_clusters(m).select("cluster", "survivor")
-    k = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), tx.dedupe_key("text").alias("key"))
+    k = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.sha2(tx.dedupe_key("text"), 256).alias("key"))
     x = m.select("cluster", "id").join(r, "cluster").join(k, "id").join(k.select(F.col("id").alias("survivor"), F.col("key").alias("sk")), "survivor", "left")
     gone = F.col("id") != F.col("survivor")
     return x.agg(
