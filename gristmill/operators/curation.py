@@ -152,25 +152,31 @@ def decision_counters() -> dict[str, Column]:
     return out | {f"gold_conflicts_{k}": F.count_if(F.coalesce(F.col("gold_conflict") == k, F.lit(False))) for k in ("resolved", "unresolved")}
 
 
-def dedupe(examples: DataFrame, near: float = 0.9, exact: bool = True) -> DataFrame:
+def dedupe(examples: DataFrame, near: float = 0.9, exact: bool = True, known: DataFrame | None = None) -> DataFrame:
     """examples (seq, text, split, teacher, votes, gold) with cluster, verdict and the survivor's teacher and gold.
 
     Within each split, texts of one key or whose word runs reach the similarity are clusters. verdict: 'kept' (alone, or the
     survivor), 'exact' or 'near' (removed, of the survivor's key or not), 'conflict' (the cluster's teachers have no
     majority: all go). exact False: texts of fewer than three words are left alone. gold_conflict: on the first row of a cluster
-    whose golds differ.
+    whose golds differ. known: similarity.hashed() of the examples, with their split.
     """
-    texts = examples if exact else examples.filter(F.size(tx.words(tx.dedupe_key("text"))) >= 3)
-    clusters = similarity.components(similarity.near_pairs(texts, "seq", "text", near, within="split"))
+    known = similarity.hashed(examples, "seq", "text", "split") if known is None else known
+    # A text of three words has a run.
+    pairs = similarity.near_pairs(examples, "seq", "text", near, within="split", known=known if exact else known.filter("n > 0"))
+    clusters = similarity.components(pairs)
     clusters = materialize(clusters.select(F.col("id").alias("seq"), F.col("root").alias("cluster")), "curate-clusters")
     own = examples.join(clusters, "seq").select(F.col("seq").alias("id"), "cluster", "teacher", F.when(F.col("teacher").isNotNull(), F.greatest("votes", F.lit(1))).alias("votes"), "gold")
     won = votes.resolve_clusters(own).select("cluster", F.col("survivor"), F.col("teacher").alias("won_teacher"), F.col("gold").alias("won_gold"))
     differ = own.filter("gold IS NOT NULL").groupBy("cluster").agg((F.min("gold") != F.max("gold")).alias("gold_conflict"))
     won = won.join(differ, "cluster", "left")
-    keys = examples.select(F.col("seq").alias("survivor"), tx.dedupe_key("text").alias("won_key"))
-    x = examples.join(clusters, "seq", "left").join(won, "cluster", "left").join(keys, "survivor", "left")
+    # Texts are not joined: rows of a cluster are, with the hashes of their keys, and what comes of it is broadcast where it can be.
+    keys = known.join(similarity.small(clusters), F.col("id") == F.col("seq"), "left_semi").select(F.col("id").alias("seq"), F.col("key").alias("own_key"))
+    keys = materialize(keys, "curate-keys")
+    of = clusters.join(keys, "seq").join(won, "cluster", "left").join(keys.select(F.col("seq").alias("survivor"), F.col("own_key").alias("won_key")), "survivor", "left")
+    of = of.withColumn("same", F.col("own_key") == F.col("won_key")).drop("own_key", "won_key")
+    x = examples.join(similarity.small(materialize(of, "curate-resolved")), "seq", "left")
     conflict = F.col("cluster").isNotNull() & F.col("survivor").isNull()
-    copy = F.when(tx.dedupe_key("text") == F.col("won_key"), "exact").otherwise("near")
+    copy = F.when(F.col("same"), "exact").otherwise("near")
     verdict = F.when(F.col("cluster").isNull() | (F.col("seq") == F.col("survivor")), "kept").when(conflict, "conflict").otherwise(copy)
     survivor = F.col("seq") == F.col("survivor")
     first = F.col("seq") == F.col("cluster")  # a cluster is named by its smallest seq
@@ -191,7 +197,8 @@ def run(records: DataFrame, task: Task, answers: DataFrame | None = None) -> Run
     records = r.take(records, "load")
     r.counters["load"], r.tables["load"] = {"rows": records.count()}, records
     answers = None if answers is None else r.take(answers.select("seq", "answer"), "answers")
-    good = r.keep("extract", records.filter("result = 'ok'"))
+    good = records.filter("result = 'ok'")  # as cheap to read from the loaded table as from one of its own
+    r.counters["extract"], r.tables["extract"] = {"rows": good.count()}, good
     if not r.counters["extract"]["rows"]:
         raise CurateError("no usable records")
     examples = r.keep("merge", merge(good), split_conflicts=F.count_if("split_conflict"), observations=F.sum("observations"))
@@ -200,33 +207,41 @@ def run(records: DataFrame, task: Task, answers: DataFrame | None = None) -> Run
     texts = good.select("seq", "input").join(kept, "seq")
     scrubbed = r.keep("pii", pii_stage.scrub_examples(texts, task.schema, kinds=task.kinds).drop("input"), **pii_stage.counters(task.kinds))
     scrubbed = scrubbed.filter("NOT rejected").drop("found", "broken", "rejected", "cleared")
-    free = splits.random_split(scrubbed.filter("given IS NULL").select("h"), "h", task.seed, task.test, task.valid)
-    assigned = scrubbed.join(free, "h", "left").withColumn("split", F.coalesce("given", "split")).drop("given")
+    free = splits.random_split(scrubbed.filter("given IS NULL").select("h", "seq"), "h", task.seed, task.test, task.valid)
+    free = similarity.small(materialize(free.select("seq", "split"), "curate-free"))
+    assigned = scrubbed.join(free, "seq", "left").withColumn("split", F.coalesce("given", "split")).drop("given")
     assigned = r.keep("split", assigned, **_by_split())
+    sets = similarity.hashed(assigned, "seq", "text", "split")  # for both stages that compare
     stays = F.col("verdict") == "kept"
     deduped = r.keep(
-        "dedupe", dedupe(assigned, task.near, task.exact), **_by_split(stays), removed_exact=F.count_if(F.col("verdict") == "exact"),
+        "dedupe", dedupe(assigned, task.near, task.exact, sets), **_by_split(stays), removed_exact=F.count_if(F.col("verdict") == "exact"),
         removed_near=F.count_if(F.col("verdict") == "near"), conflict_examples=F.count_if(F.col("verdict") == "conflict"),
         conflict_clusters=F.count_if("conflict_cluster"), gold_conflicts=F.count_if("gold_conflict"),
     ).filter("verdict = 'kept'").drop("cluster", "verdict", "conflict_cluster", "gold_conflict")
-    matched = similarity.cross_matches(deduped.select("seq", "text", "split"), "seq", "text", "split", task.near)
-    crossed = deduped.join(matched.select(F.col("a").alias("seq"), "kind"), "seq", "left")
+    gone = similarity.small(materialize(r.tables["dedupe"].filter("verdict <> 'kept'").select(F.col("seq").alias("id")), "curate-gone"))
+    matched = similarity.cross_matches(deduped, "seq", "text", "split", task.near, sets.join(gone, "id", "left_anti"))
+    matched = similarity.small(materialize(matched.select(F.col("a").alias("seq"), "kind"), "curate-matched"))
+    crossed = deduped.join(matched, "seq", "left")
     apart = F.col("kind").isNull()
     crossed = r.keep("cross_split", crossed, **_by_split(apart), exact=F.count_if(F.col("kind") == "exact"), near=F.count_if(F.col("kind") == "near"))
     crossed = crossed.filter("kind IS NULL").drop("kind")
     _require_train(r, "cross_split")
     label = crossed
     if answers is not None:
-        label = label.join(answers.select("seq", "answer"), "seq", "left").withColumn("__said", normalised(task, "answer"))
+        label = label.join(similarity.small(answers.select("seq", "answer")), "seq", "left").withColumn("__said", normalised(task, "answer"))
         asked = F.col("fate") == "unlabelled"
         label = label.withColumns({"teacher": F.coalesce("teacher", F.when(asked, F.col("__said"))), "bad_answer": asked & F.col("__said").isNull()}).drop("answer", "__said")
     else:
         label = label.withColumn("bad_answer", F.col("fate") == "unlabelled")
     stays = ~F.col("bad_answer") | (F.col("split") == "test")
-    label = r.keep("label", label, **_by_split(stays), asked=F.count_if(F.col("fate") == "unlabelled"), invalid=F.count_if("bad_answer"))
-    label = label.filter(stays).drop("bad_answer").withColumn("words", F.regexp_count("text", F.lit(r"[^\s]+")))
-    fits = F.col("words") <= task.longest
-    final = r.keep("length", label, **_by_split(fits)).filter(fits).drop("words")
+    # The last two stages are one write: what is too long is told from what is left of the first.
+    label = label.withColumn("words", F.regexp_count("text", F.lit(r"[^\s]+")))
+    fits = stays & (F.col("words") <= task.longest)
+    long = {f"length {k}": v for k, v in ({"rows": F.count_if(stays)} | _by_split(fits)).items()}
+    label = r.keep("label", label, **_by_split(stays), asked=F.count_if(F.col("fate") == "unlabelled"), invalid=F.count_if("bad_answer"), **long)
+    r.counters["length"] = {k: r.counters["label"].pop(f"length {k}") for k in ("rows", *SPLITS)}
+    r.tables["length"] = label.filter(stays).drop("bad_answer")
+    final = label.filter(fits).drop("bad_answer", "words")
     found = leakage.report(leakage.leaks(final, "seq", "text", "split", task.near)).collect()
     r.counters["leakage"] = r.sizes("length") | {k: sum(x["pairs"] for x in found if x["kind"] == k) for k in ("exact", "near")}
     r.tables["leakage"] = final

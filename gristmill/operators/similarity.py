@@ -25,14 +25,14 @@ def sets(df: DataFrame, id_: str, text: str, keep: list[str] | None = None) -> D
     return df.withColumn("n", F.size("runs"))
 
 
-def _hashed(df: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
+def hashed(df: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
     """(id, kept columns, key, runs, n), as a table: the key's hash, and the sorted 64-bit hashes of the runs. Texts go no further."""
     s = sets(df, id_, text, list(keep)).filter("key IS NOT NULL")
     s = s.select("id", *keep, F.sha2("key", 256).alias("key"), F.sort_array(F.array_distinct(F.transform("runs", lambda r: F.xxhash64(r)))).alias("runs"))
     return materialize(s.withColumn("n", F.size("runs")), "sets")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if its size, which is counted, allows it. It is best a table."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
@@ -78,16 +78,16 @@ def verified(pairs: DataFrame, s: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
 
 
-def near_pairs(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD, within: str | None = None) -> DataFrame:
+def near_pairs(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD, within: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """(a, b, kind, jaccard): texts of one key are linked to its smallest id ('exact', 1.0), and the smallest ids of
     different keys to each other where their sets reach the threshold ('near'). within: only rows with the same value of it.
-    Keys are told apart by SHA-256, runs by 64 bits."""
+    Keys are told apart by SHA-256, runs by 64 bits. known: what hashed() made of the rows, with `within`, so that no text is read."""
     own = [within] if within else []
-    s = _hashed(df, id_, text, *own)
+    s = hashed(df, id_, text, *own) if known is None else known
     first = F.min("id").over(Window.partitionBy("key", *own))
     copies = materialize(s.select("id", "key", *own).withColumn("first", first).filter(F.col("id") > F.col("first")).select("id", "first"), "copies")
     exact = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("exact").alias("kind"), F.lit(1.0).alias("jaccard"))
-    reps = s.join(_small(copies.select("id")), "id", "left_anti")
+    reps = s.join(small(copies.select("id")), "id", "left_anti")
     same = (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.id") < F.col("b.id")) if within else None
     found = verified(candidates(reps.drop("key"), threshold, same), reps, threshold)
     return exact.unionByName(found.select("a", "b", F.lit("near").alias("kind"), "jaccard"))
@@ -109,22 +109,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_matches(df: DataFrame, id_: str, text: str, split: str, threshold: float = THRESHOLD) -> DataFrame:
+def cross_matches(df: DataFrame, id_: str, text: str, split: str, threshold: float = THRESHOLD, known: DataFrame | None = None) -> DataFrame:
     """(a, b, kind, jaccard): for each row that a row of a more protected split (train, valid, test) matches, the best of those:
     of the same key ('exact') before others ('near'), then of the highest similarity, then of the smallest id.
 
     Texts of one key are one set, with the smallest id of each split, so copies, however many, are neither compared nor paired:
-    what is found for a key and split holds for all its rows.
+    what is found for a key and split holds for all its rows. known: what hashed() made of the rows, with `split`, so that no text
+    is read.
     """
-    named = df.filter(F.col(split).isNotNull()).withColumn("rank", F.expr(f"array_position(array('train', 'valid', 'test'), `{split}`)"))
-    sets_ = _hashed(named, id_, text, "rank")
+    rank = F.expr(f"array_position(array('train', 'valid', 'test'), `{split}`)")
+    named = (df if known is None else known).filter(F.col(split).isNotNull()).withColumn("rank", rank)
+    sets_ = hashed(named, id_, text, "rank") if known is None else named.drop(split)
     rows = sets_.select("id", "rank", F.col("key").alias("h"))
     first = rows.groupBy("h", "rank").agg(F.min("id").alias("first"))
     held = F.sort_array(F.collect_list(F.struct("rank", "first")))
     keys = first.groupBy("h").agg(held.alias("held"), F.min("first").alias("id"))
     keys = materialize(keys.withColumns({"low": F.array_min("held.rank"), "high": F.array_max("held.rank")}), "split-keys")
     # A key's set is that of its smallest id; the other rows are its copies.
-    copies = _small(materialize(rows.join(keys.select("id"), "id", "left_anti").select("id"), "copies"))
+    copies = small(materialize(rows.join(keys.select("id"), "id", "left_anti").select("id"), "copies"))
     alone = sets_.select("id", "runs", "n", F.col("key").alias("h")).join(copies, "id", "left_anti")
     spans = keys.select("id", "low", "high")
     apart = (F.col("a.low") < F.col("b.high")) | (F.col("b.low") < F.col("a.high"))
