@@ -99,3 +99,39 @@ def test_baseline_has_the_optimum_as_a_table_of_terms(spark):
         y = np.array([[float(k == s) for s in classes] for k in said])
         b = baseline._step(x @ w, np.zeros_like(y), y, c, np.zeros(y.shape[1]), 0.0, 1.0)[1]
         assert np.abs(w - c * x.T @ (y - baseline._chances(x @ w + b)[0])).max() < 1e-3
+
+
+def test_baseline_passes_read_no_terms_of_one_row_and_no_other_rows(spark, monkeypatch):
+    """Terms of one training row are a number of that row; rows that aren't trained on come in at the end, with what they share."""
+    train = [("red apple red", "1"), ("green apple", "0"), ("red wine", "1"), ("blue", "0"), ("green green tea", None)]
+    valid = [("apple tea", "0"), ("wine unheard", "1"), ("unheard", "1"), ("red blue red", "1"), ("green", "0")]
+    texts, said = zip(*train, *valid, strict=True)
+    ours = np.arange(len(texts)) < len(train)
+    words = [t.split() for t in texts]
+    counts = [[*w, *map(" ".join, zip(w, w[1:], strict=False))] for w in words]
+    terms = sorted({t for r in counts[: len(train)] for t in r})
+    tf = np.array([[r.count(t) for t in terms] for r in counts])
+    df = (tf[ours] > 0).sum(0)
+    x = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * (1 + np.log(6 / (1 + df)))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    y = np.array([[float(s == "1")] for s in said])
+    fitted = ours & np.array([s is not None for s in said])
+    want = {}
+    for c, (w, _, b) in zip(baseline.GRID, baseline.fit(lambda a: x @ (x.T @ a), y, fitted, baseline.GRID), strict=True):
+        want[c] = float((((x @ (x.T @ w) + b)[~ours, 0] > 0) == (y[~ours, 0] > 0)).mean())
+    read = []
+    monkeypatch.setattr(baseline, "_blocks", lambda *a, make=baseline._blocks: read.append(make(*a)) or read[0])
+    frame = lambda rows: spark.createDataFrame(rows, "text string, label string")
+    model, _, scores = baseline.tfidf_baseline(frame(train), frame(valid))
+    assert {r["c"]: r["agreement"] for r in scores.collect()} == want and model.numFeatures == len(terms)
+    several = (df > 1) | ((df == 1) & (tf[~ours] > 0).any(0))
+    block = read[0].selectExpr("sum(length(x)) div 8 x", "sum(length(v_x)) div 8 v", "sum(length(lone_x)) div 8 lone").first()
+    assert tuple(block) == ((tf[ours][:, several] > 0).sum(), (tf[~ours][:, several] > 0).sum(), (~several).sum())
+    a = np.where(ours, np.arange(1.0, len(texts) + 1), 0)[:, None]
+    apart = x[:, several] @ (x[:, several].T @ a)
+    rows = [r["text"] for r in baseline.numbered(frame(train).unionByName(frame(valid))).orderBy("__row").collect()]
+    assert rows == list(texts)
+    norm = np.sqrt(baseline._squares(read[0], len(texts))[:, :1])
+    norm[norm == 0] = 1
+    assert np.allclose(baseline._gram(read[0], a / norm)[ours] / norm[ours], apart[ours])
+    assert np.allclose(baseline._others(read[0], a / norm)[~ours] / norm[~ours], apart[~ours])
