@@ -111,7 +111,7 @@ def leaks(df: DataFrame, id_: str, text: str, split: str, threshold: float = 0.9
     nodes = _nodes(df.filter(F.col(split).isin(*order)), id_, text, split)
     found = _candidates(_buckets(nodes, bands, size), threshold)
     hashed = nodes.select(F.col("node").alias("id"), F.transform("runs", lambda r: F.xxhash64(r)).alias("runs"), "n")
-    found = parity.close(found, hashed, threshold)
+    found = parity.close(materialize(found, "candidates"), hashed, threshold)
     sets = nodes.withColumnRenamed("node", "id").join(parity.ids_of(found), "id", "left_semi")
     one = sets.select(F.col("id").alias("a"), F.col("runs").alias("ra"), F.col("held").alias("ha"))
     two = sets.select(F.col("id").alias("b"), F.col("runs").alias("rb"), F.col("held").alias("hb"))

@@ -41,9 +41,8 @@ def ids_of(pairs: DataFrame) -> DataFrame:
 
 
 def close(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b), as a table, whose sets may reach the similarity. Each run in one set only turns one bit at most, so sets
+    """The pairs (a, b), best a table, as one, whose sets may reach the similarity. Each run in one set only turns one bit at most, so sets
     differ in no fewer runs than bits, and those that reach it differ in a share of (1 - threshold) / (1 + threshold) at most."""
-    pairs = materialize(pairs, "candidates")
     bits = materialize(_bits(sets.join(ids_of(pairs), "id", "left_semi")), "bits")
     x = bits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     y = bits.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gristmill.functions import text as tx
@@ -13,8 +17,8 @@ from gristmill.operators import parity
 from gristmill.sources.shared import materialize
 
 THRESHOLD = 0.9
-#: Sets that meet on one run before it is moved back; how many runs a round moves back; rows that are broadcast.
-OFTEN, HOT, BROADCAST = 64, 4096, 1_000_000
+#: Sets that meet on one run before it is moved back; how many runs a round moves back; rows that are broadcast; sets handled at once.
+OFTEN, HOT, BROADCAST, AT_ONCE = 64, 4096, 1_000_000, 1024
 
 
 def sets(df: DataFrame, id_: str, text: str, keep: list[str] | None = None) -> DataFrame:
@@ -25,11 +29,74 @@ def sets(df: DataFrame, id_: str, text: str, keep: list[str] | None = None) -> D
     return df.withColumn("n", F.size("runs"))
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends of the lists among them, from 0) of lists of longs."""
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every three neighbours of hashes of words."""
+    w = words.view(np.uint64)
+    x = w[:-2].copy()
+    for y in (w[1:-1], w[2:]):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + y
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, hashes of words, as sorted hashes of runs of three of them, each once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            words, ends = _lists(part.column(part.num_columns - 1))
+            of = _mixed(words) if len(words) > 2 else np.zeros(0, np.int64)
+            sets_ = [np.unique(of[a : max(a, b - 2)]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets_)]), pa.int32()), pa.array(np.concatenate(sets_)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "runs"])
+
+
 def hashed(df: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
-    """(id, kept columns, key, runs, n), as a table: the key's hash, and the sorted 64-bit hashes of the runs. Texts go no further."""
-    s = sets(df, id_, text, list(keep)).filter("key IS NOT NULL")
-    s = s.select("id", *keep, F.sha2("key", 256).alias("key"), F.sort_array(F.array_distinct(F.transform("runs", lambda r: F.xxhash64(r)))).alias("runs"))
-    return materialize(s.withColumn("n", F.size("runs")), "sets")
+    """(id, kept columns, key, runs, n), as a table: the key's hash, and the sorted 64-bit hashes of the runs. Texts go no further,
+    and runs are never strings: they are hashed from the hashes of their words."""
+    s = df.select(F.col(id_).alias("id"), *keep, tx.dedupe_key(text).alias("key")).filter("key IS NOT NULL")
+    s = s.select("id", *keep, F.sha2("key", 256).alias("key"), F.transform(tx.words(F.col("key")), lambda w: F.xxhash64(w)).alias("words"))
+    schema = T.StructType([*s.schema.fields[:-1], T.StructField("runs", T.ArrayType(T.LongType()))])
+    return materialize(s.mapInArrow(_runs, schema).withColumn("n", F.size("runs")), "sets")
+
+
+def _prefixes(s: DataFrame, keep: list[str], threshold: float, hot: list[int]) -> DataFrame:
+    """(kept columns, at, run): the first runs of each set, in the order of their hashes, but those in hot last."""
+    first = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    rows = s.filter("n > 0")
+    if not hot:
+        return rows.select(*keep, F.posexplode(F.slice("runs", F.lit(1), first)).alias("at", "run"))
+    late = np.sort(np.array(hot, np.int64))
+    may = np.zeros(1 << 16, bool)
+    may[late & 0xFFFF] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                runs, ends = _lists(part.column(part.num_columns - 2))
+                take = part.column(part.num_columns - 1).to_numpy()
+                of = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                back = may[runs & 0xFFFF]
+                asked = np.flatnonzero(back)
+                back[asked] = late[np.minimum(np.searchsorted(late, runs[asked]), len(late) - 1)] == runs[asked]
+                before = np.append(0, np.cumsum(back))  # of those that come last, before each run
+                own = before[:-1] - before[ends[:-1]][of]
+                place = np.arange(len(runs)) - ends[:-1][of]
+                place = np.where(back, (np.diff(ends) - np.diff(before[ends]))[of] + own, place - own)
+                stay = np.flatnonzero(place < take[of])
+                kept = [c.take(pa.array(of[stay])) for c in part.columns[:-2]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(place[stay].astype(np.int32)), pa.array(runs[stay])], names=[*keep, "at", "run"])
+
+    schema = T.StructType([*(s.schema[c] for c in keep), T.StructField("at", T.IntegerType()), T.StructField("run", T.LongType())])
+    return rows.select(*keep, "runs", first.alias("first")).mapInArrow(run, schema)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -46,12 +113,9 @@ def candidates(s: DataFrame, threshold: float, condition=None) -> DataFrame:
     each; group them by key first.
     """
     keep = [c for c in s.columns if c not in ("key", "runs")]
-    first = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
     hot: list[int] = []
     for last in (False, False, True):
-        rows = s.crossJoin(F.broadcast(s.sparkSession.createDataFrame([(hot,)], "__hot array<bigint>"))) if hot else s
-        order = F.concat(F.array_except("runs", "__hot"), F.array_intersect("runs", "__hot")) if hot else F.col("runs")
-        df = materialize(rows.filter("n > 0").select(*keep, F.posexplode(F.slice(order, F.lit(1), first)).alias("at", "run")), "prefixes")
+        df = materialize(_prefixes(s, keep, threshold, hot), "prefixes")
         if last:
             break
         often = df.groupBy("run").count().filter(F.col("count") > OFTEN).orderBy(F.desc("count"), "run").limit(HOT)
@@ -70,7 +134,7 @@ def candidates(s: DataFrame, threshold: float, condition=None) -> DataFrame:
 
 def verified(pairs: DataFrame, s: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs that reach the threshold. Only sets of pairs that a bound by bits leaves are shuffled."""
-    pairs = parity.close(pairs, s, threshold)
+    pairs = parity.close(materialize(pairs, "candidates"), s, threshold)
     s = s.select("id", "runs").join(parity.ids_of(pairs), "id", "left_semi")
     x = s.select(F.col("id").alias("a"), F.col("runs").alias("ra"))
     y = s.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
