@@ -48,7 +48,7 @@ def sketch(runs: np.ndarray) -> np.ndarray:
 
 def _nodes(df: DataFrame, id_: str, text: str, split: str) -> DataFrame:
     """(node, runs, n, held): a row for each key; held: its splits with their rows and the smallest id there."""
-    df = df.select(tx.dedupe_key(text).alias("key"), F.col(split).alias("split"), F.col(id_).alias("id")).filter("key IS NOT NULL AND split IS NOT NULL")
+    df = df.filter(F.col(text).isNotNull() & F.col(split).isNotNull()).select(tx.dedupe_key(text).alias("key"), F.col(split).alias("split"), F.col(id_).alias("id"))
     held = df.groupBy("key", "split").agg(F.count("*").alias("rows"), F.min("id").alias("first"))
     held = held.groupBy("key").agg(F.collect_list(F.struct("split", "rows", "first")).alias("held"))
     held = held.withColumn("words", tx.words(F.col("key"))).withColumn("runs", tx.shingles(F.col("words")))

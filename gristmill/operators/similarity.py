@@ -18,7 +18,7 @@ from gristmill.sources.shared import materialize
 
 THRESHOLD = 0.9
 #: Sets that meet on one run before it is moved back; how many runs a round moves back; rows that are broadcast; sets handled at once.
-OFTEN, HOT, BROADCAST, AT_ONCE = 64, 4096, 1_000_000, 1024
+OFTEN, HOT, BROADCAST, AT_ONCE = 64, 1 << 16, 1_000_000, 1024
 
 
 def sets(df: DataFrame, id_: str, text: str, keep: list[str] | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hashed(df: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
     """(id, kept columns, key, runs, n), as a table: the key's hash, and the sorted 64-bit hashes of the runs. Texts go no further,
     and runs are never strings: they are hashed from the hashes of their words."""
-    s = df.select(F.col(id_).alias("id"), *keep, tx.dedupe_key(text).alias("key")).filter("key IS NOT NULL")
+    s = df.filter(F.col(text).isNotNull()).select(F.col(id_).alias("id"), *keep, tx.dedupe_key(text).alias("key"))
     s = s.select("id", *keep, F.sha2("key", 256).alias("key"), F.transform(tx.words(F.col("key")), lambda w: F.xxhash64(w)).alias("words"))
     schema = T.StructType([*s.schema.fields[:-1], T.StructField("runs", T.ArrayType(T.LongType()))])
     return materialize(s.mapInArrow(_runs, schema).withColumn("n", F.size("runs")), "sets")
@@ -74,8 +74,9 @@ def _prefixes(s: DataFrame, keep: list[str], threshold: float, hot: list[int]) -
     if not hot:
         return rows.select(*keep, F.posexplode(F.slice("runs", F.lit(1), first)).alias("at", "run"))
     late = np.sort(np.array(hot, np.int64))
-    may = np.zeros(1 << 16, bool)
-    may[late & 0xFFFF] = True
+    low = (1 << 20) - 1
+    may = np.zeros(low + 1, bool)
+    may[late & low] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +85,7 @@ def _prefixes(s: DataFrame, keep: list[str], threshold: float, hot: list[int]) -
                 runs, ends = _lists(part.column(part.num_columns - 2))
                 take = part.column(part.num_columns - 1).to_numpy()
                 of = np.repeat(np.arange(part.num_rows), np.diff(ends))
-                back = may[runs & 0xFFFF]
+                back = may[runs & low]
                 asked = np.flatnonzero(back)
                 back[asked] = late[np.minimum(np.searchsorted(late, runs[asked]), len(late) - 1)] == runs[asked]
                 before = np.append(0, np.cumsum(back))  # of those that come last, before each run
@@ -119,7 +120,8 @@ def candidates(s: DataFrame, threshold: float, condition=None) -> DataFrame:
         if last:
             break
         often = df.groupBy("run").count().filter(F.col("count") > OFTEN).orderBy(F.desc("count"), "run").limit(HOT)
-        more = [r["run"] for r in often.collect() if r["run"] not in set(hot)]  # HOT numbers at most
+        have = set(hot)
+        more = [r["run"] for r in often.collect() if r["run"] not in have]  # HOT numbers at most
         if not more:
             break
         hot += more

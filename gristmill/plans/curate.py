@@ -242,7 +242,7 @@ def _records(spark, sf_dir):
     u = b.unionByName(a, allowMissingColumns=True)
     result = (
         F.when(F.col("disposition") != "usable", F.col("disposition")).when(F.col("input").isNull(), "input_unparsed")
-        .when(tx.normalise("input") == "", "empty_input").when((F.col("origin") == "capture") & F.col("output").isNull(), "missing_output").otherwise("ok")
+        .when(~F.col("input").rlike("[!-~]") & (tx.normalise("input") == ""), "empty_input").when((F.col("origin") == "capture") & F.col("output").isNull(), "missing_output").otherwise("ok")
     )
     return u.withColumn("result", result)
 
